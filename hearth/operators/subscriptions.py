@@ -17,6 +17,7 @@ from pyspark.sql.window import Window as W
 from ..functions import exprs as E
 from ..functions.money import euros
 from ..schema import BILL_CATEGORIES, Ledger
+from ..sources.scratch import written
 from .base import sorted_fold
 from .entries import category_lookup
 from .finders import covered_until, recurring_payments
@@ -37,10 +38,10 @@ def _far(a, b):
 def payment_cells(payments: DataFrame, keys: list[str]) -> DataFrame:
     """One row per payee, day and amount, with the island its amount lies in."""
     own = [*keys, "payee"]
-    cells = payments.groupBy(*own, "amount_c", "date").agg(
+    cells = written(payments.groupBy(*own, "amount_c", "date").agg(
         F.count("*").alias("n"), F.min("id").alias("first_id"), F.min_by("name", "id").alias("name"),
         F.min_by("category", "id").alias("category"),
-    )
+    ))
     by_amount = W.partitionBy(*own).orderBy("amount_c")
     amounts = cells.select(*own, "amount_c").distinct().withColumn("_before", F.lag("amount_c").over(by_amount))
     apart = F.coalesce(_far(F.col("_before"), F.col("amount_c")), F.lit(True)).cast("int")
@@ -177,12 +178,13 @@ def detect_recurring(L: Ledger, payments: DataFrame | None = None) -> DataFrame:
     keys = list(L.keys)
     own = [*keys, "payee"]
     payments = recurring_payments(L) if payments is None else payments
-    clustered = cluster_amounts(payments, keys)
+    clustered = written(cluster_amounts(payments, keys))
     each = [*own, "island", "cluster"]
     starts = clustered.groupBy(*each).agg(F.min(F.struct("date", "first_id")).alias("start"))
     regular = payment_frequency(clustered, each).filter(F.col("frequency").isNotNull()).join(starts, each)
     best = F.row_number().over(W.partitionBy(*own).orderBy(F.col("payments").desc(), F.col("start")))
     best = regular.withColumn("_rank", best).filter(F.col("_rank") == 1).select(*each, "frequency")
+    best = written(best)
     shape = [*own, "evidence", "frequency", "date", "amount_c", "first_id", "name", "category"]
     pattern = clustered.join(best, each).withColumn("evidence", F.lit("pattern")).select(*shape)
 
@@ -224,8 +226,8 @@ def _most_common(kept: DataFrame, own: list[str], column: str) -> DataFrame:
 def subscription_items(L: Ledger, include_hidden: bool = False) -> DataFrame:
     keys = list(L.keys)
     own = [*keys, "payee"]
-    payments = recurring_payments(L)
-    kept = detect_recurring(L, payments)
+    payments = written(recurring_payments(L))
+    kept = written(detect_recurring(L, payments))
     at = F.struct("date", "first_id", "amount_c")
     items = kept.groupBy(*own).agg(
         F.first("evidence").alias("evidence"), F.first("frequency").alias("frequency"), F.count("*").alias("payments"),

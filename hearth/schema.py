@@ -9,63 +9,58 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
 
 KEYS = ("household_id",)
 
-
-def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
-
-
+# DDL text: Spark readers and createDataFrame take it as it is.
 SCHEMAS = {
-    "statements": _struct(
+    "statements": (
         "household_id bigint, id bigint, bank string, owner string, month_index int, opening_c bigint, "
         "closing_c bigint, has_balances boolean, period_start date, period_end date, file_hash string, "
         "status string, review_note string"
     ),
-    "bookings": _struct(
+    "bookings": (
         "household_id bigint, id bigint, statement_id bigint, booking_date date, purchase_date date, "
         "amount_c bigint, counterparty string, description string, channel string, payment_reference string, "
         "kind string, category string, receipt_id bigint, link_status string, link_reason string, "
         "transfer_group bigint, mirror_of bigint"
     ),
-    "receipts": _struct(
+    "receipts": (
         "household_id bigint, id bigint, store_name string, total_c bigint, discount_c bigint, "
         "purchase_date date, linked boolean, owner string, file_hash string, receipt_number string, "
         "payment_reference string, payment_method string, status string, review_note string"
     ),
-    "items": _struct(
+    "items": (
         "household_id bigint, id bigint, receipt_id bigint, name string, brand string, quantity int, "
         "unit_c bigint, discount_c bigint, category string, storage_condition string, date_purchased date, "
         "date_expiry date, spend_category string, status string, quantity_left double, wasted_quantity double, "
         "wasted_on date, waste_reason string, opened_on date, days_once_opened int, finished_on date, "
         "location string, rating int, would_rebuy boolean"
     ),
-    "categories": _struct(
+    "categories": (
         "key string, label string, group_name string, flow string, fixed boolean, description string, "
         "sort_order int, active boolean"
     ),
-    "questions": _struct(
+    "questions": (
         "household_id bigint, id bigint, kind string, transaction_id bigint, receipt_id bigint, "
         "other_transaction_id bigint, question string, status string, created_at timestamp, answered_at timestamp"
     ),
-    "rules": _struct("household_id bigint, key string, frequency string, hidden boolean"),
-    "plans": _struct(
+    "rules": ("household_id bigint, key string, frequency string, hidden boolean"),
+    "plans": (
         "household_id bigint, id bigint, broker string, instrument string, amount_c bigint, frequency string, "
         "anchor_date date, start_date date, end_date date, note string"
     ),
-    "splits": _struct("household_id bigint, id bigint, booking_ref string, instrument string, amount_c bigint"),
+    "splits": ("household_id bigint, id bigint, booking_ref string, instrument string, amount_c bigint"),
 }
 
-STATEMENT_DOC = _struct(
+STATEMENT_DOC = (
     "household_id bigint, doc_hash string, owner string, bank string, period_start date, period_end date, "
     "opening_balance decimal(14,2), closing_balance decimal(14,2), review_note string, "
     "transactions array<struct<booking_date: date, purchase_date: date, amount: decimal(14,2), "
     "counterparty: string, description: string, channel: string, payment_reference: string, kind: string, "
     "category: string>>"
 )
-RECEIPT_DOC = _struct(
+RECEIPT_DOC = (
     "household_id bigint, doc_hash string, owner string, store_name string, purchase_date date, "
     "total_amount decimal(14,2), payment_method string, receipt_number string, payment_reference string, "
     "review_note string, items array<struct<name: string, quantity: int, unit_price: decimal(14,2), "
