@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window as W
 
 from ..functions.money import idiv
@@ -111,30 +112,36 @@ def sorted_fold(
     state of the key it is in, so a long key needs no more memory than its state.  `make()` gives a fresh object
     with `row(r) -> iterable of output tuples` and `end() -> iterable of output tuples`.
     """
-    columns = df.columns
-    key_at = [columns.index(k) for k in keys]
+    out_schema = to_arrow_schema(schema)
     names = schema.fieldNames()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, fold = None, None
+
+        def pack(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, type=f.type) for c, f in zip(columns, out_schema)], names=names
+            )
+
         for batch in batches:
             out: list[tuple] = []
-            for row in batch.astype(object).where(batch.notna(), None).itertuples(index=False, name=None):
-                key = tuple(row[i] for i in key_at)
+            for row in batch.to_pylist():
+                key = tuple(row[k] for k in keys)
                 if key != current:
                     if fold is not None:
                         out.extend(current + tuple(r) for r in fold.end())
                     current, fold = key, make()
-                out.extend(current + tuple(r) for r in fold.row(dict(zip(columns, row))))
+                out.extend(current + tuple(r) for r in fold.row(row))
             if out:
-                yield pd.DataFrame(out, columns=names)
+                yield pack(out)
         if fold is not None:
             last = [current + tuple(r) for r in fold.end()]
             if last:
-                yield pd.DataFrame(last, columns=names)
+                yield pack(last)
 
     ready = df.repartition(*keys).sortWithinPartitions(*keys, *order)
-    return ready.mapInPandas(run, schema)
+    return ready.mapInArrow(run, schema)
 
 
 def month_of(year: int, month: int) -> int:
