@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .common import Query, with_prelude
 
-MODULES = ["spending_queries", "stock_queries", "money_queries", "upkeep_queries"]
+MODULES = ["spending_queries", "stock_queries", "money_queries", "upkeep_queries", "stream_queries"]
 
 
 def all_queries() -> dict[str, Query]:

@@ -278,11 +278,11 @@ WHERE NOT EXISTS (SELECT 1 FROM questions q WHERE q.kind = 'receipt_match' AND q
     Query("apply_answers", lambda L: K.apply_answers(L, derived(L, ANSWERS))[0].questions.groupBy("household_id", "kind", "status").agg(F.count("*").alias("n")), """
 SELECT household_id, kind, CASE WHEN status <> 'open' THEN status WHEN id % 3 <> 0 THEN 'yes' ELSE 'no' END AS status, count(*) AS n FROM questions GROUP BY ALL"""),
     Query("answer_problems", lambda L: K.apply_answers(L, derived(L, ANSWERS))[1], """
-SELECT q.household_id, q.id AS question_id, CASE WHEN status <> 'open' THEN 'already_answered' WHEN q.kind = 'receipt_match' THEN CASE WHEN t.id IS NULL THEN 'no_transaction' WHEN r.id IS NULL THEN 'no_receipt' WHEN t.receipt_id IS NOT NULL THEN 'transaction_linked' END
+SELECT q.household_id, q.id AS question_id, CASE WHEN q.status <> 'open' THEN 'already_answered' WHEN q.kind = 'receipt_match' THEN CASE WHEN t.id IS NULL THEN 'no_transaction' WHEN r.id IS NULL THEN 'no_receipt' WHEN t.receipt_id IS NOT NULL THEN 'transaction_linked' END
  ELSE CASE WHEN abs(abs(t.amount_c) - abs(o.amount_c)) > 1 THEN 'amounts_differ' WHEN t.transfer_group IS NOT NULL THEN 'already_paired' END END AS problem
 FROM questions q LEFT JOIN tx t ON t.household_id = q.household_id AND t.id = q.transaction_id LEFT JOIN receipts r ON r.household_id = q.household_id AND r.id = q.receipt_id
 LEFT JOIN tx o ON o.household_id = q.household_id AND o.id = q.other_transaction_id
-WHERE status <> 'open' OR (q.id % 3 <> 0 AND CASE WHEN q.kind = 'receipt_match' THEN t.id IS NULL OR r.id IS NULL OR t.receipt_id IS NOT NULL ELSE abs(abs(t.amount_c) - abs(o.amount_c)) > 1 OR t.transfer_group IS NOT NULL END)"""),
+WHERE q.status <> 'open' OR (q.id % 3 <> 0 AND CASE WHEN q.kind = 'receipt_match' THEN t.id IS NULL OR r.id IS NULL OR t.receipt_id IS NOT NULL ELSE abs(abs(t.amount_c) - abs(o.amount_c)) > 1 OR t.transfer_group IS NOT NULL END)"""),
     # changes
     Query("apply_stock_events", lambda L: U.apply_stock_events(L, derived(L, EVENTS))[0].select("household_id", "id", *U.STATE_COLUMNS)),
     Query("refused_stock_events", lambda L: U.apply_stock_events(L, derived(L, EVENTS))[1]),

@@ -1,0 +1,109 @@
+"""The ledger as it arrives: documents, stock events, spending."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
+
+from ..operators.loads import load_receipts, load_statements
+from ..operators.stock import with_stock_group
+from ..operators.upkeep import STATE, STATE_COLUMNS, stock_step
+from ..schema import NOT_STOCK, RECEIPT_DOC, STATEMENT_DOC, Ledger
+from ..sources.ledger import split_submissions
+from ..sources.scratch import written
+from ..sources.store import load_ledger, touched_buckets, update_ledger
+
+
+def stream_ingest(
+    spark: SparkSession, in_dir: str, kind: str, ledger: str, outcomes: str, checkpoint: str, today: dt.date,
+    keys: tuple = ("household_id",), max_files: int = 1000,
+) -> StreamingQuery:
+    """Loads new submission files (JSON lines) into the ledger at `ledger` and files an outcome per document.
+
+    Works off what is there and stops (availableNow); the checkpoint remembers the files. A batch that is run
+    again finds its documents stored and reports duplicates instead of storing twice; its outcome is replaced.
+    """
+    schema = T.StructType.fromDDL(RECEIPT_DOC if kind == "receipt" else STATEMENT_DOC).add("unreadable", "string")
+    docs = (
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+        .option("columnNameOfCorruptRecord", "unreadable").json(in_dir)
+    )
+
+    def load(batch: DataFrame, batch_id: int) -> None:
+        heads, lines, bad = (written(df) for df in split_submissions(batch, kind))
+        L = load_ledger(spark, ledger, touched_buckets(heads, keys), keys)
+        if kind == "receipt":
+            after, outcome = load_receipts(heads, lines, L, today)
+            names: tuple = ("items", "receipts")
+        else:
+            after, outcome = load_statements(heads, lines, L)
+            names = ("bookings", "questions", "receipts", "statements")
+        outcome = written(outcome)
+        update_ledger(after, ledger, names)
+        unreadable = bad.select(
+            *[F.lit(None).cast("bigint").alias(k) for k in keys], F.xxhash64("unreadable").alias("doc_id"),
+            F.lit("unreadable").alias("outcome"), F.col("unreadable").alias("reason"),
+        )
+        outcome.unionByName(unreadable).write.mode("overwrite").parquet(f"{outcomes}/batch={batch_id}")
+
+    return (
+        docs.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
+class _Moves:
+    """Applies the events of one item to its kept state; a finished item takes only ratings and the like."""
+
+    def __init__(self, keys: list[str]):
+        self.keys = keys
+
+    def __call__(self, key, frames, state):
+        # Events of one batch are few per item; they are put in order before they are applied.
+        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        rows = rows.astype(object).where(rows.notna(), None)
+        current = None
+        if state.exists:
+            current = dict(zip([*STATE_COLUMNS, "is_food"], state.get))
+        out = []
+        for r in rows.to_dict("records"):
+            if current is None and r["known"]:
+                current = {c: r[f"old_{c}"] for c in [*STATE_COLUMNS, "is_food"]}
+            problem = "no_such_item" if current is None else stock_step(current, r)
+            out.append((*key, r["event_id"], problem, *[current[c] if current else None for c in ("status", "quantity_left", "wasted_quantity")]))
+        if current is not None:
+            state.update(tuple(current[c] for c in [*STATE_COLUMNS, "is_food"]))
+        names = [*self.keys, "event_id", "problem", "status", "quantity_left", "wasted_quantity"]
+        yield pd.DataFrame(out, columns=names).astype({"event_id": "int64"})
+
+
+def stream_stock(L: Ledger, events: DataFrame) -> DataFrame:
+    """Stock events as they arrive: one output row per event with the state of its item after it.
+
+    An item starts from the items table the first time it is seen and lives in the state store from then on.
+    """
+    own = L.on("item_id")
+    stock = L.items.filter(F.col("spend_category").isNull() | ~F.col("spend_category").isin(*NOT_STOCK))
+    left = F.coalesce("quantity_left", F.col("quantity").cast("double"), F.lit(1.0))
+    base = with_stock_group(stock, L).withColumn("quantity_left", left).withColumn("wasted_quantity", F.coalesce("wasted_quantity", F.lit(0.0)))
+    base = base.select(*L.keys, F.col("id").alias("item_id"), F.lit(True).alias("known"), *[F.col(c).alias(f"old_{c}") for c in [*STATE_COLUMNS, "is_food"]])
+    named = events.withColumnsRenamed({c: f"new_{c}" for c in ("location", "date_expiry", "rating", "would_rebuy")})
+    joined = named.join(base, own, "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    key_types = ", ".join(f"{k} {joined.schema[k].dataType.simpleString()}" for k in own)
+    return joined.groupBy(*own).applyInPandasWithState(
+        _Moves(own), f"{key_types}, event_id bigint, problem string, status string, quantity_left double, wasted_quantity double",
+        STATE + ", is_food boolean", "append", "NoTimeout",
+    )
+
+
+def stream_month_totals(entries: DataFrame, keys: list[str], lateness: str = "40 days") -> DataFrame:
+    """Running spending per month and category of an entry stream (keys, date, key, amount_c); use update mode.
+
+    Months older than the lateness allowance leave the state.
+    """
+    timed = entries.withColumn("month", F.date_trunc("month", F.col("date").cast("timestamp"))).withWatermark("month", lateness)
+    return timed.groupBy(*keys, "month", "key").agg(F.sum("amount_c").alias("amount_c"), F.count("*").alias("entries"))
