@@ -197,4 +197,15 @@ def legacy_by_key() -> dict[str, str]:
 
 
 def seed_categories(spark) -> DataFrame:
-    return spark.createDataFrame(seed_rows(), SCHEMAS["categories"])
+    """The starting list as an inline table: Spark knows its size and can broadcast it."""
+
+    def literal(value) -> str:
+        if value is None:
+            return "cast(NULL AS string)"
+        if isinstance(value, (bool, int)):
+            return str(value).lower()
+        return "'" + value.replace("'", "\\'") + "'"
+
+    rows = ", ".join("(" + ", ".join(literal(v) for v in row) + ")" for row in seed_rows())
+    names = ", ".join(part.strip().split(" ")[0] for part in SCHEMAS["categories"].split(","))
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS c({names})")

@@ -63,22 +63,24 @@ class _Moves:
         self.keys = keys
 
     def __call__(self, key, frames, state):
-        # Events of one batch are few per item; they are put in order before they are applied.
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        rows = rows.astype(object).where(rows.notna(), None)
-        current = None
-        if state.exists:
-            current = dict(zip([*STATE_COLUMNS, "is_food"], state.get))
+        rows = []
+        for frame in frames:
+            columns = list(frame.columns)
+            for values in frame.itertuples(index=False, name=None):
+                rows.append({c: v if v == v else None for c, v in zip(columns, values)})  # NaN and NaT are not themselves
+        rows.sort(key=lambda r: (r["ts"], r["event_id"]))
+        fields = [*STATE_COLUMNS, "is_food"]
+        current = dict(zip(fields, state.get)) if state.exists else None
         out = []
-        for r in rows.to_dict("records"):
+        for r in rows:
             if current is None and r["known"]:
-                current = {c: r[f"old_{c}"] for c in [*STATE_COLUMNS, "is_food"]}
+                current = {c: r[f"old_{c}"] for c in fields}
             problem = "no_such_item" if current is None else stock_step(current, r)
-            out.append((*key, r["event_id"], problem, *[current[c] if current else None for c in ("status", "quantity_left", "wasted_quantity")]))
+            shown = [current[c] if current else None for c in ("status", "quantity_left", "wasted_quantity")]
+            out.append((*key, int(r["event_id"]), problem, *shown))
         if current is not None:
-            state.update(tuple(current[c] for c in [*STATE_COLUMNS, "is_food"]))
-        names = [*self.keys, "event_id", "problem", "status", "quantity_left", "wasted_quantity"]
-        yield pd.DataFrame(out, columns=names).astype({"event_id": "int64"})
+            state.update(tuple(current[c] for c in fields))
+        yield pd.DataFrame(out, columns=[*self.keys, "event_id", "problem", "status", "quantity_left", "wasted_quantity"])
 
 
 def stream_stock(L: Ledger, events: DataFrame) -> DataFrame:
