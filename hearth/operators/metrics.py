@@ -82,7 +82,8 @@ def _month_keys(L: Ledger) -> DataFrame:
     )
     sums = found(sums, income, F.col("category"), "_own")
     sums = found(sums, income, F.when(F.col("kind") == "refund", F.lit("refunds_returns")), "_by_kind")
-    sums = found(sums, every, F.lit("other_income"), "_other")
+    # Not a bare literal: a join on a constant would be planned as a nested loop.
+    sums = found(sums, every, F.when(F.col("amount_c").isNotNull(), F.lit("other_income")), "_other")
     key = F.coalesce("_own", "_by_kind", "_other", F.lit(UNCATEGORIZED_INCOME))
     part_in = sums.select(*L.keys, "month_index", key.alias("key"), F.lit("income").alias("flow"), "amount_c")
     part_inv = rows.filter((F.col("kind") == "investment") & (F.col("amount_c") < 0)).select(

@@ -35,7 +35,7 @@ def stream_ingest(
     )
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        heads, lines, bad = (written(df) for df in split_submissions(batch, kind))
+        heads, lines, bad = split_submissions(written(batch), kind)
         L = load_ledger(spark, ledger, touched_buckets(heads, keys), keys)
         if kind == "receipt":
             after, outcome = load_receipts(heads, lines, L, today)
