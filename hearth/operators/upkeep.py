@@ -233,15 +233,17 @@ def remap_categories(L: Ledger, mapping: DataFrame) -> tuple[Ledger, DataFrame]:
     return L.with_(items=items, bookings=tx, categories=cats), m.filter(F.col("problem").isNotNull()).select(*has, "source", "target", "problem")
 
 
-def upsert_categories(cats: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def upsert_categories(cats: DataFrame, changes: DataFrame, keys: tuple = ()) -> tuple[DataFrame, DataFrame]:
     """changes: change_id, key (null: made from the label), label, group_name, flow, fixed, description, active, update.
 
     New keys get the next sort orders; the flow of a category never changes; duplicates are refused.
+    `keys`: the tenant columns, when every household has its own list.
     """
+    own = [*keys, "key"]
     named = changes.withColumn("key", F.when(F.col("update"), F.col("key")).otherwise(E.slugify(F.coalesce("key", "label"))))
-    old = cats.select("key", F.col("flow").alias("_flow"), F.lit(True).alias("_known"))
-    rows = named.join(old, "key", "left")
-    nth = F.row_number().over(W.partitionBy("key", "update").orderBy("change_id"))
+    old = cats.select(*own, F.col("flow").alias("_flow"), F.lit(True).alias("_known"))
+    rows = named.join(old, own, "left")
+    nth = F.row_number().over(W.partitionBy(*own, "update").orderBy("change_id"))
     rows = rows.withColumn("_nth", nth)
     blank = lambda c: F.coalesce(F.trim(F.col(c)) == "", F.lit(True))
     problem = (
@@ -255,18 +257,23 @@ def upsert_categories(cats: DataFrame, changes: DataFrame) -> tuple[DataFrame, D
     good = rows.filter(F.col("problem").isNull())
     fields = ["label", "group_name", "description", "fixed", "active"]
     # The latest word on each field wins.
-    latest = good.filter("update").groupBy("key").agg(*[
+    latest = good.filter("update").groupBy(*own).agg(*[
         F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("change_id"))).alias(f"_{c}") for c in fields
     ])
-    kept = cats.join(latest, "key", "left").select(*[F.coalesce(f"_{c}", F.col(c)).alias(c) if c in fields else F.col(c) for c in cats.columns])
-    # New categories are few (a household's own list): one ordered pass numbers them.
-    top = cats.agg(F.coalesce(F.max("sort_order"), F.lit(0)).alias("_top"))
-    new = good.filter(~F.col("update")).withColumn("_n", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("change_id")))
-    new = new.join(F.broadcast(top), F.lit(True)).select(
-        "key", F.trim("label").alias("label"), F.trim("group_name").alias("group_name"), "flow", F.coalesce("fixed", F.lit(False)).alias("fixed"),
+    kept = cats.join(latest, own, "left").select(*[F.coalesce(f"_{c}", F.col(c)).alias(c) if c in fields else F.col(c) for c in cats.columns])
+    # Old rows first, then the new ones of a list in order: the running maximum is where the new ones start.
+    start = cats.select(*own, F.lit(None).cast("bigint").alias("change_id"), F.col("sort_order").alias("_order")).unionByName(
+        good.filter(~F.col("update")).select(*own, "change_id", F.lit(None).cast("int").alias("_order"))
+    )
+    listed = W.partitionBy(*keys).orderBy(F.col("change_id").asc_nulls_first(), "key").rowsBetween(W.unboundedPreceding, 0)
+    start = start.withColumn("_top", F.coalesce(F.max("_order").over(listed), F.lit(0))).withColumn(
+        "_n", F.count("change_id").over(listed)
+    ).filter(F.col("change_id").isNotNull()).select(*own, "change_id", "_top", "_n")
+    new = good.filter(~F.col("update")).join(start, [*own, "change_id"]).select(
+        *own, F.trim("label").alias("label"), F.trim("group_name").alias("group_name"), "flow", F.coalesce("fixed", F.lit(False)).alias("fixed"),
         F.trim("description").alias("description"), (F.col("_top") + F.col("_n") * 10).cast("int").alias("sort_order"), F.lit(True).alias("active"),
     )
-    return kept.unionByName(new.select(*cats.columns)), rows.filter(F.col("problem").isNotNull()).select("change_id", "key", "problem")
+    return kept.unionByName(new.select(*cats.columns)), rows.filter(F.col("problem").isNotNull()).select(*own, "change_id", "problem")
 
 
 def apply_category_changes(L: Ledger, changes: DataFrame) -> tuple[Ledger, DataFrame]:

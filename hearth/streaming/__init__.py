@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.loads import load_receipts, load_statements
 from ..operators.stock import with_stock_group
-from ..operators.upkeep import STATE, STATE_COLUMNS, stock_step
+from ..operators.upkeep import STATE_COLUMNS, stock_step
 from ..schema import NOT_STOCK, RECEIPT_DOC, STATEMENT_DOC, Ledger
 from ..sources.ledger import split_submissions
 from ..sources.scratch import written
@@ -57,30 +58,40 @@ def stream_ingest(
 
 
 class _Moves:
-    """Applies the events of one item to its kept state; a finished item takes only ratings and the like."""
+    """Applies the events of one item to its kept state; a finished item takes only ratings and the like.
+
+    An event and the state come as one JSON text each: building one pandas frame per item is what costs here,
+    and a frame of two columns is far cheaper than one of thirty.
+    """
+
+    DATES = ("wasted_on", "opened_on", "finished_on", "date_expiry", "day", "new_date_expiry")
 
     def __init__(self, keys: list[str]):
-        self.keys = keys
+        self.columns = [*keys, "event_id", "problem", "status", "quantity_left", "wasted_quantity"]
+
+    def _parse(self, text: str | None) -> dict | None:
+        if text is None:
+            return None
+        found = json.loads(text)
+        for c in self.DATES:
+            if found.get(c):
+                found[c] = dt.date.fromisoformat(found[c])
+        return found
 
     def __call__(self, key, frames, state):
-        rows = []
-        for frame in frames:
-            columns = list(frame.columns)
-            for values in frame.itertuples(index=False, name=None):
-                rows.append({c: v if v == v else None for c, v in zip(columns, values)})  # NaN and NaT are not themselves
-        rows.sort(key=lambda r: (r["ts"], r["event_id"]))
-        fields = [*STATE_COLUMNS, "is_food"]
-        current = dict(zip(fields, state.get)) if state.exists else None
+        rows = [
+            (self._parse(event), old) for frame in frames for event, old in zip(frame["event"].tolist(), frame["item"].tolist())
+        ]
+        rows.sort(key=lambda r: (r[0]["at"], r[0]["event_id"]))
+        current = self._parse(state.get[0]) if state.exists else self._parse(rows[0][1])
         out = []
-        for r in rows:
-            if current is None and r["known"]:
-                current = {c: r[f"old_{c}"] for c in fields}
-            problem = "no_such_item" if current is None else stock_step(current, r)
+        for event, _ in rows:
+            problem = "no_such_item" if current is None else stock_step(current, event)
             shown = [current[c] if current else None for c in ("status", "quantity_left", "wasted_quantity")]
-            out.append((*key, int(r["event_id"]), problem, *shown))
+            out.append((*key, event["event_id"], problem, *shown))
         if current is not None:
-            state.update(tuple(current[c] for c in fields))
-        yield pd.DataFrame(out, columns=[*self.keys, "event_id", "problem", "status", "quantity_left", "wasted_quantity"])
+            state.update((json.dumps(current, default=str),))
+        yield pd.DataFrame(out, columns=self.columns)
 
 
 def stream_stock(L: Ledger, events: DataFrame) -> DataFrame:
@@ -89,16 +100,19 @@ def stream_stock(L: Ledger, events: DataFrame) -> DataFrame:
     An item starts from the items table the first time it is seen and lives in the state store from then on.
     """
     own = L.on("item_id")
+    text = lambda columns: F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
     stock = L.items.filter(F.col("spend_category").isNull() | ~F.col("spend_category").isin(*NOT_STOCK))
     left = F.coalesce("quantity_left", F.col("quantity").cast("double"), F.lit(1.0))
     base = with_stock_group(stock, L).withColumn("quantity_left", left).withColumn("wasted_quantity", F.coalesce("wasted_quantity", F.lit(0.0)))
-    base = base.select(*L.keys, F.col("id").alias("item_id"), F.lit(True).alias("known"), *[F.col(c).alias(f"old_{c}") for c in [*STATE_COLUMNS, "is_food"]])
+    base = base.select(*L.keys, F.col("id").alias("item_id"), text([*STATE_COLUMNS, "is_food"]).alias("item"))
     named = events.withColumnsRenamed({c: f"new_{c}" for c in ("location", "date_expiry", "rating", "would_rebuy")})
-    joined = named.join(base, own, "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    facts = [F.unix_micros("ts").alias("at"), *[c for c in named.columns if c not in [*own, "ts"]]]
+    named = named.select(*own, text(facts).alias("event"))
+    joined = named.join(base, own, "left")
     key_types = ", ".join(f"{k} {joined.schema[k].dataType.simpleString()}" for k in own)
     return joined.groupBy(*own).applyInPandasWithState(
         _Moves(own), f"{key_types}, event_id bigint, problem string, status string, quantity_left double, wasted_quantity double",
-        STATE + ", is_food boolean", "append", "NoTimeout",
+        "item string", "append", "NoTimeout",
     )
 
 
