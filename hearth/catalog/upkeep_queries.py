@@ -94,6 +94,15 @@ mc AS (SELECT household_id, doc_id, {mi('booking_date')} AS m, count(*) AS n FRO
 mm AS (SELECT household_id, doc_id, max(m) AS m, count(*) AS k FROM (SELECT *, max(n) OVER (PARTITION BY household_id, doc_id) AS top FROM mc) x WHERE n = top GROUP BY ALL),
 sm AS (SELECT sh.*, cast(CASE WHEN k = 1 THEN m ELSE {mi('period_end')} END AS int) AS month_index FROM sh LEFT JOIN mm USING (household_id, doc_id))"""
 
+WARNINGS = """CASE WHEN m.bank = 'PayPal' THEN '' ELSE concat_ws(',', CASE WHEN m.closing_c IS NOT NULL AND abs(p.closing_c - m.opening_c) > 2 THEN 'opening_differs' END,
+ CASE WHEN m.closing_c IS NOT NULL AND abs(n.opening_c - m.closing_c) > 2 THEN 'closing_differs' END, CASE WHEN m.closing_c IS NULL THEN 'no_balances' END) END"""
+NEIGHBOURS = """LEFT JOIN statements p ON p.household_id = m.household_id AND p.bank = m.bank AND p.owner = m.owner AND p.month_index = m.month_index - 1
+LEFT JOIN statements n ON n.household_id = m.household_id AND n.bank = m.bank AND n.owner = m.owner AND n.month_index = m.month_index + 1"""
+PLAN_REFUSALS = """pc AS (SELECT *, id % 6 AS k, CASE
+ WHEN id % 6 = 0 THEN CASE WHEN end_date < date '2001-08-02' THEN 'already_ended' WHEN date '2001-08-01' < start_date THEN 'not_started' END
+ WHEN id % 6 = 1 THEN CASE WHEN end_date IS NULL OR end_date >= date '2001-08-02' OR coalesce(start_date > date '2001-08-02', false) THEN 'not_ended' END
+ WHEN id % 6 = 2 THEN CASE WHEN date '2001-08-02' <= start_date THEN 'pick_a_later_day' WHEN end_date < date '2001-08-02' THEN 'already_ended' END END AS problem FROM plans)"""
+
 
 def _receipts(L: Ledger):
     return derived(L, RECEIPT_HEADS), derived(L, RECEIPT_LINES)
@@ -176,11 +185,7 @@ SELECT owner, cast(year(purchase_date) AS int) AS year, ['Jan','Feb','Mar','Apr'
     Query("assign_statement_month", lambda L: O.assign_statement_month(*_statements(L), ["household_id"]).select("household_id", "doc_id", "month_index"),
           f"WITH {STATEMENT_PROBLEMS} SELECT household_id, doc_id, month_index FROM sm"),
     Query("statement_warnings", lambda L: _joined(Q.statement_warnings(O.assign_statement_month(*_statements(L), ["household_id"]), L), "warnings")
-          .select("household_id", "doc_id", "warnings"), f"""WITH {STATEMENT_PROBLEMS}
-SELECT m.household_id, doc_id, CASE WHEN m.bank = 'PayPal' THEN '' ELSE concat_ws(',', CASE WHEN m.closing_c IS NOT NULL AND abs(p.closing_c - m.opening_c) > 2 THEN 'opening_differs' END,
- CASE WHEN m.closing_c IS NOT NULL AND abs(n.opening_c - m.closing_c) > 2 THEN 'closing_differs' END, CASE WHEN m.closing_c IS NULL THEN 'no_balances' END) END AS warnings
-FROM sm m LEFT JOIN statements p ON p.household_id = m.household_id AND p.bank = m.bank AND p.owner = m.owner AND p.month_index = m.month_index - 1
-LEFT JOIN statements n ON n.household_id = m.household_id AND n.bank = m.bank AND n.owner = m.owner AND n.month_index = m.month_index + 1"""),
+          .select("household_id", "doc_id", "warnings"), f"WITH {STATEMENT_PROBLEMS} SELECT m.household_id, doc_id, {WARNINGS} AS warnings FROM sm m {NEIGHBOURS}"),
     Query("route_submissions", lambda L: Q.route_submissions(Q.check_receipts(*_receipts(L), L, TODAY))[0].select("household_id", "doc_id", "status", "review_note"),
           f"""WITH {RECEIPT_PROBLEMS} SELECT household_id, doc_id, CASE WHEN review_note IS NULL THEN 'ok' ELSE 'needs_review' END AS status,
  CASE WHEN problems <> '' THEN review_note || ' | checks failed: ' || replace(problems, ',', ' ; ') ELSE review_note END AS review_note
@@ -202,7 +207,17 @@ du AS (SELECT rp.*, EXISTS (SELECT 1 FROM receipts r WHERE r.household_id = rp.h
 SELECT household_id, doc_id, CASE WHEN dup OR EXISTS (SELECT 1 FROM du e WHERE NOT e.dup AND e.household_id = du.household_id AND e.doc_id < du.doc_id AND e.store_name = du.store_name
   AND e.purchase_date = du.purchase_date AND e.total_c = du.total_c AND (du.receipt_number IS NULL OR e.receipt_number = du.receipt_number)) THEN 'duplicate'
  WHEN problems <> '' AND review_note IS NULL THEN 'rejected' WHEN review_note IS NOT NULL THEN 'needs_review' ELSE 'ok' END AS outcome FROM du"""),
-    Query("load_statements", lambda L: O.load_statements(*_statements(L), L)[1].select("household_id", "doc_id", "outcome")),
+    Query("load_statements", lambda L: O.load_statements(*_statements(L), L)[1].select("household_id", "doc_id", "outcome"), f"""WITH {STATEMENT_PROBLEMS},
+al AS (SELECT m.*, sp.problems, {WARNINGS} AS warnings, coalesce(o.has_balances, false) AS complete,
+  EXISTS (SELECT 1 FROM statements k WHERE k.household_id = m.household_id AND k.file_hash = m.doc_hash) AS dup
+ FROM sm m JOIN sp ON sp.household_id = m.household_id AND sp.doc_id = m.doc_id
+ LEFT JOIN statements o ON o.household_id = m.household_id AND o.bank = m.bank AND o.owner = m.owner AND o.month_index = m.month_index
+ {NEIGHBOURS}),
+st AS (SELECT *, CASE WHEN dup THEN 'duplicate' WHEN problems <> '' AND review_note IS NULL THEN 'rejected'
+  WHEN bank <> 'PayPal' AND closing_c IS NULL AND complete THEN 'kept_complete' END AS out FROM al)
+SELECT household_id, doc_id, CASE WHEN out IS NOT NULL THEN out
+ WHEN bank <> 'PayPal' AND doc_id < max(doc_id) FILTER (out IS NULL) OVER (PARTITION BY household_id, bank, owner, month_index) THEN 'replaced_in_batch'
+ WHEN review_note IS NOT NULL OR warnings <> '' THEN 'needs_review' ELSE 'ok' END AS outcome FROM st"""),
     Query("loaded_bookings", lambda L: O.load_statements(*_statements(L), L)[0].bookings.select("household_id", "id", "statement_id", "receipt_id", "mirror_of")),
     Query("merge_payment_list", lambda L: O.merge_payment_list(*_listed(L), ["household_id", "statement_id"], "id").select(
         "household_id", "statement_id", "id", "counterparty"), """
@@ -325,8 +340,14 @@ SELECT household_id, ref AS booking_ref, 'My ETF ' || (id % 4) AS instrument, am
 UNION ALL SELECT household_id, booking_ref, instrument, amount_c FROM splits WHERE (household_id, booking_ref) NOT IN (SELECT household_id, ref FROM l)"""),
     Query("apply_rule_changes", lambda L: U.apply_rule_changes(L, derived(L, "SELECT household_id, key, CASE WHEN household_id % 3 = 0 THEN 'yearly' END AS frequency, household_id % 3 = 1 AS hidden, cast('2001-08-02 10:00:00' AS timestamp) AS ts FROM {rules}"))[0], """
 SELECT household_id, key, CASE WHEN household_id % 3 = 0 THEN 'yearly' END AS frequency, household_id % 3 = 1 AS hidden FROM rules WHERE household_id % 3 < 2"""),
-    Query("apply_plan_changes", lambda L: U.apply_plan_changes(L, derived(L, PLAN_CHANGES))[0].drop("note")),
-    Query("refused_plan_changes", lambda L: U.apply_plan_changes(L, derived(L, PLAN_CHANGES))[1]),
+    Query("apply_plan_changes", lambda L: U.apply_plan_changes(L, derived(L, PLAN_CHANGES))[0].drop("note", "id"), f"""WITH {PLAN_REFUSALS}
+SELECT household_id, broker, instrument, CASE WHEN k = 4 THEN amount_c + 500 ELSE amount_c END AS amount_c, frequency, anchor_date, start_date,
+ CASE WHEN k IN (0, 2) AND problem IS NULL THEN date '2001-08-01' ELSE end_date END AS end_date FROM pc WHERE k <> 3
+UNION ALL SELECT household_id, broker, instrument, CASE WHEN k = 2 THEN amount_c + 500 ELSE amount_c END, CASE WHEN id % 12 = 2 THEN 'weekly' ELSE frequency END,
+ CASE WHEN id % 12 = 2 AND frequency <> 'weekly' THEN NULL ELSE anchor_date END, date '2001-08-02', NULL FROM pc WHERE k IN (1, 2) AND problem IS NULL
+UNION ALL SELECT household_id, 'N26', 'ETF new', amount_c + 500, 'monthly', NULL, NULL, NULL FROM pc WHERE k = 5"""),
+    Query("refused_plan_changes", lambda L: U.apply_plan_changes(L, derived(L, PLAN_CHANGES))[1], f"""WITH {PLAN_REFUSALS}
+SELECT household_id, id AS plan_id, id AS change_id, problem FROM pc WHERE problem IS NOT NULL"""),
     Query("backfill_categories", lambda L: U.backfill_categories(L.with_(bookings=L.bookings.withColumn("category", F.expr("CASE WHEN id % 3 = 0 THEN 'BENZIN' WHEN id % 3 = 1 THEN 'FIXED_COSTS' ELSE category END"))))
           .bookings.select("household_id", "id", "category"), """
 SELECT household_id, id, CASE WHEN id % 3 = 0 THEN 'fuel' WHEN id % 3 = 2 AND category IS NOT NULL THEN category ELSE CASE kind WHEN 'cash' THEN 'cash' WHEN 'fee' THEN 'bank_fees' END END AS category FROM bookings"""),
