@@ -98,6 +98,17 @@ WARNINGS = """CASE WHEN m.bank = 'PayPal' THEN '' ELSE concat_ws(',', CASE WHEN
  CASE WHEN m.closing_c IS NOT NULL AND abs(n.opening_c - m.closing_c) > 2 THEN 'closing_differs' END, CASE WHEN m.closing_c IS NULL THEN 'no_balances' END) END"""
 NEIGHBOURS = """LEFT JOIN statements p ON p.household_id = m.household_id AND p.bank = m.bank AND p.owner = m.owner AND p.month_index = m.month_index - 1
 LEFT JOIN statements n ON n.household_id = m.household_id AND n.bank = m.bank AND n.owner = m.owner AND n.month_index = m.month_index + 1"""
+STOCK_EVENTS = """e0 AS (SELECT i.*, id % 7 AS a, spend_category IS NULL OR spend_category NOT IN ('eating_out', 'takeaway', 'deposit') AS known,
+  CASE WHEN c.key IS NOT NULL THEN c.group_name = 'Food' ELSE i.category IN ('Food', 'Drinks') END AS food,
+  CASE id % 5 WHEN 0 THEN 'spoiled' WHEN 1 THEN 'gave_away' WHEN 2 THEN 'nonsense' ELSE 'too_much' END AS why FROM items i LEFT JOIN categories c ON c.key = i.spend_category),
+e1 AS (SELECT *, CASE WHEN NOT known THEN 'no_such_item' WHEN a = 5 THEN CASE WHEN id % 8 IN (0, 6, 7) THEN 'rating_out_of_range' END
+  WHEN a = 3 AND why = 'nonsense' THEN 'unknown_reason' WHEN quantity_left <= 0 THEN 'nothing_left'
+  WHEN a = 4 THEN CASE WHEN NOT food THEN 'only_food_can_be_frozen' WHEN storage_condition = 'Frozen' THEN 'already_frozen' END
+  WHEN a = 6 THEN 'amount_not_positive' END AS p1 FROM e0),
+e2 AS (SELECT *, p1 IS NULL AND a = 3 AS tossed, CASE WHEN id % 2 = 0 THEN least(1.0::double, quantity_left) ELSE quantity_left END AS amt FROM e1),
+e3 AS (SELECT *, left1 > 0 AND left1 <= 1 AND known AS fin2, p1 IS NULL AND a IN (0, 1, 3) AND left1 <= 0 AS fin1 FROM (SELECT *, CASE WHEN p1 IS NOT NULL THEN quantity_left
+   WHEN a = 0 THEN greatest(0.0::double, quantity_left - 2) WHEN a = 1 THEN 0.0::double WHEN a = 3 THEN quantity_left - amt ELSE quantity_left END AS left1,
+  wasted_quantity + CASE WHEN tossed AND why <> 'gave_away' THEN amt ELSE 0 END AS wq, CASE WHEN tossed THEN why ELSE waste_reason END AS wr FROM e2) x)"""
 PLAN_REFUSALS = """pc AS (SELECT *, id % 6 AS k, CASE
  WHEN id % 6 = 0 THEN CASE WHEN end_date < date '2001-08-02' THEN 'already_ended' WHEN date '2001-08-01' < start_date THEN 'not_started' END
  WHEN id % 6 = 1 THEN CASE WHEN end_date IS NULL OR end_date >= date '2001-08-02' OR coalesce(start_date > date '2001-08-02', false) THEN 'not_ended' END
@@ -299,8 +310,17 @@ FROM questions q LEFT JOIN tx t ON t.household_id = q.household_id AND t.id = q.
 LEFT JOIN tx o ON o.household_id = q.household_id AND o.id = q.other_transaction_id
 WHERE q.status <> 'open' OR (q.id % 3 <> 0 AND CASE WHEN q.kind = 'receipt_match' THEN t.id IS NULL OR r.id IS NULL OR t.receipt_id IS NOT NULL ELSE abs(abs(t.amount_c) - abs(o.amount_c)) > 1 OR t.transfer_group IS NOT NULL END)"""),
     # changes
-    Query("apply_stock_events", lambda L: U.apply_stock_events(L, derived(L, EVENTS))[0].select("household_id", "id", *U.STATE_COLUMNS)),
-    Query("refused_stock_events", lambda L: U.apply_stock_events(L, derived(L, EVENTS))[1]),
+    Query("apply_stock_events", lambda L: U.apply_stock_events(L, derived(L, EVENTS))[0].select("household_id", "id", *U.STATE_COLUMNS), f"""WITH {STOCK_EVENTS}
+SELECT household_id, id, CASE WHEN fin1 OR fin2 THEN CASE WHEN wq > 0 THEN CASE WHEN wr IN ('expired', 'spoiled') THEN 'Spoiled' ELSE 'Discarded' END ELSE 'Consumed' END ELSE status END AS status,
+ CASE WHEN known AND left1 > 0 THEN greatest(0.0::double, left1 - 1) ELSE left1 END AS quantity_left, wq AS wasted_quantity, CASE WHEN tossed AND wr <> 'gave_away' THEN date '2001-08-02' ELSE wasted_on END AS wasted_on,
+ wr AS waste_reason, CASE WHEN p1 IS NULL AND a = 2 THEN coalesce(opened_on, date '2001-08-02') WHEN p1 IS NULL AND a = 4 THEN NULL ELSE opened_on END AS opened_on,
+ CASE WHEN fin1 THEN date '2001-08-02' WHEN fin2 THEN date '2001-08-03' ELSE finished_on END AS finished_on,
+ CASE WHEN p1 IS NULL AND a = 4 THEN NULL WHEN p1 IS NULL AND a = 5 THEN 'cellar' ELSE location END AS location, CASE WHEN p1 IS NULL AND a = 5 THEN cast(id % 8 AS int) ELSE rating END AS rating,
+ would_rebuy, CASE WHEN p1 IS NULL AND a = 4 THEN 'Frozen' ELSE storage_condition END AS storage_condition, CASE WHEN p1 IS NULL AND a = 4 THEN date '2001-08-02' + 90 ELSE date_expiry END AS date_expiry
+FROM e3"""),
+    Query("refused_stock_events", lambda L: U.apply_stock_events(L, derived(L, EVENTS))[1], f"""WITH {STOCK_EVENTS}
+SELECT household_id, id AS item_id, id * 10 + 1 AS event_id, p1 AS problem FROM e3 WHERE p1 IS NOT NULL
+UNION ALL SELECT household_id, id, id * 10 + 2, CASE WHEN known THEN 'nothing_left' ELSE 'no_such_item' END FROM e3 WHERE NOT known OR left1 <= 0"""),
     Query("confirm_receipts", lambda L: U.confirm_receipts(L, derived(L, "SELECT household_id, id AS receipt_id, CASE WHEN id % 2 = 0 THEN purchase_date - 3 END AS purchase_date FROM {receipts} WHERE status = 'needs_review'"))
           .items.select("household_id", "id", "date_purchased", "date_expiry"), """
 SELECT i.household_id, i.id, CASE WHEN r.id IS NULL THEN date_purchased ELSE r.purchase_date - 3 END AS date_purchased, CASE WHEN r.id IS NULL THEN date_expiry ELSE date_expiry - 3 END AS date_expiry
