@@ -5,13 +5,29 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from hearth.llm.language_id import language_id
+from hearth.llm.quality_rules import quality_rules
 from hearth.llm.source_mix import comparison_sql as mix_sql
 from hearth.llm.source_mix import mix_sources
 from hearth.llm.text import table
 from hearth.llm.token_counts import token_counts
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
+    train = docs.filter(~held_out).select(F.col("doc_id").alias("id"), "text", "lang")
+    found = language_id(docs, train)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -21,7 +37,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_source_mix, op9_token_counts)}
+    return {f.__name__: f for f in (op2_language_id, op3_quality_rules, op7_source_mix, op9_token_counts)}
 
 
 def llm_sql() -> dict[str, str]:
