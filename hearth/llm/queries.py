@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hearth.llm.byte_repeats import byte_repeats
 from hearth.llm.decontamination import decontamination
 from hearth.llm.language_id import language_id
 from hearth.llm.pii import KINDS, pii_spans
@@ -62,8 +63,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))
 
 
+def op10_byte_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_quality_rules, op4_pii, op7_source_mix, op8_toxicity, op9_token_counts)}
+    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_quality_rules, op4_pii, op7_source_mix, op8_toxicity, op9_token_counts, op10_byte_repeats)}
 
 
 def llm_sql() -> dict[str, str]:
