@@ -22,14 +22,16 @@ from pyspark.sql import functions as F
 
 from hearth.llm.text import batches, text_bytes
 
-#: ASCII upper case folded, every white space a blank: lengths and offsets stay.
+#: Upper case folded (ASCII, and the Latin letters that UTF-8 writes after 0xC3), every white space a blank: lengths and offsets stay.
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[0x41:0x5B] += 0x20
 FOLD[9:14] = 0x20
 
 
-def folded(text: str) -> bytes:
-    return FOLD[np.frombuffer(text.encode(), dtype=np.uint8)].tobytes()
+def folded(raw: np.ndarray) -> bytes:
+    out = FOLD[raw]
+    out[1:][(raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)] += 0x20
+    return out.tobytes()
 
 
 def budget(m: int, rate: float) -> int:
@@ -144,14 +146,14 @@ def item_blocks(benchmark: DataFrame, block_bytes: int, least: int, item_id: str
     blocks = max(1, math.ceil(total / block_bytes))
     for b in range(blocks if total else 0):
         found = rows.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).distinct().collect()
-        yield sorted(((r.item_id, folded(r.text)) for r in found), key=lambda x: (str(x[0]), x[1]))
+        yield sorted(((r.item_id, folded(np.frombuffer(r.text.encode(), dtype=np.uint8))) for r in found), key=lambda x: (str(x[0]), x[1]))
 
 
 def decontamination(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, least: int = 24, block_bytes: int = 1 << 20,
                     doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """A row per document and item of which the document holds a copy: doc_id, item_id, distance, match_start, match_end.
 
-    Distances and offsets count bytes; case of A-Z and kinds of white space do not count.  The best copy is given, the first of equals.
+    Distances and offsets count bytes; case of Latin letters and kinds of white space do not count.  The best copy is given, the first of equals.
     Items of fewer than `least` bytes (and null or empty ones) prove nothing and match nothing; null and empty texts match nothing.  Null ids
     stay; repeated documents are each matched; an item that is there twice counts once; empty tables give an empty one; other columns are
     ignored.
@@ -167,7 +169,7 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, l
             known = _matcher(shared.value, rate)
             for batch in batches(stream):
                 raw, at = text_bytes(batch.column("text"))
-                data = FOLD[raw].tobytes()
+                data = folded(raw)
                 hits = [(j, *hit) for j in range(batch.num_rows) for hit in known.find(data[at[j] : at[j + 1]])]
                 ids = batch.column("id").take(pa.array([h[0] for h in hits], pa.int64()))
                 items = pa.array([known.items[h[1]][0] for h in hits], wanted)

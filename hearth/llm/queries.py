@@ -17,6 +17,7 @@ from hearth.llm.source_mix import mix_sources
 from hearth.llm.text import table
 from hearth.llm.token_counts import token_counts
 from hearth.llm.toxicity import labelled, toxicity
+from hearth.llm.word_repeats import word_repeats
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +51,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op5_word_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -68,7 +73,7 @@ def op10_byte_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_quality_rules, op4_pii, op7_source_mix, op8_toxicity, op9_token_counts, op10_byte_repeats)}
+    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_quality_rules, op4_pii, op5_word_repeats, op7_source_mix, op8_toxicity, op9_token_counts, op10_byte_repeats)}
 
 
 def llm_sql() -> dict[str, str]:
