@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hearth.llm.byte_repeats import byte_repeats
 from hearth.llm.decontamination import decontamination
+from hearth.llm.jaccard_join import jaccard_join
 from hearth.llm.language_id import language_id
 from hearth.llm.pii import KINDS, pii_spans
 from hearth.llm.quality_rules import quality_rules
@@ -55,6 +56,10 @@ def op5_word_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -73,7 +78,7 @@ def op10_byte_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_quality_rules, op4_pii, op5_word_repeats, op7_source_mix, op8_toxicity, op9_token_counts, op10_byte_repeats)}
+    return {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_quality_rules, op4_pii, op5_word_repeats, op6_jaccard_join, op7_source_mix, op8_toxicity, op9_token_counts, op10_byte_repeats)}
 
 
 def llm_sql() -> dict[str, str]:
