@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from hearth.llm.text import batches, text_bytes
 
@@ -160,6 +161,7 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, l
     """
     rows = docs.select(docs[doc_id].alias("id"), docs[text].alias("text"))
     item_type = benchmark.schema[item_id].dataType
+    wanted = to_arrow_type(item_type)
     schema = f"doc_id {rows.schema['id'].dataType.simpleString()}, item_id {item_type.simpleString()}, distance int, match_start long, match_end long"
     out = docs.sparkSession.createDataFrame([], schema)
     for block in item_blocks(benchmark, block_bytes, least, item_id, item_text):
@@ -176,8 +178,22 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, l
                 cells = [pa.array([h[c] for h in hits], kind) for c, kind in ((2, pa.int32()), (3, pa.int64()), (4, pa.int64()))]
                 yield pa.record_batch([ids, items, *cells], names=["doc_id", "item_id", "distance", "match_start", "match_end"])
 
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        wanted = to_arrow_type(item_type)
         out = out.unionByName(rows.mapInArrow(match, schema))
     return out
+
+
+def without_copies(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, least: int = 24, block_bytes: int = 1 << 20, text: str = "text",
+                   item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """`docs`, all columns, without the rows that hold a copy of an item."""
+    for block in item_blocks(benchmark, block_bytes, least, item_id, item_text):
+        shared = docs.sparkSession.sparkContext.broadcast(tuple(block))
+
+        def keep(stream: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            known = _matcher(shared.value, rate)
+            for batch in batches(stream, text):
+                raw, at = text_bytes(batch.column(text))
+                data = folded(raw)
+                yield batch.filter(pa.array([not known.find(data[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.bool_()))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs

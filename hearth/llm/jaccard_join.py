@@ -29,7 +29,7 @@ from hearth.llm.text import Polynomial, U, batches, mix, parked, text_bytes, wor
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 WORDS, SEQUENCES = Polynomial(71), Polynomial(72)
-SHORT = 160
+SHORT_PREFIX = 16
 RARE = 4096
 GROUP = 256  # members of a leader that one task compares
 
@@ -67,9 +67,10 @@ def _heads(tokens: np.ndarray, cut: np.ndarray, size: np.ndarray) -> tuple[np.nd
     return tokens[cut[:-1][which] + position], which, position
 
 
-def index_keys(tokens: np.ndarray, cut: np.ndarray, frequent: np.ndarray, pct: int, short: int = SHORT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def index_keys(tokens: np.ndarray, cut: np.ndarray, frequent: np.ndarray, pct: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(key, set, position) of all sets; `frequent` is ordered.  Position 0 where the key does not tell."""
     n = np.diff(cut)
+    short = SHORT_PREFIX * 100 // (100 - pct)  # so that a short set has few pairs
     if len(frequent) and len(tokens):
         text = np.repeat(np.arange(len(n)), n)
         k = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
@@ -164,7 +165,7 @@ def jaccard_join(docs: DataFrame, width: int = 3, pct: int = 90, rounds: int = 3
     A-Z are lower-cased; with fewer than `width` words the whole sequence is the one shingle.  Two sets link when 100 * intersection >=
     pct * union.  Null and empty texts have no shingle and link with nothing: they are their own component.  Null ids do not count as the
     smallest unless a component has no other; repeated rows are in one component; other columns are ignored; an empty table gives an empty
-    one.  Tokens and sets are known by 64-bit hashes.
+    one.  `pct` is below 100.  Tokens and sets are known by 64-bit hashes.
     """
     rows = docs.select(docs[doc_id].alias("id"), docs[text].alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -249,6 +250,26 @@ def jaccard_join(docs: DataFrame, width: int = 3, pct: int = 90, rounds: int = 3
     return named.join(least, "root", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **joining) -> DataFrame:
+    """`docs`, all columns, with one row of each component: the one with the smallest id (a null id is the largest).
+
+    Rows that are equal in id and text stay once.  Rows without a shingle all stay: they link with nothing.
+    """
+    name = "".join(["row_", *(c for c in docs.columns)])  # no column is called so
+    place = F.struct(F.col(doc_id).isNull().alias("a"), F.col(doc_id).alias("b"), F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), text).alias("c"))
+    named = docs.withColumn(name, place)
+    found = parked(jaccard_join(named, doc_id=name, text=text, **joining), "components")
+    gone = found.filter("doc_id != component_id AND n_shingles > 0").select(F.col("doc_id.c").alias("c")).distinct()
+    twice = found.filter("n_shingles > 0").groupBy(F.col("doc_id.c").alias("c")).agg(F.count("*").alias("n")).filter("n > 1").select("c")
+    key = F.col(f"`{name}`.c")
+    left = named.join(gone, key == gone.c, "left_anti")
+    once = left.join(twice, key == twice.c, "left_anti")
+    if not twice.isEmpty():
+        again = left.join(twice, key == twice.c, "left_semi")
+        once = once.unionByName(again.dropDuplicates([name]))
+    return once.drop(name)
+
+
 def _distinct_sets(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(key, node) without repetition: copies in a batch count once."""
     order = np.lexsort((node, key))

@@ -153,47 +153,59 @@ def fit_chain(doc: np.ndarray, place: np.ndarray, marks: dict[str, np.ndarray],
     return Chain(links, max(cut, -1.0))
 
 
-def toxicity(docs: DataFrame, train: DataFrame, categories: list[str], most_labels: int = 5000, doc_id: str = "doc_id", text: str = "text", **fitting) -> DataFrame:
-    """One row per row of `docs`: doc_id, p_<category> for each of `categories` (probabilities), score (the last), toxic.
+def learned(train: DataFrame, categories: list[str], most_labels: int = 5000, **fitting) -> Chain | None:
+    """A chain from rows (id, text, a 0/1 column for each category); None without a usable row.
 
-    `train` has id, text and a 0/1 column for each category; rows with a null among them are not used, an id that is there twice
-    counts once.  The chain is fitted on the `most_labels` rows with the least hash of their id, at most.  Null and empty texts get
-    probability 0 and are not toxic, and so does everything when there is nothing to learn from.  Null ids stay; repeated rows are judged
-    alike; other columns are ignored; an empty table gives an empty one.  No shuffle after fitting.
+    Rows with a null id or mark are not used, an id that is there twice counts once.  Only the `most_labels` rows with the least hash of
+    their id are fitted, at most: that bounds what reaches the driver (their distinct features).
     """
-    spark = docs.sparkSession
     usable = train.dropna(subset=["id", *categories])
     ids = [r.id for r in usable.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(most_labels).collect()]
-    shared = None
-    if ids:
-
-        def gather(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches(stream, most=1 << 19):
-                d, p = features(*text_bytes(batch.column("text")))
-                both = np.unique(d * PLACES + p)
-                cut = np.searchsorted(both // PLACES, np.arange(batch.num_rows + 1)).astype(np.int32)
-                places = pa.ListArray.from_arrays(cut, pa.array((both % PLACES).astype(np.int32)))
-                yield pa.record_batch([places, *(batch.column(c) for c in ("id", *categories))], names=["places", "id", *categories])
-
-        some = usable.filter(F.col("id").isin(ids)).groupBy("id").agg(F.min(F.struct(*(F.col(c).cast("int").alias(c) for c in categories), "text")).alias("row")).select("id", "row.*")
-        kind = some.schema["id"].dataType.simpleString()
-        learned = some.mapInArrow(gather, f"places array<int>, id {kind}, " + ", ".join(f"{c} int" for c in categories)).toArrow().sort_by("id")
-        lists = learned.column("places").combine_chunks()
-        doc = np.repeat(np.arange(len(lists)), np.asarray(pa.compute.list_value_length(lists)))
-        place = np.asarray(lists.flatten()).astype(np.int64)
-        marks = {c: np.asarray(learned.column(c)).astype(np.int64) for c in categories}
-        shared = spark.sparkContext.broadcast(fit_chain(doc, place, marks, **fitting))
+    if not ids:
+        return None
+
+    def gather(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(stream, most=1 << 19):
+            d, p = features(*text_bytes(batch.column("text")))
+            both = np.unique(d * PLACES + p)
+            cut = np.searchsorted(both // PLACES, np.arange(batch.num_rows + 1)).astype(np.int32)
+            places = pa.ListArray.from_arrays(cut, pa.array((both % PLACES).astype(np.int32)))
+            yield pa.record_batch([places, *(batch.column(c) for c in ("id", *categories))], names=["places", "id", *categories])
+
+    marks = [F.col(c).cast("int").alias(c) for c in categories]
+    some = usable.filter(F.col("id").isin(ids)).groupBy("id").agg(F.min(F.struct(*marks, "text")).alias("row")).select("id", "row.*")
+    kind = some.schema["id"].dataType.simpleString()
+    found = some.mapInArrow(gather, f"places array<int>, id {kind}, " + ", ".join(f"{c} int" for c in categories)).toArrow().sort_by("id")
+    lists = found.column("places").combine_chunks()
+    doc = np.repeat(np.arange(len(lists)), np.asarray(pa.compute.list_value_length(lists)))
+    place = np.asarray(lists.flatten()).astype(np.int64)
+    return fit_chain(doc, place, {c: np.asarray(found.column(c)).astype(np.int64) for c in categories}, **fitting)
+
+
+def _judged(chain: Chain | None, column: pa.Array, categories: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(probabilities by category, verdict) of a text column."""
+    n = len(column)
+    if chain is None:
+        return np.zeros((n, len(categories))), np.zeros(n, dtype=bool)
+    raw, at = text_bytes(column)
+    odds = chain.log_odds(*features(raw, at), n)
+    full = np.diff(at) > 0
+    p = np.where(full[:, None], 1.0 / (1.0 + np.exp(-np.clip(odds, -30, 30).astype(float))), 0.0)
+    return p, full & (odds[:, -1] >= chain.cut)
+
+
+def toxicity(docs: DataFrame, train: DataFrame, categories: list[str], doc_id: str = "doc_id", text: str = "text", **fitting) -> DataFrame:
+    """One row per row of `docs`: doc_id, p_<category> for each of `categories` (probabilities), score (the last), toxic.
+
+    `train` is what `learned` takes.  Null and empty texts get probability 0 and are not toxic, and so does everything when there is nothing
+    to learn from.  Null ids stay; repeated rows are judged alike; other columns are ignored; an empty table gives an empty one.  No
+    shuffle after fitting.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(learned(train, categories, **fitting))
 
     def judge(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(stream, most=1 << 19):
-            n = batch.num_rows
-            p, toxic = np.zeros((n, len(categories))), np.zeros(n, dtype=bool)
-            if shared is not None:
-                raw, at = text_bytes(batch.column("text"))
-                odds = shared.value.log_odds(*features(raw, at), n)
-                full = np.diff(at) > 0
-                p = np.where(full[:, None], 1.0 / (1.0 + np.exp(-np.clip(odds, -30, 30).astype(float))), 0.0)
-                toxic = full & (odds[:, -1] >= shared.value.cut)
+            p, toxic = _judged(shared.value, batch.column("text"), categories)
             yield pa.record_batch([batch.column("id"), *(pa.array(p[:, k]) for k in range(len(categories))), pa.array(p[:, -1]), pa.array(toxic)],
                                   names=["doc_id", *(f"p_{c}" for c in categories), "score", "toxic"])
 
@@ -202,6 +214,17 @@ def toxicity(docs: DataFrame, train: DataFrame, categories: list[str], most_labe
     return rows.mapInArrow(judge, f"doc_id {rows.schema['id'].dataType.simpleString()}, {out}, score double, toxic boolean")
 
 
+def without_toxic(docs: DataFrame, train: DataFrame, categories: list[str], text: str = "text", **fitting) -> DataFrame:
+    """`docs`, all columns, without the rows whose text is toxic."""
+    shared = docs.sparkSession.sparkContext.broadcast(learned(train, categories, **fitting))
+
+    def keep(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(stream, text, 1 << 19):
+            yield batch.filter(pa.array(~_judged(shared.value, batch.column(text), categories)[1]))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def labelled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[str]]:
     """Training rows from documents and labels (doc_id, quality, toxic): toxic within junk, toxic within prose, toxic at all."""
     marks = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("any_toxic"), F.min("quality").alias("good")).select(
