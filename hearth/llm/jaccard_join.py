@@ -31,6 +31,7 @@ LOWER[0x41:0x5B] += 0x20
 WORDS, SEQUENCES = Polynomial(71), Polynomial(72)
 SHORT_PREFIX = 16
 RARE = 4096
+LEAST_FREQUENT = 64
 GROUP = 256  # members of a leader that one task compares
 
 
@@ -186,7 +187,7 @@ def jaccard_join(docs: DataFrame, width: int = 3, pct: int = 90, rounds: int = 3
 
     sets = parked(rows.mapInArrow(sets_of, f"id {kind}, n long, node long"), "sets")
     size = sets.count()
-    often = rows.select("text").mapInArrow(heads, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") > max(64, size // RARE))
+    often = rows.select("text").mapInArrow(heads, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") > max(LEAST_FREQUENT, size // RARE))
     frequent = sc.broadcast(np.sort(np.asarray(often.select("token").toArrow().column("token")).view(np.uint64)) if size else none)
 
     def keys_of(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
