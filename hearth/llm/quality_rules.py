@@ -119,7 +119,7 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray, most_tests: int, bins: int)
         p, n = bad[live].sum(), (~bad[live]).sum()
         base, best = np.log2(p / (p + n)), (1e-9, None)
         for name, values in x.items():
-            cuts = np.unique(np.quantile(values[live & bad], np.linspace(0, 1, bins)))
+            cuts = np.unique(np.concatenate([np.quantile(values[of], np.linspace(0, 1, bins)) for of in (live & bad, live)]))
             for above in (True, False):
                 for cut in np.unique((cuts[1:] + cuts[:-1]) / 2) if len(cuts) > 1 else cuts:
                     hit = live & (values > cut if above else values <= cut)
