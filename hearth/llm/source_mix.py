@@ -34,7 +34,7 @@ filled AS (SELECT *, (budget - most_before) / weight_from >= most / weight AS is
 spare AS (SELECT *, sum(CASE WHEN is_full THEN most ELSE 0.0 END) OVER () AS full_sum,
     sum(CASE WHEN is_full THEN 0.0 ELSE weight END) OVER () AS open_weight FROM filled),
 shares AS (SELECT source, source_size, budget, place,
-    CASE WHEN is_full THEN most ELSE (budget - full_sum) * weight / open_weight END AS target FROM spare)"""
+    CASE WHEN is_full THEN most ELSE (budget - full_sum) * weight / nullif(open_weight, 0.0) END AS target FROM spare)"""
 
 _QUEUE = """
 slice_sums AS (SELECT source, slice, cast(sum(size) AS bigint) AS total FROM sized GROUP BY source, slice),
@@ -45,7 +45,7 @@ queued AS (SELECT i.doc_id, i.size, i.digest, h.source_size, h.target, h.budget,
     JOIN shares h ON i.source IS NOT DISTINCT FROM h.source)"""
 
 _CUT = """
-timed AS (SELECT size, digest, place, pass, budget, (finish + pass * source_size) / target AS v
+timed AS (SELECT size, digest, place, pass, budget, (finish + pass * source_size) / nullif(target, 0.0) AS v
     FROM queued CROSS JOIN (VALUES (0), (1)) AS p (pass) WHERE size > 0),
 times AS (SELECT *, cast(floor({slices} * (v / (1 + v))) AS int) AS time_slice FROM timed),
 time_sums AS (SELECT time_slice, cast(sum(size) AS bigint) AS total, max(budget) AS budget FROM times GROUP BY time_slice),
@@ -63,7 +63,7 @@ _TAKES = """(CASE WHEN size > 0 AND cut_slice IS NOT NULL AND (cast(floor({slice
 
 
 def _taken() -> str:
-    parts = [_TAKES.format(v=f"((finish + {p} * source_size) / target)", p=p, slices=SLICES) for p in (0, 1)]
+    parts = [_TAKES.format(v=f"((finish + {p} * source_size) / nullif(target, 0.0))", p=p, slices=SLICES) for p in (0, 1)]
     return f"cast(size * ({parts[0]} + {parts[1]}) AS bigint)"
 
 
