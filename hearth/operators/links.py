@@ -23,9 +23,21 @@ COLUMNS = {
 }
 
 
+def last_changes(changes: DataFrame, on: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(the last change of each key, the others). Equal changes count once; what `order` leaves open, the values decide."""
+    rank = F.row_number().over(W.partitionBy(*on).orderBy(*[F.col(c).desc_nulls_last() for c in [*order, *[c for c in changes.columns if c not in order]]]))
+    ranked = written(changes.distinct().withColumn("_rank", rank))
+    return ranked.filter("_rank = 1").drop("_rank"), ranked.filter("_rank > 1").drop("_rank")
+
+
 def patched(df: DataFrame, changes: DataFrame, on: list[str], columns: list[str]) -> DataFrame:
-    """df with `columns` taken from `changes` where a change with the same key exists (nulls included)."""
-    new = changes.select(*on, *[F.col(c).alias(f"_new_{c}") for c in columns], F.lit(True).alias("_changed"))
+    """df with `columns` taken from `changes` where a change with the same key exists (nulls included).
+
+    A row of df never becomes two: of several changes of a key the one with the greatest values holds. Callers that know which is the last pick it
+    with `last_changes` and report the others.
+    """
+    once = changes.groupBy(*on).agg(F.max(F.struct(*columns)).alias("_new"))
+    new = once.select(*on, *[F.col(f"_new.{c}").alias(f"_new_{c}") for c in columns], F.lit(True).alias("_changed"))
     out = df.join(new, on, "left")
     return out.select(*[
         F.when(F.col("_changed"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c)

@@ -20,7 +20,7 @@ from ..schema import (
 from ..sources.scratch import written
 from .base import sorted_fold, top_k
 from .finders import bookings
-from .links import patched
+from .links import last_changes, patched
 from .quality import validate_category
 from .stock import with_stock_group
 from .subscriptions import FREQUENCIES
@@ -34,57 +34,70 @@ STATE_COLUMNS = [part.strip().split(" ")[0] for part in STATE.split(",")]
 
 
 # ---- stock ---------------------------------------------------------------------------------------------
-def stock_step(s: dict, e: dict) -> str | None:
-    """Applies one event to the state of one item; returns why it cannot be applied, or None."""
-    action, amount, day = e["action"], e["amount"], e["day"]
-    if action == "update":
-        if e["new_rating"] is not None and not 1 <= e["new_rating"] <= 5:
-            return "rating_out_of_range"
-        for field in ("location", "date_expiry", "rating", "would_rebuy"):
-            value = e[f"new_{field}"]
-            if value is not None:
-                s[field] = (value.strip() or None) if field == "location" else value
-        return None
-    if action == "discard" and e["reason"] != "gave_away" and e["reason"] not in WASTE_STATUS:
-        return "unknown_reason"
-    left = s["quantity_left"]
-    if left <= 0:
-        return "nothing_left"
-    if action == "open":
-        s["opened_on"] = s["opened_on"] or day
-        return None
-    if action == "freeze":
-        if not s["is_food"]:
-            return "only_food_can_be_frozen"
-        if s["storage_condition"] == "Frozen":
-            return "already_frozen"
-        s.update(storage_condition="Frozen", date_expiry=day + dt.timedelta(days=FREEZER_DAYS), opened_on=None, location=None)
-        return None
-    if action == "use":
-        amount = 1.0 if amount is None else amount
-        if amount <= 0:
-            return "amount_not_positive"
-        s["quantity_left"] = max(0.0, left - amount)
-    elif action == "finish":
-        s["quantity_left"] = 0.0
-    elif action == "discard":
-        reason = e["reason"]
-        amount = left if amount is None else min(amount, left)
-        if amount <= 0:
-            return "nothing_to_remove"
-        s["waste_reason"] = reason
-        if reason != "gave_away":
-            s["wasted_quantity"], s["wasted_on"] = s["wasted_quantity"] + amount, day
-        s["quantity_left"] = left - amount
-    else:
-        return "unknown_action"
-    if s["quantity_left"] <= 0:
-        s["quantity_left"], s["finished_on"] = 0.0, day
-        wasted = s["wasted_quantity"] > 0
-        s["status"] = WASTE_STATUS.get(s["waste_reason"] or "", "Discarded") if wasted else "Consumed"
+# An event is first turned into what it asks for, in columns: what speaks against it whatever the stock, what it needs of the stock, and
+# what it sets or removes. The fold then knows nothing of actions: it weighs the request against the state and books it.
+ALL_OF_IT = 1e300
+REQUEST = (
+    "day date, early string, late string, wants_stock boolean, chills boolean, opens boolean, moves boolean, removes double, is_waste boolean, "
+    "why string, new_location string, new_date_expiry date, new_rating int, new_would_rebuy boolean"
+)
+
+
+def stock_requests(events: DataFrame, keep: list[str]) -> DataFrame:
+    """keep and the REQUEST columns of stock events (day, action, amount, reason, location, date_expiry, rating, would_rebuy)."""
+    action, amount = F.col("action"), F.col("amount")
+    update, discard = action == "update", action == "discard"
+    taken = F.when(action == "use", F.coalesce(amount, F.lit(1.0))).when(discard, F.coalesce(amount, F.lit(ALL_OF_IT))).when(action == "finish", F.lit(ALL_OF_IT))
+    gift = F.col("reason").eqNullSafe("gave_away")
+    early = F.when(update & ~F.col("rating").between(1, 5), "rating_out_of_range").when(
+        discard & ~gift & ~F.coalesce(F.col("reason").isin(*WASTE_STATUS), F.lit(False)), "unknown_reason")
+    late = F.when((action == "use") & (taken <= 0), "amount_not_positive").when(discard & (taken <= 0), "nothing_to_remove").when(
+        ~F.coalesce(action.isin("update", "open", "freeze", "use", "finish", "discard"), F.lit(False)), "unknown_action")
+    only = lambda test, c: F.when(test, F.col(c))
+    columns = {
+        "day": F.col("day"), "early": early, "late": late, "wants_stock": ~F.coalesce(update, F.lit(False)), "chills": action.eqNullSafe("freeze"),
+        "opens": action.eqNullSafe("open"), "moves": F.coalesce(update & F.col("location").isNotNull(), F.lit(False)), "removes": taken, "is_waste": discard & ~gift,
+        "why": only(discard, "reason"), "new_location": F.when(update, F.nullif(F.trim("location"), F.lit(""))),
+        "new_date_expiry": F.when(update, F.col("date_expiry")).when(action == "freeze", F.date_add("day", FREEZER_DAYS)),
+        "new_rating": only(update, "rating"), "new_would_rebuy": only(update, "would_rebuy"),
+    }
+    return events.select(*keep, *[c.cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(REQUEST) for c in [columns[f.name]]])
+
+
+def stock_step(state: dict, request: dict) -> str | None:
+    """Books a request on the state of one item; returns what speaks against it, or None."""
+    against = [
+        request["early"], "nothing_left" if request["wants_stock"] and state["quantity_left"] <= 0 else None, request["late"],
+        "only_food_can_be_frozen" if request["chills"] and not state["is_food"] else None,
+        "already_frozen" if request["chills"] and state["storage_condition"] == "Frozen" else None,
+    ]
+    if any(against):
+        return next(filter(None, against))
+    state.update({c: request[f"new_{c}"] for c in ("date_expiry", "rating", "would_rebuy") if request[f"new_{c}"] is not None})
+    if request["chills"] or request["moves"]:
+        state["location"] = request["new_location"]
+    if request["chills"]:
+        state["storage_condition"], state["opened_on"] = "Frozen", None
+    if request["opens"] and state["opened_on"] is None:
+        state["opened_on"] = request["day"]
+    if request["removes"] is not None:
+        _take(state, min(request["removes"], state["quantity_left"]), request)
     return None
 
 
+def _take(state: dict, amount: float, request: dict) -> None:
+    rest = state["quantity_left"] - amount
+    state["quantity_left"] = rest if rest > 0 else 0.0
+    if request["why"]:
+        state["waste_reason"] = request["why"]
+    if request["is_waste"]:
+        state["wasted_quantity"] += amount
+        state["wasted_on"] = request["day"]
+    if not state["quantity_left"]:
+        state["finished_on"] = request["day"]
+        state["status"] = WASTE_STATUS.get(state["waste_reason"], "Discarded") if state["wasted_quantity"] > 0 else "Consumed"
+
+
 class _StockFold:
     """Row 0 is the item, the rest its events in order."""
 
@@ -107,9 +120,6 @@ class _StockFold:
         return [(None, None, *[self.state[c] for c in STATE_COLUMNS])]
 
 
-EVENT_FIELDS = "day date, action string, amount double, reason string, new_location string, new_date_expiry date, new_rating int, new_would_rebuy boolean"
-
-
 def stock_event_rows(L: Ledger, events: DataFrame) -> DataFrame:
     """Items that have events (as row 0) and their events, in one frame with one key."""
     own = L.on("item_id")
@@ -119,14 +129,11 @@ def stock_event_rows(L: Ledger, events: DataFrame) -> DataFrame:
     left = F.coalesce("quantity_left", F.col("quantity").cast("double"), F.lit(1.0))
     base = base.withColumn("quantity_left", left).withColumn("wasted_quantity", F.coalesce("wasted_quantity", F.lit(0.0)))
     state = [F.col(c) for c in STATE_COLUMNS]
-    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(EVENT_FIELDS).fields]
+    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(REQUEST).fields]
     rows = base.select(*own, F.lit(0).alias("step"), F.lit(None).cast("timestamp").alias("ts"), F.lit(None).cast("bigint").alias("event_id"), *blank, "is_food", *state)
     none = [F.lit(None).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(STATE).fields]
-    return rows.unionByName(events.select(
-        *own, F.lit(1).alias("step"), "ts", "event_id", "day", "action", "amount", "reason", F.col("location").alias("new_location"),
-        F.col("date_expiry").alias("new_date_expiry"), F.col("rating").alias("new_rating"), F.col("would_rebuy").alias("new_would_rebuy"),
-        F.lit(None).cast("boolean").alias("is_food"), *none,
-    ))
+    asked = stock_requests(events.withColumn("step", F.lit(1)), [*own, "step", "ts", "event_id"])
+    return rows.unionByName(asked.select("*", F.lit(None).cast("boolean").alias("is_food"), *none))
 
 
 def apply_stock_events(L: Ledger, events: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -147,7 +154,8 @@ def apply_stock_events(L: Ledger, events: DataFrame) -> tuple[DataFrame, DataFra
 # ---- receipts and statements ---------------------------------------------------------------------------
 def confirm_receipts(L: Ledger, fixes: DataFrame) -> Ledger:
     """fixes: receipt_id, purchase_date (null keeps it). A corrected date moves the lines and their expiry along."""
-    f = fixes.select(*L.keys, F.col("receipt_id").alias("id"), F.col("purchase_date").alias("_day"), F.lit(True).alias("_fix"))
+    days = F.max("purchase_date").alias("_day")  # of several fixes of a receipt the latest day holds
+    f = fixes.groupBy(*L.keys, F.col("receipt_id").alias("id")).agg(days, F.lit(True).alias("_fix"))
     rc = L.receipts.join(f, L.on("id"), "left")
     shift = rc.filter(F.col("_day").isNotNull() & (F.col("_day") != F.col("purchase_date"))).select(
         *L.keys, F.col("id").alias("receipt_id"), "_day", F.datediff("_day", "purchase_date").alias("_shift")
@@ -218,7 +226,8 @@ def remap_categories(L: Ledger, mapping: DataFrame) -> tuple[Ledger, DataFrame]:
         .when(F.col("_tf").isNull() | (F.col("source") == F.col("target")), "pick_two_different").when(F.col("_sf") != F.col("_tf"), "different_flow")
     )
     m = written(m.withColumn("problem", problem))
-    good = m.filter(F.col("problem").isNull()).select(*has, "source", F.col("target").alias("_to"), F.lit(True).alias("_hit"))
+    good, late = last_changes(m.filter(F.col("problem").isNull()).select(*has, "source", "target"), [*has, "source"], [])
+    good = good.select(*has, "source", F.col("target").alias("_to"), F.lit(True).alias("_hit"))
 
     def moved(df: DataFrame, column: str) -> DataFrame:
         on = [k for k in has]
@@ -230,7 +239,8 @@ def remap_categories(L: Ledger, mapping: DataFrame) -> tuple[Ledger, DataFrame]:
     items = items.withColumn("spend_category", F.col("_new")).select(*L.items.columns)
     tx = moved(L.bookings, "category").withColumn("category", F.col("_new")).select(*L.bookings.columns)
     cats = L.categories.join(good.select(*has, F.col("source").alias("key")), [*has, "key"], "left_anti").select(*L.categories.columns)
-    return L.with_(items=items, bookings=tx, categories=cats), m.filter(F.col("problem").isNotNull()).select(*has, "source", "target", "problem")
+    refused = m.filter(F.col("problem").isNotNull()).select(*has, "source", "target", "problem")
+    return L.with_(items=items, bookings=tx, categories=cats), refused.unionByName(late.withColumn("problem", F.lit("mapped_again")))
 
 
 def upsert_categories(cats: DataFrame, changes: DataFrame, keys: tuple = ()) -> tuple[DataFrame, DataFrame]:
@@ -277,9 +287,12 @@ def upsert_categories(cats: DataFrame, changes: DataFrame, keys: tuple = ()) ->
 
 
 def apply_category_changes(L: Ledger, changes: DataFrame) -> tuple[Ledger, DataFrame]:
-    """changes: ref ('i12' receipt line, 't45' booking), category. One change per entry; refused ones come back."""
+    """changes: ref ('i12' receipt line, 't45' booking), category, and change_id where an entry may change more than once.
+
+    The last change of an entry holds (by change_id, else the last category in order); the others and the refused ones come back.
+    """
     one = changes.withColumn("_kind", F.substring("ref", 1, 1)).withColumn(
-        "id", F.when(F.col("ref").rlike("^.[0-9]{1,18}$"), F.substring("ref", 2, 20)).cast("bigint"))
+        "id", F.when(F.col("ref").rlike("^.-?[0-9]{1,19}$"), F.expr("try_cast(substring(ref, 2) AS bigint)")))
     items = L.items.select(*L.keys, "id", F.lit("i").alias("_kind"), F.lit("expense").alias("_flow_of"), F.lit(False).alias("_free"))
     tx = L.bookings.select(*L.keys, "id", F.lit("t").alias("_kind"), E.entry_flow("kind", "amount_c").alias("_flow_of"), F.col("kind").isin(*NO_CATEGORY_KINDS).alias("_free"))
     rows = one.join(items.unionByName(tx), L.on("_kind", "id"), "left")
@@ -289,11 +302,13 @@ def apply_category_changes(L: Ledger, changes: DataFrame) -> tuple[Ledger, DataF
         .when(F.col("_free"), "transfers_and_investments_have_none").otherwise(F.col("category_problem"))
     )
     rows = written(rows.withColumn("problem", problem))
-    good = rows.filter(F.col("problem").isNull())
+    order = [c for c in ("change_id",) if c in changes.columns]
+    good, late = last_changes(rows.filter(F.col("problem").isNull()), L.on("_kind", "id"), order)
     to_items = good.filter(F.col("_kind") == "i").select(*L.keys, "id", F.col("category").alias("spend_category"), E.legacy_category("category").alias("category"))
     to_tx = good.filter(F.col("_kind") == "t").select(*L.keys, "id", "category")
     out = L.with_(items=patched(L.items, to_items, L.on("id"), ["spend_category", "category"]), bookings=patched(L.bookings, to_tx, L.on("id"), ["category"]))
-    return out, rows.filter(F.col("problem").isNotNull()).select(*L.keys, "ref", "category", "problem")
+    refused = rows.filter(F.col("problem").isNotNull()).unionByName(late.withColumn("problem", F.lit("changed_again")))
+    return out, refused.select(*L.keys, "ref", "category", "problem")
 
 
 def backfill_categories(L: Ledger) -> Ledger:
@@ -333,11 +348,13 @@ def apply_kind_changes(L: Ledger, changes: DataFrame) -> tuple[Ledger, DataFrame
     )
     rows = written(rows.withColumn("problem", problem))
     out = F.col("kind") == "internal_transfer"
-    change = rows.filter(F.col("problem").isNull()).select(
+    good, late = last_changes(rows.filter(F.col("problem").isNull()), L.on("transaction_id"), [c for c in ("change_id",) if c in changes.columns])
+    change = good.select(
         *L.keys, F.col("transaction_id").alias("id"), "kind", F.when(out, "confirmed").alias("link_status"), F.when(out, MANUAL_REASON).alias("link_reason"))
     df = patched(L.bookings, change, L.on("id"), ["kind", "link_status", "link_reason"])
     df = df.withColumn("category", F.when(~F.col("kind").isin("internal_transfer") | (F.coalesce("link_reason", F.lit("")) != MANUAL_REASON), F.col("category")))
-    return L.with_(bookings=df), rows.filter(F.col("problem").isNotNull()).select(*L.keys, "transaction_id", "kind", "problem")
+    refused = rows.filter(F.col("problem").isNotNull()).unionByName(late.withColumn("problem", F.lit("changed_again")))
+    return L.with_(bookings=df), refused.select(*L.keys, "transaction_id", "kind", "problem")
 
 
 def apply_instrument_labels(L: Ledger, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -358,7 +375,7 @@ def apply_instrument_labels(L: Ledger, labels: DataFrame) -> tuple[DataFrame, Da
 def apply_rule_changes(L: Ledger, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """changes: key, frequency, hidden, ts. The latest word per payee; neither frequency nor hidden removes the rule."""
     bad = F.coalesce(~F.col("frequency").isin(*FREQUENCIES), F.lit(False))
-    last = top_k(changes.filter(~bad), L.on("key"), [F.col("ts").desc()], 1)
+    last = top_k(changes.filter(~bad), L.on("key"), [F.col(c).desc_nulls_last() for c in ("ts", "hidden", "frequency")], 1)
     kept = L.rules.join(last.select(*L.on("key")), L.on("key"), "left_anti")
     new = last.filter(F.col("frequency").isNotNull() | F.col("hidden")).select(*L.on("key"), "frequency", "hidden")
     return kept.select(*L.rules.columns).unionByName(new), changes.filter(bad).select(*L.on("key"), "frequency", F.lit("unknown_frequency").alias("problem"))
@@ -369,83 +386,87 @@ PLAN = "broker string, instrument string, amount_c bigint, frequency string, anc
 PLAN_COLUMNS = [part.strip().split(" ")[0] for part in PLAN.split(",")]
 
 
-def plan_problem(p: dict) -> str | None:
-    if p["broker"] not in BROKERS:
-        return "unknown_broker"
-    p["instrument"] = (p["instrument"] or "").strip()
-    if not p["instrument"]:
-        return "no_instrument"
-    if p["amount_c"] is None or p["amount_c"] <= 0:
-        return "amount_not_positive"
-    if p["frequency"] not in ("weekly", "biweekly", "monthly"):
-        return "unknown_frequency"
-    if p["start_date"] and p["end_date"] and p["end_date"] < p["start_date"]:
-        return "ends_before_it_starts"
-    p["note"] = (p["note"] or "").strip() or None
-    return None
+GIVEN = {"correct": PLAN_COLUMNS, "change": ["amount_c", "instrument", "frequency", "anchor_date"], "create": PLAN_COLUMNS}
+
+
+def plan_requests(changes: DataFrame, keep: list[str]) -> DataFrame:
+    """keep, action, on_date, form (what is wrong with the request by itself) and new_ plan fields: only those the action may set."""
+    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    create = F.col("action") == "create"
+    may = {c: F.coalesce(F.col("action").isin(*[a for a, columns in GIVEN.items() if c in columns]), F.lit(False)) for c in PLAN_COLUMNS}
+    needed = lambda c: may[c] & (create | F.col(c).isNotNull())
+    known = lambda c, values: F.coalesce(F.col(c).isin(*values), F.lit(False))
+    form = (
+        F.when(needed("broker") & ~known("broker", BROKERS), "unknown_broker").when(needed("instrument") & blank("instrument").isNull(), "no_instrument")
+        .when(needed("amount_c") & ~F.coalesce(F.col("amount_c") > 0, F.lit(False)), "amount_not_positive")
+        .when(needed("frequency") & ~known("frequency", ("weekly", "biweekly", "monthly")), "unknown_frequency")
+        .when(create & (F.col("end_date") < F.col("start_date")), "ends_before_it_starts")
+        .when(~F.coalesce(F.col("action").isin("create", "correct", "suspend", "resume", "change", "delete"), F.lit(False)), "unknown_action")
+    )
+    tidy = {c: blank(c) if c in ("instrument", "note") else F.col(c) for c in PLAN_COLUMNS}
+    return changes.select(*keep, "action", "on_date", form.alias("form"), *[F.when(may[c], tidy[c]).alias(f"new_{c}") for c in PLAN_COLUMNS])
+
+
+def _over(plan: dict, day: dt.date) -> bool:
+    return plan["end_date"] is not None and plan["end_date"] < day
+
+
+def _begun(plan: dict, day: dt.date) -> bool:
+    """Whether the plan runs, or has run, on the day before."""
+    return plan["start_date"] is None or plan["start_date"] < day
+
+
+#: What speaks against an action on the day, first come first named.
+AGAINST = {
+    "suspend": {"already_ended": _over, "not_started": lambda plan, day: not _begun(plan, day)},
+    "resume": {"not_ended": lambda plan, day: not (_over(plan, day) and _begun(plan, day + dt.timedelta(days=1)))},
+    "change": {"pick_a_later_day": lambda plan, day: not _begun(plan, day), "already_ended": _over},
+}
 
 
 class _PlanFold:
-    """Row 0 is the plan, the rest its changes in order. Emits (change_id, problem, plan fields): the plan as it
-    ends up has no change_id, plans opened by a change carry it, refused changes carry it with the problem."""
+    """A plan as an interval of days with its terms. Row 0 is the plan, the rest its changes in order.
+
+    Emits (change_id, problem, plan fields): the plan as it ends up has no change_id, plans opened by a change carry it, refused changes
+    carry it with the problem.
+    """
 
     def __init__(self):
-        self.plan, self.deleted = None, False
+        self.plan = None
 
-    def _emit(self, change, problem, plan):
-        return (change, problem, *[plan[c] if plan else None for c in PLAN_COLUMNS])
+    def _refused(self, r: dict) -> str | None:
+        if r["action"] != "create" and self.plan is None:
+            return "no_plan"
+        tests = AGAINST.get(r["action"], {})
+        return next((name for name, test in tests.items() if test(self.plan, r["on_date"])), None) or r["form"]
 
     def row(self, r: dict):
+        terms = {c: r[f"new_{c}"] for c in PLAN_COLUMNS if r[f"new_{c}"] is not None}
         if r["change_id"] is None:
             self.plan = {c: r[c] for c in PLAN_COLUMNS}
             return ()
-        change, action, on = int(r["change_id"]), r["action"], r["on_date"]
-        new = {c: r[f"new_{c}"] for c in PLAN_COLUMNS}
-        opened = None
-        if action == "create":
-            problem, opened = plan_problem(new), new
-        elif self.plan is None or self.deleted:
-            problem = "no_plan"
-        elif action == "delete":
-            self.deleted, problem = True, None
-        elif action == "correct":
-            fixed = {c: new[c] if new[c] is not None else self.plan[c] for c in PLAN_COLUMNS}
-            problem = plan_problem(fixed)
-            if problem is None:
+        change, problem, opened = int(r["change_id"]), self._refused(r), None
+        if problem is None and r["action"] == "create":
+            opened = dict.fromkeys(PLAN_COLUMNS) | terms
+        elif problem is None and r["action"] == "correct":
+            fixed = self.plan | terms
+            if fixed["start_date"] and _over(fixed, fixed["start_date"]):
+                problem = "ends_before_it_starts"
+            else:
                 self.plan = fixed
-        elif action == "suspend":
-            last = on - dt.timedelta(days=1)
-            ended = self.plan["end_date"] is not None and self.plan["end_date"] < on
-            early = self.plan["start_date"] is not None and last < self.plan["start_date"]
-            problem = "already_ended" if ended else "not_started" if early else None
-            if problem is None:
-                self.plan["end_date"] = last
-        elif action == "resume":
-            ended = self.plan["end_date"] is not None and self.plan["end_date"] < on
-            waiting = self.plan["start_date"] is not None and self.plan["start_date"] > on
-            problem = None if ended and not waiting else "not_ended"
-            opened = {**self.plan, "start_date": on, "end_date": None}
-            problem = problem or plan_problem(opened)
-        elif action == "change":
-            start, end = self.plan["start_date"], self.plan["end_date"]
-            problem = "pick_a_later_day" if start and on <= start else "already_ended" if end is not None and end < on else None
-            opened = {**self.plan, "start_date": on, "end_date": None}
-            for c in ("amount_c", "instrument"):
-                opened[c] = new[c] if new[c] is not None else opened[c]
-            if new["frequency"] is not None and new["frequency"] != opened["frequency"]:
-                opened.update(frequency=new["frequency"], anchor_date=None)
-            opened["anchor_date"] = new["anchor_date"] or opened["anchor_date"]
-            problem = problem or plan_problem(opened)
-            if problem is None:
-                self.plan["end_date"] = on - dt.timedelta(days=1)
-        else:
-            problem = "unknown_action"
-        if problem:
-            return [self._emit(change, problem, None)]
-        return [self._emit(change, None, opened)] if opened else ()
+        elif problem is None:
+            if r["action"] in ("resume", "change"):
+                other_rhythm = terms.get("frequency", self.plan["frequency"]) != self.plan["frequency"]
+                opened = self.plan | ({"anchor_date": None} if other_rhythm else {}) | terms | {"start_date": r["on_date"], "end_date": None}
+            if r["action"] in ("suspend", "change"):
+                self.plan["end_date"] = r["on_date"] - dt.timedelta(days=1)
+            if r["action"] == "delete":
+                self.plan = None
+        shown = [opened[c] if opened and not problem else None for c in PLAN_COLUMNS]
+        return [(change, problem, *shown)] if problem or opened else ()
 
     def end(self):
-        return [self._emit(None, None, self.plan)] if self.plan and not self.deleted else ()
+        return [(None, None, *[self.plan[c] for c in PLAN_COLUMNS])] if self.plan else ()
 
 
 def apply_plan_changes(L: Ledger, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -459,7 +480,8 @@ def apply_plan_changes(L: Ledger, changes: DataFrame) -> tuple[DataFrame, DataFr
     base = L.plans.withColumnRenamed("id", "plan_id").join(touched, own, "left_semi")
     none = lambda ddl, p="": [F.lit(None).cast(f.dataType).alias(p + f.name) for f in T.StructType.fromDDL(ddl).fields]
     rows = base.select(*own, F.lit(None).cast("bigint").alias("change_id"), F.lit(None).cast("string").alias("action"), F.lit(None).cast("date").alias("on_date"), *PLAN_COLUMNS, *none(PLAN, "new_"))
-    rows = rows.unionByName(named.select(*own, "change_id", "action", "on_date", *none(PLAN), *[F.col(c).alias(f"new_{c}") for c in PLAN_COLUMNS]))
+    asked = plan_requests(named, [*own, "change_id"]).select("*", *none(PLAN))
+    rows = rows.withColumn("form", F.lit(None).cast("string")).unionByName(asked)
     schema = T.StructType([T.StructField(c, rows.schema[c].dataType) for c in own] + T.StructType.fromDDL("change_id bigint, problem string, " + PLAN).fields)
     out = written(sorted_fold(rows, own, ["change_id"], _PlanFold, schema))
     untouched = L.plans.join(touched.withColumnRenamed("plan_id", "id"), L.on("id"), "left_anti")

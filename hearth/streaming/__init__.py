@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.loads import load_receipts, load_statements
 from ..operators.stock import with_stock_group
-from ..operators.upkeep import STATE_COLUMNS, stock_step
+from ..operators.upkeep import STATE_COLUMNS, stock_requests, stock_step
 from ..schema import NOT_STOCK, RECEIPT_DOC, STATEMENT_DOC, Ledger
 from ..sources.ledger import split_submissions
 from ..sources.scratch import written
@@ -105,9 +105,8 @@ def stream_stock(L: Ledger, events: DataFrame) -> DataFrame:
     left = F.coalesce("quantity_left", F.col("quantity").cast("double"), F.lit(1.0))
     base = with_stock_group(stock, L).withColumn("quantity_left", left).withColumn("wasted_quantity", F.coalesce("wasted_quantity", F.lit(0.0)))
     base = base.select(*L.keys, F.col("id").alias("item_id"), text([*STATE_COLUMNS, "is_food"]).alias("item"))
-    named = events.withColumnsRenamed({c: f"new_{c}" for c in ("location", "date_expiry", "rating", "would_rebuy")})
-    facts = [F.unix_micros("ts").alias("at"), *[c for c in named.columns if c not in [*own, "ts"]]]
-    named = named.select(*own, text(facts).alias("event"))
+    named = stock_requests(events.withColumn("at", F.unix_micros("ts")), [*own, "at", "event_id"])
+    named = named.select(*own, text([c for c in named.columns if c not in own]).alias("event"))
     joined = named.join(base, own, "left")
     key_types = ", ".join(f"{k} {joined.schema[k].dataType.simpleString()}" for k in own)
     return joined.groupBy(*own).applyInPandasWithState(
@@ -116,10 +115,10 @@ def stream_stock(L: Ledger, events: DataFrame) -> DataFrame:
     )
 
 
-def stream_month_totals(entries: DataFrame, keys: list[str], lateness: str = "40 days") -> DataFrame:
+def stream_month_totals(entries: DataFrame, keys: list[str]) -> DataFrame:
     """Running spending per month and category of an entry stream (keys, date, key, amount_c); use update mode.
 
-    Months older than the lateness allowance leave the state.
+    The state holds one row per household, month and category and entries may come years late, so no month ever leaves it.
     """
-    timed = entries.withColumn("month", F.date_trunc("month", F.col("date").cast("timestamp"))).withWatermark("month", lateness)
+    timed = entries.withColumn("month", F.date_trunc("month", F.col("date").cast("timestamp")))
     return timed.groupBy(*keys, "month", "key").agg(F.sum("amount_c").alias("amount_c"), F.count("*").alias("entries"))
