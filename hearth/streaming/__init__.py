@@ -12,12 +12,13 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.loads import load_receipts, load_statements
+from ..operators.reconcile import reconcile
 from ..operators.stock import with_stock_group
 from ..operators.upkeep import STATE_COLUMNS, stock_requests, stock_step
-from ..schema import NOT_STOCK, RECEIPT_DOC, STATEMENT_DOC, Ledger
-from ..sources.ledger import split_submissions
+from ..schema import NOT_STOCK, Ledger
+from ..sources.ledger import split_submissions, submission_schema
 from ..sources.scratch import written
-from ..sources.store import load_ledger, touched_buckets, update_ledger
+from ..sources.store import load_ledger, manifest, touched_buckets, update_ledger
 
 
 def stream_ingest(
@@ -26,31 +27,36 @@ def stream_ingest(
 ) -> StreamingQuery:
     """Loads new submission files (JSON lines) into the ledger at `ledger` and files an outcome per document.
 
-    Works off what is there and stops (availableNow); the checkpoint remembers the files. A batch that is run
-    again finds its documents stored and reports duplicates instead of storing twice; its outcome is replaced.
+    After statements the passes of `reconcile` run over the households of the batch. Works off what is there and stops (availableNow);
+    the checkpoint remembers the files. The outcome is filed before the ledger is switched, and the ledger remembers the batch: one that
+    was cut off before the switch is done again from the old ledger, one after it is skipped.
     """
-    schema = T.StructType.fromDDL(RECEIPT_DOC if kind == "receipt" else STATEMENT_DOC).add("unreadable", "string")
     docs = (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+        spark.readStream.schema(submission_schema(kind, keys)).option("maxFilesPerTrigger", max_files)
         .option("columnNameOfCorruptRecord", "unreadable").json(in_dir)
     )
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        heads, lines, bad = split_submissions(written(batch), kind)
-        L = load_ledger(spark, ledger, touched_buckets(heads, keys), keys)
+        state = manifest(spark, ledger)
+        if state["batches"].get(checkpoint, -1) >= batch_id:
+            return
+        heads, lines, bad = split_submissions(written(batch), kind, keys)
+        heads = written(heads)
+        touched = touched_buckets(heads, keys, state["buckets"])
+        L = load_ledger(spark, ledger, touched, keys)
         if kind == "receipt":
             after, outcome = load_receipts(heads, lines, L, today)
             names: tuple = ("items", "receipts")
         else:
             after, outcome = load_statements(heads, lines, L)
+            after = reconcile(after.with_(bookings=written(after.bookings)))
             names = ("bookings", "questions", "receipts", "statements")
-        outcome = written(outcome)
-        update_ledger(after, ledger, names)
         unreadable = bad.select(
             *[F.lit(None).cast("bigint").alias(k) for k in keys], F.xxhash64("unreadable").alias("doc_id"),
             F.lit("unreadable").alias("outcome"), F.col("unreadable").alias("reason"),
         )
         outcome.unionByName(unreadable).write.mode("overwrite").parquet(f"{outcomes}/batch={batch_id}")
+        update_ledger(after, ledger, names, touched, (checkpoint, batch_id))
 
     return (
         docs.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
