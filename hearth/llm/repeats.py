@@ -202,7 +202,7 @@ def _counted_windows(cuts: DataFrame, unit: np.dtype, length: int) -> DataFrame:
 
     def windows_of(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Polynomial(43)
-        for batch in batches(stream, "units", 1 << 19):
+        for batch in batches(stream, "units"):
             data, offsets = text_bytes(batch.column("units"))
             units, at = data.view(unit), offsets // unit.itemsize
             start, text = window_starts(at, length)

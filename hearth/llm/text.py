@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on at once inside a task; a longer text is a batch of its own.
-BATCH_BYTES = 1 << 21
+BATCH_BYTES = 1 << 19
 WORD = r"[^\x20\x09-\x0D]+"
 
 SPACE = np.zeros(256, dtype=bool)
@@ -41,7 +41,7 @@ class Polynomial:
 
     def _grow(self, n: int) -> None:
         if len(self.up) <= n:
-            size = 1 << int(n + 1).bit_length()
+            size = n + n // 4 + 1024
             for name, factor in (("up", self.base), ("down", self.inverse)):
                 steps = np.full(size, factor, dtype=np.uint64)
                 steps[0] = 1

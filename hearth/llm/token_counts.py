@@ -72,7 +72,7 @@ def token_counts(docs: DataFrame, model_path: str | None = None, limit: int = 40
 
     Null and empty texts have 0 bytes and 0 tokens.  A null doc_id stays null; repeated rows are counted each; an empty table
     gives an empty one.  Other columns are ignored.  Texts longer than `chunk` characters go through overlapping chunks.
-    No shuffle; a task holds one batch of about two megabytes, or one text.
+    No shuffle; a task holds one batch of half a megabyte, or one text.
     """
     if model_path is None:
         import public_tokenizers
