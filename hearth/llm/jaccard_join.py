@@ -10,8 +10,8 @@ enough, the prefixes of n - ceil(t n) + k tokens share k tokens at least.  The i
 A token is frequent if it stands in the prefixes of more than 1 in `RARE` documents (64 at least): at most `RARE` times a mean prefix of them.
 
 Sets with a common key are not paired off.  Each round compares every member of a key with one leader of its size band and of the bands beside
-it; verified links join classes, and keys inside one class are done.  Rounds with other leaders follow while they pay; then the pairs
-that are left, of a key but of different classes and not refuted by size or position, are verified one by one.
+it; verified links join classes, and keys inside one class are done.  Rounds with other leaders follow while one pair in ten is a link; then the
+pairs that are left, of a key but of different classes and not refuted by their sizes or by how many keys they share, are verified one by one.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearth.llm.repeats import _filter, _passes, _signed
@@ -32,7 +32,8 @@ WORDS, SEQUENCES = Polynomial(71), Polynomial(72)
 SHORT_PREFIX = 16
 RARE = 4096
 LEAST_FREQUENT = 64
-GROUP = 256  # members of a leader that one task compares
+ALONE, PAIR, LARGE = 0, 1, 2
+GROUP = 256  # members of a leader that one task compares, about
 
 
 def shingle_sets(raw: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,15 +62,15 @@ def prefix_size(n: np.ndarray, pct: int, k: int) -> np.ndarray:
     return np.minimum(n, n + (-pct * n) // 100 + k)
 
 
-def _heads(tokens: np.ndarray, cut: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The first `size` tokens of each set: (token, set, position)."""
+def _heads(tokens: np.ndarray, cut: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first `size` tokens of each set: (token, set)."""
     which = np.repeat(np.arange(len(size)), size)
     position = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    return tokens[cut[:-1][which] + position], which, position
+    return tokens[cut[:-1][which] + position], which
 
 
 def index_keys(tokens: np.ndarray, cut: np.ndarray, frequent: np.ndarray, pct: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, set, position) of all sets; `frequent` is ordered.  Position 0 where the key does not tell."""
+    """(key, set, kind) of all sets; `frequent` is ordered.  Kinds: ALONE, PAIR (of a short set), LARGE (of a long one)."""
     n = np.diff(cut)
     short = SHORT_PREFIX * 100 // (100 - pct)  # so that a short set has few pairs
     if len(frequent) and len(tokens):
@@ -80,13 +81,13 @@ def index_keys(tokens: np.ndarray, cut: np.ndarray, frequent: np.ndarray, pct: i
         tokens, common = tokens[order], common[order]
     else:
         common = np.zeros(len(tokens), dtype=bool)
-    keys, sets, places = [], [], []
+    keys, sets, kinds = [], [], []
     small = np.where((n <= short) & (n > 1), prefix_size(n, pct, 2), 0)
-    token, which, position = _heads(tokens, cut, small)
+    token, which = _heads(tokens, cut, small)
     often = _heads(common, cut, small)[0]
     keys.append(mix(token[~often]))
     sets.append(which[~often])
-    places.append(position[~often])
+    kinds.append(np.full(len(keys[-1]), ALONE))
     token, which = token[often], which[often]
     for d in range(1, int(small.max()) if len(small) else 0):
         same = which[d:] == which[:-d]
@@ -94,13 +95,13 @@ def index_keys(tokens: np.ndarray, cut: np.ndarray, frequent: np.ndarray, pct: i
             break
         keys.append(mix(mix(token[:-d][same]) * U(3) + token[d:][same]))
         sets.append(which[d:][same])
-        places.append(np.zeros(int(same.sum()), dtype=np.int64))
+        kinds.append(np.full(len(keys[-1]), PAIR))
     large = np.where(100 * n > pct * short, prefix_size(n, pct, 1), 0)
-    token, which, position = _heads(tokens, cut, large)
+    token, which = _heads(tokens, cut, large)
     keys.append(mix(token + U(0x5851F42D4C957F2D)))
     sets.append(which)
-    places.append(position)
-    return np.concatenate(keys), np.concatenate(sets), np.concatenate(places)
+    kinds.append(np.full(len(keys[-1]), LARGE))
+    return np.concatenate(keys), np.concatenate(sets), np.concatenate(kinds)
 
 
 def similar(a: np.ndarray, b: np.ndarray, pct: int) -> bool:
@@ -116,10 +117,8 @@ def similar(a: np.ndarray, b: np.ndarray, pct: int) -> bool:
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, pct: int) -> DataFrame:
     """The pairs (node, leader) that are links.  The members of a leader are dealt to as many tasks as they need, the leader's text to each."""
-    place = F.row_number().over(Window.partitionBy("leader", "salt").orderBy("node"))
-    salted = pairs.select("leader", "node", F.pmod(F.xxhash64("node"), F.lit(64)).alias("salt"))
-    members = salted.select("leader", "node", F.concat_ws("-", F.col("salt"), F.floor(place / GROUP)).alias("part"))
-    members = parked(members, "members")
+    parts = pairs.groupBy("leader").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
+    members = parked(pairs.join(parts, "leader").select("leader", "node", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part")), "members")
     leaders = members.select("leader", "part").distinct().join(texts.withColumnRenamed("node", "leader"), "leader").select("leader", "part", F.lit(None).cast("long").alias("node"), "text")
     rows = members.join(texts, "node").select("leader", "part", "node", "text").unionByName(leaders)
 
@@ -176,16 +175,16 @@ def jaccard_join(docs: DataFrame, width: int = 3, pct: int = 90, rounds: int = 3
     def heads(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(stream):
             tokens, cut = shingle_sets(*text_bytes(batch.column("text")), width)
-            token, _, _ = _heads(tokens, cut, prefix_size(np.diff(cut), pct, 1))
+            token, _ = _heads(tokens, cut, prefix_size(np.diff(cut), pct, 1))
             token, n = np.unique(token, return_counts=True)
             yield pa.record_batch([_signed(token), pa.array(n)], names=["token", "n"])
 
     def sets_of(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(stream):
             tokens, cut = shingle_sets(*text_bytes(batch.column("text")), width)
-            yield pa.record_batch([batch.column("id"), pa.array(np.diff(cut).astype(np.int64)), _signed(set_names(tokens, cut))], names=["id", "n", "node"])
+            yield pa.record_batch([batch.column("id"), batch.column("row"), pa.array(np.diff(cut).astype(np.int64)), _signed(set_names(tokens, cut))], names=["id", "row", "n", "node"])
 
-    sets = parked(rows.mapInArrow(sets_of, f"id {kind}, n long, node long"), "sets")
+    sets = parked(rows.withColumn("row", F.xxhash64("text")).mapInArrow(sets_of, f"id {kind}, row long, n long, node long"), "sets")
     size = sets.count()
     often = rows.select("text").mapInArrow(heads, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") > max(LEAST_FREQUENT, size // RARE))
     frequent = sc.broadcast(np.sort(np.asarray(often.select("token").toArrow().column("token")).view(np.uint64)) if size else none)
@@ -204,44 +203,45 @@ def jaccard_join(docs: DataFrame, width: int = 3, pct: int = 90, rounds: int = 3
     def members_of(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(stream):
             tokens, cut = shingle_sets(*text_bytes(batch.column("text")), width)
-            key, which, position = index_keys(tokens, cut, frequent.value, pct)
+            key, which, kind_of = index_keys(tokens, cut, frequent.value, pct)
             k = np.flatnonzero(_passes(words.value, key))
-            key, which, position = key[k], which[k], position[k]
-            yield pa.record_batch([_signed(key), _signed(set_names(tokens, cut)[which]), pa.array(np.diff(cut)[which].astype(np.int32)), pa.array(position.astype(np.int32))], names=["key", "node", "n", "position"])
+            key, which, kind_of = key[k], which[k], kind_of[k]
+            yield pa.record_batch([_signed(key), _signed(set_names(tokens, cut)[which]), pa.array(np.diff(cut)[which].astype(np.int32)), pa.array(kind_of.astype(np.int8))], names=["key", "node", "n", "kind"])
 
-    found = rows.select("text").mapInArrow(members_of, "key long, node long, n int, position int").join(shared, "key").groupBy("key", "node").agg(F.max("n").alias("n"), F.min("position").alias("position"))
+    found = rows.select("text").mapInArrow(members_of, "key long, node long, n int, kind byte").join(shared, "key").groupBy("key", "node").agg(F.max("n").alias("n"), F.max("kind").alias("kind"))
     members = parked(found, "members")
     links, roots = None, None
     done = None
-    texts = _texts(rows, sets, members, kind, width)
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / pct))).cast("int")
     for turn in range(rounds):
         open_rows = _open(members, roots).withColumn("band", band)
         leaders = open_rows.groupBy("key", "band").agg(F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(turn))).alias("leader"))
         beside = leaders.select("key", F.explode(F.array(*(F.col("band") + d for d in (-1, 0, 1)))).alias("band"), "leader")
         pairs = open_rows.join(beside, ["key", "band"]).filter("root != leader.root")
-        pairs = _sized(pairs.select(F.col("leader.node").alias("leader"), "node", "n", F.col("leader.n").alias("m")), pct).select("leader", "node").distinct()
+        pairs = _sized(pairs.select(F.col("leader.node").alias("leader"), "node", "n", F.col("leader.n").alias("m")), pct)
+        # near copies meet under most of their keys; a pair that meets under few is left to the end
+        met = pairs.groupBy("leader", "node", "n").agg(F.count("*").alias("keys")).filter(4 * F.col("keys") >= F.col("n") - F.ceil(F.col("n") * pct / 100) + 1)
+        pairs = met.select("leader", "node")
         pairs = parked(pairs if done is None else pairs.join(done, ["leader", "node"], "left_anti"), "pairs")
         if pairs.isEmpty():
             break
         done = pairs if done is None else done.unionByName(pairs)
-        new = parked(_verified(pairs, texts, width, pct), "links")
+        new = parked(_verified(pairs, _texts(rows, sets, pairs), width, pct), "links")
         links = new if links is None else links.unionByName(new)
         roots = classes(links)
-        if new.isEmpty():
+        if 10 * new.count() < pairs.count():
             break
     rest = parked(_open(members, roots), "open")
     left, right = rest.alias("l"), rest.alias("r")
     pairs = left.join(right, F.col("l.key") == F.col("r.key")).filter("l.root < r.root")
-    bound = F.least(F.col("l.n") - F.col("l.position"), F.col("r.n") - F.col("r.position"))  # what the sets can share from here on
-    pairs = pairs.filter((100 + pct) * bound >= pct * (F.col("l.n") + F.col("r.n"))).select(F.col("l.node").alias("leader"), F.col("r.node").alias("node"), F.col("l.n").alias("n"), F.col("r.n").alias("m"))
-    pairs = _sized(pairs, pct).select("leader", "node").distinct()
+    pairs = pairs.select(F.col("l.node").alias("leader"), F.col("r.node").alias("node"), F.col("l.n").alias("n"), F.col("r.n").alias("m"), "l.kind")
+    pairs = _possible(_sized(pairs, pct), pct)
     if done is not None:
         other = done.select(F.col("node").alias("leader"), F.col("leader").alias("node"))
         pairs = pairs.join(done, ["leader", "node"], "left_anti").join(other, ["leader", "node"], "left_anti")
     pairs = parked(pairs, "pairs")
     if not pairs.isEmpty():
-        new = parked(_verified(pairs, texts, width, pct), "links")
+        new = parked(_verified(pairs, _texts(rows, sets, pairs), width, pct), "links")
         links = new if links is None else links.unionByName(new)
         roots = classes(links)
     named = sets.withColumn("root", F.col("node"))
@@ -284,6 +284,22 @@ def _sized(pairs: DataFrame, pct: int) -> DataFrame:
     return pairs.filter(100 * F.least("n", "m") >= pct * F.greatest("n", "m"))
 
 
+def _possible(met: DataFrame, pct: int) -> DataFrame:
+    """Pairs (leader, node) that may be links, from a row for each key they meet under.
+
+    What two sets share is at most what their prefixes share and all that follows one of the prefixes.  Of two short sets the single keys
+    count tokens and the pair keys count pairs of them; no pair means one token more at most.
+    """
+    sums = met.groupBy("leader", "node", "n", "m").agg(*(F.count(F.when(F.col("kind") == k, 1)).alias(f"k{k}") for k in (ALONE, PAIR, LARGE)))
+    short = SHORT_PREFIX * 100 // (100 - pct)
+    after = lambda k: F.greatest(*(F.greatest(F.ceil(F.col(c) * pct / 100) - k, F.lit(0)) for c in ("n", "m")))
+    frequent = F.when(F.col("k1") > 0, F.floor((1 + F.sqrt(1 + 8 * F.col("k1"))) / 2 + 1e-6)).otherwise(F.lit(1))
+    enough = lambda shared: (100 + pct) * shared >= pct * (F.col("n") + F.col("m"))
+    both_short, both_long = F.greatest("n", "m") <= short, 100 * F.least("n", "m") > pct * short
+    good = (~both_short | enough(F.col("k0") + frequent + after(2))) & (~both_long | enough(F.col("k2") + after(1)))
+    return sums.filter(good).select("leader", "node")
+
+
 def _open(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     """Members with their class, of keys that hold more than one class."""
     if roots is None:
@@ -293,21 +309,20 @@ def _open(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     return named.join(several, "key")
 
 
-def _texts(rows: DataFrame, sets: DataFrame, members: DataFrame, kind: str, width: int) -> DataFrame:
-    """(node, text) of one document of each node that has a shared key.
+def _texts(rows: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, text) of one document of each node of the pairs.
 
     A filter of fixed size keeps most other texts from being shuffled; the join decides.
     """
-    wanted = parked(members.select(F.col("node").alias("key")).distinct(), "wanted")
+    nodes = pairs.select("node").union(pairs.select("leader")).distinct()
+    # equal sets give equal answers, whichever text stands for them
+    wanted = parked(sets.join(nodes, "node").groupBy("node").agg(F.min("row").alias("key")), "wanted")
     words = rows.sparkSession.sparkContext.broadcast(_filter(wanted))
 
-    def name(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(stream):
-            node = set_names(*shingle_sets(*text_bytes(batch.column("text")), width))
-            _, first = np.unique(node, return_index=True)
-            pick = pa.array(first[_passes(words.value, node[first])])
-            yield pa.record_batch([_signed(node).take(pick), batch.column("text").take(pick)], names=["node", "text"])
-
-    named = rows.select("text").mapInArrow(name, "node long, text string")
-    # one of each: equal sets give equal answers, whichever text stands for them
-    return parked(named.join(wanted.withColumnRenamed("key", "node"), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "texts")
+    def pick(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            yield batch.filter(pa.array(_passes(words.value, np.asarray(batch.column("key")))))
+
+    named = rows.select(F.xxhash64("text").alias("key"), "text").mapInArrow(pick, "key long, text string")
+    once = named.join(wanted.select("key"), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
+    return parked(once.join(wanted, "key").select("node", "text"), "texts")
