@@ -21,6 +21,7 @@ from hearth.llm.text import Polynomial, U, batches, mix, text_bytes
 PLACES = 1 << 22
 GRAM = 6
 PREFIXES = (5, 6, 7, 8)
+LEAST = 4  # rows in which a feature must stand to be chosen
 HASH = Polynomial(21)
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -132,7 +133,7 @@ def _link(category: str, doc, place, y, rows, earlier, most: int, least: int) ->
     return Link(category, chosen, w)
 
 
-def fit_chain(doc: np.ndarray, place: np.ndarray, marks: dict[str, np.ndarray], folds: int = 4, most: int = 768, least: int = 4, precision: float = 0.97) -> Chain:
+def fit_chain(doc: np.ndarray, place: np.ndarray, marks: dict[str, np.ndarray], folds: int = 4, most: int = 768, least: int = LEAST, precision: float = 0.97) -> Chain:
     """A chain over the categories in the order given; doc, place: the (repeat-free) features of the labelled rows."""
     n = len(next(iter(marks.values())))
     fold = np.arange(n) % folds
@@ -153,7 +154,7 @@ def fit_chain(doc: np.ndarray, place: np.ndarray, marks: dict[str, np.ndarray],
     return Chain(links, max(cut, -1.0))
 
 
-def learned(train: DataFrame, categories: list[str], most_labels: int = 5000, **fitting) -> Chain | None:
+def learned(train: DataFrame, categories: list[str], most_labels: int = 4000, **fitting) -> Chain | None:
     """A chain from rows (id, text, a 0/1 column for each category); None without a usable row.
 
     Rows with a null id or mark are not used, an id that is there twice counts once.  Only the `most_labels` rows with the least hash of
@@ -165,7 +166,7 @@ def learned(train: DataFrame, categories: list[str], most_labels: int = 5000, **
         return None
 
     def gather(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(stream, most=1 << 19):
+        for batch in batches(stream):
             d, p = features(*text_bytes(batch.column("text")))
             both = np.unique(d * PLACES + p)
             cut = np.searchsorted(both // PLACES, np.arange(batch.num_rows + 1)).astype(np.int32)
@@ -176,10 +177,14 @@ def learned(train: DataFrame, categories: list[str], most_labels: int = 5000, **
     some = usable.filter(F.col("id").isin(ids)).groupBy("id").agg(F.min(F.struct(*marks, "text")).alias("row")).select("id", "row.*")
     kind = some.schema["id"].dataType.simpleString()
     found = some.mapInArrow(gather, f"places array<int>, id {kind}, " + ", ".join(f"{c} int" for c in categories)).toArrow().sort_by("id")
+    marks = {c: np.asarray(found.column(c)).astype(np.int64) for c in categories}
     lists = found.column("places").combine_chunks()
-    doc = np.repeat(np.arange(len(lists)), np.asarray(pa.compute.list_value_length(lists)))
-    place = np.asarray(lists.flatten()).astype(np.int64)
-    return fit_chain(doc, place, {c: np.asarray(found.column(c)).astype(np.int64) for c in categories}, **fitting)
+    doc = np.repeat(np.arange(len(lists), dtype=np.int32), np.asarray(pa.compute.list_value_length(lists)))
+    place = np.asarray(lists.flatten())
+    often = np.bincount(place, minlength=PLACES)[place] >= fitting.get("least", LEAST)  # most features stand in one text: none of them is chosen
+    doc, place = doc[often], place[often]
+    del found, lists, often
+    return fit_chain(doc, place, marks, **fitting)
 
 
 def _judged(chain: Chain | None, column: pa.Array, categories: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -204,7 +209,7 @@ def toxicity(docs: DataFrame, train: DataFrame, categories: list[str], doc_id: s
     shared = docs.sparkSession.sparkContext.broadcast(learned(train, categories, **fitting))
 
     def judge(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(stream, most=1 << 19):
+        for batch in batches(stream):
             p, toxic = _judged(shared.value, batch.column("text"), categories)
             yield pa.record_batch([batch.column("id"), *(pa.array(p[:, k]) for k in range(len(categories))), pa.array(p[:, -1]), pa.array(toxic)],
                                   names=["doc_id", *(f"p_{c}" for c in categories), "score", "toxic"])
@@ -219,7 +224,7 @@ def without_toxic(docs: DataFrame, train: DataFrame, categories: list[str], text
     shared = docs.sparkSession.sparkContext.broadcast(learned(train, categories, **fitting))
 
     def keep(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(stream, text, 1 << 19):
+        for batch in batches(stream, text):
             yield batch.filter(pa.array(~_judged(shared.value, batch.column(text), categories)[1]))
 
     return docs.mapInArrow(keep, docs.schema)
