@@ -62,12 +62,12 @@ def parser(length: int, trigger: int = TRIGGER) -> Parser:
     return parse
 
 
-def byte_repeats(docs: DataFrame, length: int = 200, trigger: int = TRIGGER, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def byte_repeats(docs: DataFrame, length: int = 200, trigger: int = TRIGGER, doc_id: str = "doc_id", text: str = "text", with_kept: bool = True) -> DataFrame:
     """One row per row of `docs`: doc_id, kept (the bytes that stay), n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256.
 
     A byte goes if a string of `length` bytes that covers it starts anywhere else too, in this text or another; matches do not cross texts.
     Null and empty texts have no bytes and keep none.  A null doc_id is one more id; a row that is there twice is a repeat of itself;
-    other columns are ignored; an empty table gives an empty one.
+    other columns are ignored; an empty table gives an empty one.  `with_kept`: whether kept comes along.
     """
     rows = named_rows(docs, doc_id, text)
 
@@ -82,10 +82,11 @@ def byte_repeats(docs: DataFrame, length: int = 200, trigger: int = TRIGGER, doc
                 removed.append(int(g.sum()))
                 spans.append(int(g[:1].sum() + (g[1:] & ~g[:-1]).sum()))
             sha = pa.array([hashlib.sha256(k).hexdigest() for k in kept])
-            yield pa.record_batch([batch.column("id"), pa.array(kept, pa.binary()), pa.array(np.diff(at)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), sha],
-                                  names=["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            counts = [pa.array(np.diff(at)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), sha]
+            yield pa.record_batch([batch.column("id"), *([pa.array(kept, pa.binary())] if with_kept else []), *counts], names=names)
 
     found = repeats(rows, parser(length, trigger), np.dtype(np.uint8), length)
     joined = rows.join(found, ["row", "tag"], "left").select("id", "text", "row", "tag", "spans")
     kind = rows.schema["id"].dataType.simpleString()
-    return joined.mapInArrow(keep, f"doc_id {kind}, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    names = ["doc_id", *(["kept"] if with_kept else []), "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    return joined.mapInArrow(keep, f"doc_id {kind}, {'kept binary, ' if with_kept else ''}n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from hearth.llm.text import batches, text_bytes
+from hearth.llm.text import batches, small_batches, text_bytes, text_udf
 
 #: Upper case folded (ASCII, and the Latin letters that UTF-8 writes after 0xC3), every white space a blank: lengths and offsets stay.
 FOLD = np.arange(256, dtype=np.uint8)
@@ -142,6 +142,7 @@ def _matcher(items: tuple, rate: float) -> Matcher:
 
 def item_blocks(benchmark: DataFrame, block_bytes: int, least: int, item_id: str, text: str) -> Iterator[list[tuple]]:
     """The items as lists of (id, folded bytes), each list of about `block_bytes`."""
+    small_batches(benchmark.sparkSession)
     rows = benchmark.select(benchmark[item_id].alias("item_id"), benchmark[text].alias("text")).filter(F.octet_length("text") >= least)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
@@ -188,12 +189,11 @@ def without_copies(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, le
     for block in item_blocks(benchmark, block_bytes, least, item_id, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(tuple(block))
 
-        def keep(stream: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def clean(batch: pa.RecordBatch, shared=shared) -> pa.Array:
             known = _matcher(shared.value, rate)
-            for batch in batches(stream, text):
-                raw, at = text_bytes(batch.column(text))
-                data = folded(raw)
-                yield batch.filter(pa.array([not known.find(data[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.bool_()))
+            raw, at = text_bytes(batch.column("text"))
+            data = folded(raw)
+            return pa.array([not known.find(data[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.bool_())
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = docs.filter(text_udf(clean, "boolean")(docs[text]))
     return docs

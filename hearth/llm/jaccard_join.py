@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearth.llm.repeats import _filter, _passes, _signed
-from hearth.llm.text import Polynomial, U, batches, mix, parked, text_bytes, word_spans
+from hearth.llm.text import Polynomial, U, batches, mix, parked, small_batches, text_bytes, word_spans
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
@@ -167,6 +167,7 @@ def jaccard_join(docs: DataFrame, width: int = 3, pct: int = 90, rounds: int = 3
     smallest unless a component has no other; repeated rows are in one component; other columns are ignored; an empty table gives an empty
     one.  `pct` is below 100.  Tokens and sets are known by 64-bit hashes.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(docs[doc_id].alias("id"), docs[text].alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     sc = docs.sparkSession.sparkContext
@@ -319,10 +320,10 @@ def _texts(rows: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     wanted = parked(sets.join(nodes, "node").groupBy("node").agg(F.min("row").alias("key")), "wanted")
     words = rows.sparkSession.sparkContext.broadcast(_filter(wanted))
 
-    def pick(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            yield batch.filter(pa.array(_passes(words.value, np.asarray(batch.column("key")))))
+    def passes(keys: pa.Array) -> pa.Array:
+        return pa.array(_passes(words.value, np.asarray(keys)))
 
-    named = rows.select(F.xxhash64("text").alias("key"), "text").mapInArrow(pick, "key long, text string")
+    named = rows.select(F.xxhash64("text").alias("key"), "text")
+    named = named.filter(F.arrow_udf(passes, "boolean")("key"))
     once = named.join(wanted.select("key"), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
     return parked(once.join(wanted, "key").select("node", "text"), "texts")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearth.llm.text import U, batches, mix, text_bytes
+from hearth.llm.text import U, batches, mix, small_batches, text_bytes
 
 DIM = 1 << 13
 
@@ -151,6 +151,7 @@ def language_id(docs: DataFrame, train: DataFrame, doc_id: str = "doc_id", text:
     when nothing could be learned, get `und`, score 0 and rejected.  Null ids stay; repeated rows are judged alike; other columns are
     ignored; an empty table gives an empty one.  One pass without shuffle after fitting.
     """
+    small_batches(docs.sparkSession)
     model = fit(train, **fitting)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

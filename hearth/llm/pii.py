@@ -13,7 +13,6 @@ log space gives each token's marginals; runs of neighbours that agree on a kind
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearth.llm.text import Polynomial, batches, text_bytes, word_spans
+from hearth.llm.text import Polynomial, batches, small_batches, text_bytes, text_udf, word_spans
 
 # The kinds in order and their patterns.
 KINDS = ["email", "ip", "card", "phone"]
@@ -270,6 +269,7 @@ def fit(docs: DataFrame, text: str = "text") -> Field:
                     found[what, int(code)] = found.get((what, int(code)), 0) + int(n)
         yield pa.record_batch([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int64()), pa.array(list(found.values()), pa.int64())], names=["what", "code", "n"])
 
+    small_batches(docs.sparkSession)
     sums = docs.select(docs[text].alias("text")).mapInArrow(count, "what string, code long, n long").groupBy("what", "code").agg(F.sum("n").alias("n"))
     return Field({(r.what, r.code): r.n for r in sums.collect()})
 
@@ -302,31 +302,18 @@ def redacted(docs: DataFrame, field: Field | None = None, sure: float = 0.9, tex
     """
     shared = docs.sparkSession.sparkContext.broadcast(field or fit(docs, text))
 
-    def replace(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(stream, text):
-            column = batch.column(text)
-            found = batch_spans(*text_bytes(column), shared.value, sure)
-            texts = column.to_pylist() if any(found) else None
-            if texts is not None:
-                for j, spans in enumerate(found):
-                    if spans:
-                        parts, done = [], 0
-                        for a, b, k, _ in spans:
-                            if a >= done:
-                                parts += [texts[j][done:a], f"[{KINDS[k].upper()}]"]
-                            done = max(done, b)
-                        texts[j] = "".join(parts) + texts[j][done:]
-                column = pa.array(texts, column.type)
-            cells = [column if name == text else batch.column(k) for k, name in enumerate(batch.schema.names)]
-            yield pa.record_batch(cells, schema=batch.schema)
-
-    return docs.mapInArrow(replace, docs.schema)
-
-
-def digest(spans: list[tuple[str, int, int]]) -> str:
-    """kind:start:end, comma-joined."""
-    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
-
-
-def sha256(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
+    def replaced(batch: pa.RecordBatch) -> pa.Array:
+        """The new texts; null where a text stays as it is."""
+        column = batch.column("text")
+        out: list[str | None] = [None] * batch.num_rows
+        for j, spans in enumerate(batch_spans(*text_bytes(column), shared.value, sure)):
+            if spans:
+                old, parts, done = column[j].as_py(), [], 0
+                for a, b, k, _ in spans:
+                    if a >= done:
+                        parts += [old[done:a], f"[{KINDS[k].upper()}]"]
+                    done = max(done, b)
+                out[j] = "".join(parts) + old[done:]
+        return pa.array(out, pa.string())
+
+    return docs.withColumn(text, F.coalesce(text_udf(replaced, "string")(docs[text]), docs[text]))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearth.llm.text import SPACE, Polynomial, U, batches, mix, text_bytes, word_spans
+from hearth.llm.text import SPACE, Polynomial, U, batches, mix, small_batches, text_bytes, word_spans
 
 LINES, WORDS = Polynomial(11), Polynomial(12)
 SYMBOL = np.zeros(256, dtype=np.int64)
@@ -91,6 +91,7 @@ def text_stats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
             found = count_stats(*text_bytes(batch.column("text")))
             yield pa.record_batch([batch.column("id"), *(pa.array(found[c].astype(np.int64)) for c in COUNTS)], names=["doc_id", *COUNTS])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(docs[doc_id].alias("id"), docs[text].alias("text"))
     return rows.mapInArrow(count, f"doc_id {rows.schema['id'].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in COUNTS))
 

@@ -53,7 +53,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_word_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return word_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return word_repeats(table(spark, sf_dir, "documents"), with_kept=False)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +74,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_byte_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return byte_repeats(table(spark, sf_dir, "documents"), with_kept=False)
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

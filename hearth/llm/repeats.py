@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearth.llm.text import Polynomial, U, batches, mix, parked, text_bytes
+from hearth.llm.text import Polynomial, U, batches, mix, parked, small_batches, text_bytes
 
 
 HOT = 4096
@@ -218,6 +218,7 @@ def _counted_windows(cuts: DataFrame, unit: np.dtype, length: int) -> DataFrame:
 
 def named_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """id, text and the hashes (row, tag) that name a row by its id and text."""
+    small_batches(docs.sparkSession)
     i, t = docs[doc_id].alias("id"), docs[text].alias("text")
     both = F.coalesce(docs[doc_id].cast("string"), F.lit("null")), docs[text]
     return docs.select(i, t, F.xxhash64(*both).alias("row"), F.hash(*both).alias("tag"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -100,6 +100,30 @@ def word_spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(starts, at)
 
 
+def text_udf(judge: Callable[[pa.RecordBatch], pa.Array], kind: str) -> Callable:
+    """A column function of a text column that is computed in Python, from batches with the one column `text`.
+
+    Only the result comes back from Python: the rows, texts included, stay with Spark.
+    """
+
+    def run(texts: pa.Array) -> pa.Array:
+        pieces = [judge(b) for b in batches(iter([pa.record_batch([texts], names=["text"])]))]
+        return pa.concat_arrays(pieces) if pieces else pa.array([], {"boolean": pa.bool_(), "string": pa.string()}[kind])
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, kind)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts go between Spark and Python in batches of `rows` rows at most: the default of 10,000 is made for narrow rows.
+
+    It is a setting of the session; one that is smaller already stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder all executors share; one of its own only where the session names none (tests on one machine)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

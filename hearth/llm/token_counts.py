@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from hearth.llm.text import batches
+from hearth.llm.text import batches, small_batches
 
 BLANK = "▁"  # how the library writes a blank inside a piece
 
@@ -74,6 +74,7 @@ def token_counts(docs: DataFrame, model_path: str | None = None, limit: int = 40
     gives an empty one.  Other columns are ignored.  Texts longer than `chunk` characters go through overlapping chunks.
     No shuffle; a task holds one batch of half a megabyte, or one text.
     """
+    small_batches(docs.sparkSession)
     if model_path is None:
         import public_tokenizers
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearth.llm.text import Polynomial, U, batches, mix, text_bytes
+from hearth.llm.text import Polynomial, U, batches, mix, small_batches, text_bytes, text_udf
 
 PLACES = 1 << 22
 GRAM = 6
@@ -160,6 +160,7 @@ def learned(train: DataFrame, categories: list[str], most_labels: int = 4000, **
     Rows with a null id or mark are not used, an id that is there twice counts once.  Only the `most_labels` rows with the least hash of
     their id are fitted, at most: that bounds what reaches the driver (their distinct features).
     """
+    small_batches(train.sparkSession)
     usable = train.dropna(subset=["id", *categories])
     ids = [r.id for r in usable.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(most_labels).collect()]
     if not ids:
@@ -223,11 +224,8 @@ def without_toxic(docs: DataFrame, train: DataFrame, categories: list[str], text
     """`docs`, all columns, without the rows whose text is toxic."""
     shared = docs.sparkSession.sparkContext.broadcast(learned(train, categories, **fitting))
 
-    def keep(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(stream, text):
-            yield batch.filter(pa.array(~_judged(shared.value, batch.column(text), categories)[1]))
-
-    return docs.mapInArrow(keep, docs.schema)
+    clean = text_udf(lambda batch: pa.array(~_judged(shared.value, batch.column("text"), categories)[1]), "boolean")
+    return docs.filter(clean(docs[text]))
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[str]]:

@@ -121,12 +121,12 @@ def parser(length: int, rounds: int = ROUNDS, context: int = CONTEXT) -> Parser:
     return parse
 
 
-def word_repeats(docs: DataFrame, length: int = 35, rounds: int = ROUNDS, context: int = CONTEXT, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def word_repeats(docs: DataFrame, length: int = 35, rounds: int = ROUNDS, context: int = CONTEXT, doc_id: str = "doc_id", text: str = "text", with_kept: bool = True) -> DataFrame:
     """One row per row of `docs`: doc_id, kept (the words that stay, joined by one blank), n_words, n_removed, kept_sha256.
 
     A word goes if a window of `length` words that covers it starts anywhere else too, in this text or another.  Null and empty texts have no
     words and keep an empty text.  A null doc_id is one more id; a row that is there twice is a repeat of itself; other columns are
-    ignored; an empty table gives an empty one.
+    ignored; an empty table gives an empty one.  `with_kept`: whether kept comes along.
     """
     rows = named_rows(docs, doc_id, text)
 
@@ -144,10 +144,11 @@ def word_repeats(docs: DataFrame, length: int = 35, rounds: int = ROUNDS, contex
                     kept.append(b" ".join(raw[at[k] : at[k + 1]].tobytes().split()))
                 removed.append(int(g.sum()))
             sha = pa.array([hashlib.sha256(k).hexdigest() for k in kept])
-            yield pa.record_batch([batch.column("id"), pa.array([k.decode() for k in kept]), pa.array(np.diff(first)), pa.array(removed, pa.int64()), sha],
-                                  names=["doc_id", "kept", "n_words", "n_removed", "kept_sha256"])
+            texts = [pa.array([k.decode() for k in kept])] if with_kept else []
+            yield pa.record_batch([batch.column("id"), *texts, pa.array(np.diff(first)), pa.array(removed, pa.int64()), sha], names=names)
 
     found = repeats(rows, parser(length, rounds, context), np.dtype(np.uint64), length)
     joined = rows.join(found, ["row", "tag"], "left").select("id", "text", "row", "tag", "spans")
     kind = rows.schema["id"].dataType.simpleString()
-    return joined.mapInArrow(keep, f"doc_id {kind}, kept string, n_words long, n_removed long, kept_sha256 string")
+    names = ["doc_id", *(["kept"] if with_kept else []), "n_words", "n_removed", "kept_sha256"]
+    return joined.mapInArrow(keep, f"doc_id {kind}, {'kept string, ' if with_kept else ''}n_words long, n_removed long, kept_sha256 string")
