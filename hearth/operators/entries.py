@@ -49,7 +49,9 @@ def spend_entries(L: Ledger, first: dt.date | None = None, last: dt.date | None
     rc = L.receipts.filter(_in_range("purchase_date", first, last)).select(
         *L.keys, F.col("id").alias("receipt_id"), "store_name", "owner", "purchase_date"
     )
-    items = L.items.select(*L.keys, "receipt_id", "quantity", "unit_c", "discount_c", "spend_category")
+    # Lines carry the day of their receipt, so the range reaches their files too; a line without a day is left to the join.
+    items = L.items.filter(F.col("date_purchased").isNull() | _in_range("date_purchased", first, last)) if first or last else L.items
+    items = items.select(*L.keys, "receipt_id", "quantity", "unit_c", "discount_c", "spend_category")
     receipt_part = items.join(rc, L.on("receipt_id")).select(
         *L.keys, F.lit("receipt").alias("source"), E.line_total().alias("amount_c"), "owner",
         F.col("store_name").alias("store"), F.col("purchase_date").alias("date"),

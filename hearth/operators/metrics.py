@@ -18,11 +18,24 @@ from .finders import bookings
 SUMS = ("income_c", "invested_c", "spent_c", "fixed_c", "receipt_c", "bank_c", "receipts", "seen")
 
 
-def _facts(L: Ledger) -> DataFrame:
-    """All sources of a month stacked as sums, so one shuffle brings them together.
+def _within(L: Ledger, start: int | None, end: int | None) -> tuple[Ledger, dt.date | None, dt.date | None]:
+    """The ledger with statements and receipts of the months only, and the first and last day; filters that reach the files."""
+    if start is None or end is None:
+        return L, None, None
+    first, last = dt.date(start // 12, start % 12 + 1, 1), dt.date((end + 1) // 12, (end + 1) % 12 + 1, 1) - dt.timedelta(days=1)
+    return L.with_(
+        statements=L.statements.filter(F.col("month_index").between(start, end)),
+        receipts=L.receipts.filter(F.col("purchase_date").between(F.lit(first), F.lit(last))),
+    ), first, last
+
+
+def _facts(L: Ledger, start: int | None = None, end: int | None = None) -> DataFrame:
+    """All sources of a month stacked as sums, so one shuffle brings them together; of the months start to end, if given.
 
     `seen` counts what makes a month exist: a statement labelled with it or a receipt dated in it.
     """
+    every = L
+    L, first, last = _within(L, start, end)
     moved = bookings(L).filter(F.col("mirror_of").isNull())
     money_in = (F.col("amount_c") > 0) & ~F.col("kind").isin("internal_transfer", "investment")
     invested = (F.col("kind") == "investment") & (F.col("amount_c") < 0)
@@ -36,7 +49,7 @@ def _facts(L: Ledger) -> DataFrame:
         shape(moved.filter(money_in | invested), F.col("statement_month"),
               income_c=F.when(money_in, F.col("amount_c")).otherwise(0),
               invested_c=F.when(invested, -F.col("amount_c")).otherwise(0))
-        .unionByName(shape(spend_entries(L), E.month_index("date"), spent_c=spent,
+        .unionByName(shape(spend_entries(every, first, last), E.month_index("date"), spent_c=spent,
                            fixed_c=F.when(F.col("fixed"), spent).otherwise(0),
                            receipt_c=F.when(receipt, spent).otherwise(0), bank_c=F.when(~receipt, spent).otherwise(0)))
         .unionByName(shape(L.statements, F.col("month_index"), seen=F.lit(1)))
@@ -44,8 +57,8 @@ def _facts(L: Ledger) -> DataFrame:
     )
 
 
-def _month_sums(L: Ledger) -> DataFrame:
-    sums = _facts(L).groupBy(*L.keys, "month_index").agg(*[F.sum(s).alias(s) for s in SUMS])
+def _month_sums(L: Ledger, start: int | None = None, end: int | None = None) -> DataFrame:
+    sums = _facts(L, start, end).groupBy(*L.keys, "month_index").agg(*[F.sum(s).alias(s) for s in SUMS])
     return sums.filter(F.col("seen") > 0)
 
 
@@ -65,8 +78,10 @@ def month_metrics(L: Ledger) -> DataFrame:
     return _rates(_month_sums(L), L, "month_index", E.month_label("month_index").alias("label"))
 
 
-def _month_keys(L: Ledger) -> DataFrame:
-    """Months with their category sums (income, spending, investments)."""
+def _month_keys(L: Ledger, start: int | None = None, end: int | None = None) -> DataFrame:
+    """Months with their category sums (income, spending, investments); of the months start to end, if given."""
+    whole = L
+    L, first, last = _within(L, start, end)
     has = [k for k in L.keys if k in L.categories.columns]
     income = category_lookup(L, "income").select(*has, F.col("_found").alias("_key"))
     every = category_lookup(L).select(*has, F.col("_found").alias("_key"))
@@ -90,7 +105,7 @@ def _month_keys(L: Ledger) -> DataFrame:
         *L.keys, F.col("statement_month").alias("month_index"), F.lit(INVESTMENTS_KEY).alias("key"),
         F.lit("investment").alias("flow"), (-F.col("amount_c")).alias("amount_c"),
     )
-    part_out = spend_entries(L).select(
+    part_out = spend_entries(whole, first, last).select(
         *L.keys, E.month_index("date").alias("month_index"), "key", F.lit("expense").alias("flow"), "amount_c"
     )
     cells = part_in.unionByName(part_inv).unionByName(part_out)
@@ -137,12 +152,12 @@ def _period(sums: DataFrame, L: Ledger) -> DataFrame:
 def period_stats(L: Ledger, start: tuple[int, int], end: tuple[int, int]) -> DataFrame:
     """A range of months as one: sums added up, ratios recomputed from the sums."""
     if month_of(*start) > month_of(*end):
-        raise ValueError("Start range cannot be after end range.")
-    return _period(_month_sums(L).filter(F.col("month_index").between(month_of(*start), month_of(*end))), L)
+        raise ValueError("the range of months ends before it starts")
+    return _period(_month_sums(L, month_of(*start), month_of(*end)), L)
 
 
 def period_categories(L: Ledger, start: tuple[int, int], end: tuple[int, int]) -> DataFrame:
-    cells = _month_keys(L).filter(F.col("month_index").between(month_of(*start), month_of(*end)))
+    cells = _month_keys(L, month_of(*start), month_of(*end))
     return _shares(cells.groupBy(*L.keys, "key", "flow").agg(F.sum("amount_c").alias("amount_c")), L)
 
 
@@ -159,4 +174,4 @@ def missing_months(L: Ledger, start: tuple[int, int], end: tuple[int, int]) -> D
 def recent_stats(L: Ledger, today: dt.date, months: int = 3) -> DataFrame:
     """The last months, this one included; months without data are left out."""
     last = month_of(today.year, today.month)
-    return _period(_month_sums(L).filter(F.col("month_index").between(last - months + 1, last)), L)
+    return _period(_month_sums(L, last - months + 1, last), L)
