@@ -243,11 +243,11 @@ QUALIFY row_number() OVER (PARTITION BY n.household_id, n.statement_id, n.bookin
         L.bookings.withColumn("scope", F.col("statement_id")),
         L.bookings.withColumn("scope", F.col("statement_id")).withColumn("id", F.col("id") + 1_000_000_000_000).withColumn(
             "booking_date", F.expr("CASE WHEN id % 19 = 0 THEN booking_date + 1 ELSE booking_date END")).withColumn("receipt_id", F.lit(None).cast("bigint")).withColumn(
-            "link_status", F.lit(None).cast("string")).withColumn("transfer_group", F.lit(None).cast("bigint")), L)[0].select("household_id", "id", "receipt_id", "link_status"), """
+            "link_status", F.lit(None).cast("string")).withColumn("transfer_group", F.lit(None).cast("bigint")), L)[0].select("household_id", "id", "receipt_id", "link_status", "transfer_group"), """
 WITH o AS (SELECT *, row_number() OVER (PARTITION BY household_id, statement_id, booking_date, amount_c, description ORDER BY id) AS k FROM bookings),
 n0 AS (SELECT household_id, statement_id, id + 1000000000000 AS id, CASE WHEN (id + 1000000000000) % 19 = 0 THEN booking_date + 1 ELSE booking_date END AS booking_date, amount_c, description FROM bookings),
 n AS (SELECT *, row_number() OVER (PARTITION BY household_id, statement_id, booking_date, amount_c, description ORDER BY id) AS k FROM n0)
-SELECT n.household_id, n.id, o.receipt_id, CASE WHEN o.receipt_id IS NOT NULL OR o.transfer_group IS NOT NULL THEN o.link_status END AS link_status FROM n LEFT JOIN o ON o.household_id = n.household_id AND o.statement_id = n.statement_id
+SELECT n.household_id, n.id, o.receipt_id, o.transfer_group, CASE WHEN o.receipt_id IS NOT NULL OR o.transfer_group IS NOT NULL THEN o.link_status END AS link_status FROM n LEFT JOIN o ON o.household_id = n.household_id AND o.statement_id = n.statement_id
  AND o.booking_date = n.booking_date AND o.amount_c = n.amount_c AND o.description = n.description AND o.k = n.k"""),
     Query("replace_statements", lambda L: O.replace_statements(
         L, derived(L, STATEMENT_HEADS).join(L.statements.select("household_id", F.col("id").alias("doc_id"), "month_index"), ["household_id", "doc_id"]),
