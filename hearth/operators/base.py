@@ -23,10 +23,13 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFr
 def numbered(df: DataFrame, keys: list[str], part: str, row_id: str, name: str, width: int = 1 << 20) -> DataFrame:
     """1, 2, 3 ... per key in (part, row_id) order without ever sorting one whole key in one task.
 
-    Rows are numbered inside id ranges of `width`; the start of each range is a running count over the few
-    ranges of the key.
+    The ids of a key and part, dense or hashed, are cut into as many equal ranges as it has `width` rows. Rows are numbered inside their
+    range; the start of each range is a running count over the few ranges of the key.
     """
-    ranged = df.withColumn("_range", idiv(row_id, width))
+    at = F.col(row_id).cast("double")
+    spread = df.groupBy(*keys, part).agg(F.min(at).alias("_low"), F.max(at).alias("_high"), F.ceil(F.count("*") / width).alias("_ranges"))
+    place = F.floor((at - F.col("_low")) / (F.col("_high") - F.col("_low") + 1) * F.col("_ranges"))
+    ranged = df.join(spread, [*keys, part]).withColumn("_range", place).drop("_low", "_high", "_ranges")
     starts = (
         ranged.groupBy(*keys, part, "_range").agg(F.count("*").alias("_n"))
         .withColumn(

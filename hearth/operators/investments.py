@@ -134,6 +134,17 @@ def plan_slots(L: Ledger, rows: DataFrame, today: dt.date) -> DataFrame:
     )
 
 
+def _covered_days(days: DataFrame, plans: DataFrame, own: list[str]) -> DataFrame:
+    """Days on which any plan of the broker runs, with _any: a running maximum of the ends of the plans begun so far."""
+    begun = F.coalesce("start_date", F.lit("0001-01-01").cast("date"))
+    spans = plans.select(*own, begun.alias("day"), F.coalesce("end_date", F.lit("9999-12-31").cast("date")).alias("_end"))
+    spans = spans.groupBy(*own, "day").agg(F.max("_end").alias("_end"))
+    stacked = spans.unionByName(days.withColumn("_end", F.lit(None).cast("date")))
+    so_far = F.max("_end").over(W.partitionBy(*own).orderBy("day").rangeBetween(W.unboundedPreceding, 0))
+    asked = stacked.withColumn("_until", so_far).filter(F.col("_end").isNull() & (F.col("_until") >= F.col("day")))
+    return asked.select(*own, "day", F.lit(True).alias("_any"))
+
+
 def match_plan_amount(buys: DataFrame, L: Ledger) -> DataFrame:
     """Plans without a known day: the amount decides when only one instrument is meant.
 
@@ -151,9 +162,7 @@ def match_plan_amount(buys: DataFrame, L: Ledger) -> DataFrame:
     fits = cells.join(loose, [*own, "amount_c"]).filter(running).groupBy(*own, "amount_c", "day").agg(
         F.sort_array(F.collect_set("instrument")).alias("names"), F.min("plan_id").alias("plan_id")
     )
-    days = cells.select(*own, "day").distinct()
-    spans = L.plans.select(*own, "start_date", "end_date").distinct()
-    covered = days.join(spans, own).filter(running).select(*own, "day").distinct().withColumn("_any", F.lit(True))
+    covered = _covered_days(cells.select(*own, "day").distinct(), L.plans, own)
     rows = cells.join(fits, [*own, "amount_c", "day"], "left").join(covered, [*own, "day"], "left")
     n = F.coalesce(F.size("names"), F.lit(0))
     source = F.when(n == 1, "plan_amount").when(n > 1, "ambiguous").when(F.col("_any"), "manual_buy")

@@ -18,7 +18,7 @@ from ..functions import exprs as E
 from ..functions.money import euros
 from ..schema import BILL_CATEGORIES, Ledger
 from ..sources.scratch import written
-from .base import sorted_fold
+from .base import sorted_fold, top_k
 from .entries import category_lookup
 from .finders import covered_until, recurring_payments
 
@@ -28,6 +28,7 @@ BANDS = {"monthly": (25, 36), "quarterly": (80, 100), "yearly": (345, 385)}
 NEXT_DAYS = {"monthly": 30, "quarterly": 91, "yearly": 365}
 ENDED_DAYS = {"monthly": 46, "quarterly": 136, "yearly": 548}
 DUPLICATE_DAYS = 3
+HISTORY = 12  # payments shown
 
 
 def _far(a, b):
@@ -232,10 +233,10 @@ def subscription_items(L: Ledger, include_hidden: bool = False) -> DataFrame:
     items = kept.groupBy(*own).agg(
         F.first("evidence").alias("evidence"), F.first("frequency").alias("frequency"), F.count("*").alias("payments"),
         F.min(at).alias("a"), F.max(at).alias("z"),
-        F.slice(F.sort_array(F.collect_list(F.struct("date", euros("amount_c").alias("amount")))), -12, 12).alias("tail"),
-        F.sort_array(F.collect_list(F.struct("date", euros("amount_c").alias("amount")))).alias("all_"),
     )
-    items = items.withColumn("history", F.when(F.col("payments") >= 12, F.col("tail")).otherwise(F.col("all_"))).drop("tail", "all_")
+    shown = top_k(kept, own, [F.col("date").desc(), F.col("amount_c").desc()], HISTORY)
+    history = F.sort_array(F.collect_list(F.struct("date", euros("amount_c").alias("amount"))))
+    items = items.join(shown.groupBy(*own).agg(history.alias("history")), own)
     items = apply_rules(items, L)
     items = items.join(_most_common(kept, own, "category"), own, "left").join(_most_common(kept, own, "name"), own, "left")
     items = items.join(covered_until(payments, keys), keys, "left")
