@@ -25,6 +25,7 @@ HEADLINE = [
     "stock_duplicates", "pantry_deficits", "price_inflation", "regular_essentials", "pair_transfers", "mirror_payments",
     "match_receipts", "subscription_items", "resolve_instruments", "investment_years", "check_receipts", "load_receipts",
     "load_statements", "apply_stock_events", "category_usage", "statement_documents",
+    "plan_check", "recheck_batches", "apply_answers", "apply_mirrors", "stream_stock", "stream_ingest",
 ]
 
 
