@@ -11,7 +11,8 @@ A token is frequent if it stands in the prefixes of more than 1 in `RARE` docume
 
 Sets with a common key are not paired off.  Each round compares every member of a key with one leader of its size band and of the bands beside
 it; verified links join classes, and keys inside one class are done.  Rounds with other leaders follow while one pair in ten is a link; then the
-pairs that are left, of a key but of different classes and not refuted by their sizes or by how many keys they share, are verified one by one.
+pairs that are left, of a key but of different classes and not refuted by their sizes or by bits that bound how many tokens they differ in,
+are verified one by one.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ WORDS, SEQUENCES = Polynomial(71), Polynomial(72)
 SHORT_PREFIX = 16
 RARE = 4096
 LEAST_FREQUENT = 64
-ALONE, PAIR, LARGE = 0, 1, 2
+PARITY, FIRSTS = 8, 8
+BITS = [f"b{k}" for k in range(PARITY)]
 GROUP = 256  # members of a leader that one task compares, about
 
 
@@ -58,6 +60,23 @@ def set_names(tokens: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return mix(sums[cut[1:]] - sums[cut[:-1]] + np.diff(cut).astype(np.uint64))
 
 
+def parity_words(tokens: np.ndarray, cut: np.ndarray) -> list[np.ndarray]:
+    """PARITY 64-bit words of each set: every token turns one of 64 * PARITY bits over.
+
+    Two sets that differ in d tokens differ in d bits at most.
+    """
+    place = mix(tokens + U(7)) % U(64 * PARITY)
+    word, bit = (place >> U(6)).astype(np.int64), U(1) << (place & U(63))
+    full = np.flatnonzero(np.diff(cut) > 0)
+    out = []
+    for w in range(PARITY):
+        own = np.zeros(len(cut) - 1, dtype=np.uint64)
+        if len(full):
+            own[full] = np.bitwise_xor.reduceat(np.where(word == w, bit, U(0)), cut[:-1][full])
+        out.append(own)
+    return out
+
+
 def prefix_size(n: np.ndarray, pct: int, k: int) -> np.ndarray:
     return np.minimum(n, n + (-pct * n) // 100 + k)
 
@@ -69,8 +88,8 @@ def _heads(tokens: np.ndarray, cut: np.ndarray, size: np.ndarray) -> tuple[np.nd
     return tokens[cut[:-1][which] + position], which
 
 
-def index_keys(tokens: np.ndarray, cut: np.ndarray, frequent: np.ndarray, pct: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, set, kind) of all sets; `frequent` is ordered.  Kinds: ALONE, PAIR (of a short set), LARGE (of a long one)."""
+def index_keys(tokens: np.ndarray, cut: np.ndarray, frequent: np.ndarray, pct: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, set) of all sets; `frequent` is ordered."""
     n = np.diff(cut)
     short = SHORT_PREFIX * 100 // (100 - pct)  # so that a short set has few pairs
     if len(frequent) and len(tokens):
@@ -81,13 +100,12 @@ def index_keys(tokens: np.ndarray, cut: np.ndarray, frequent: np.ndarray, pct: i
         tokens, common = tokens[order], common[order]
     else:
         common = np.zeros(len(tokens), dtype=bool)
-    keys, sets, kinds = [], [], []
+    keys, sets = [], []
     small = np.where((n <= short) & (n > 1), prefix_size(n, pct, 2), 0)
     token, which = _heads(tokens, cut, small)
     often = _heads(common, cut, small)[0]
     keys.append(mix(token[~often]))
     sets.append(which[~often])
-    kinds.append(np.full(len(keys[-1]), ALONE))
     token, which = token[often], which[often]
     for d in range(1, int(small.max()) if len(small) else 0):
         same = which[d:] == which[:-d]
@@ -95,13 +113,11 @@ def index_keys(tokens: np.ndarray, cut: np.ndarray, frequent: np.ndarray, pct: i
             break
         keys.append(mix(mix(token[:-d][same]) * U(3) + token[d:][same]))
         sets.append(which[d:][same])
-        kinds.append(np.full(len(keys[-1]), PAIR))
     large = np.where(100 * n > pct * short, prefix_size(n, pct, 1), 0)
     token, which = _heads(tokens, cut, large)
     keys.append(mix(token + U(0x5851F42D4C957F2D)))
     sets.append(which)
-    kinds.append(np.full(len(keys[-1]), LARGE))
-    return np.concatenate(keys), np.concatenate(sets), np.concatenate(kinds)
+    return np.concatenate(keys), np.concatenate(sets)
 
 
 def similar(a: np.ndarray, b: np.ndarray, pct: int) -> bool:
@@ -183,9 +199,9 @@ def jaccard_join(docs: DataFrame, width: int = 3, pct: int = 90, rounds: int = 3
     def sets_of(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(stream):
             tokens, cut = shingle_sets(*text_bytes(batch.column("text")), width)
-            yield pa.record_batch([batch.column("id"), batch.column("row"), pa.array(np.diff(cut).astype(np.int64)), _signed(set_names(tokens, cut))], names=["id", "row", "n", "node"])
+            yield pa.record_batch([batch.column("id"), batch.column("row"), pa.array(np.diff(cut).astype(np.int64)), _signed(set_names(tokens, cut)), *map(_signed, parity_words(tokens, cut))], names=["id", "row", "n", "node", *BITS])
 
-    sets = parked(rows.withColumn("row", F.xxhash64("text")).mapInArrow(sets_of, f"id {kind}, row long, n long, node long"), "sets")
+    sets = parked(rows.withColumn("row", F.xxhash64("text")).mapInArrow(sets_of, f"id {kind}, row long, n long, node long, " + ", ".join(f"{b} long" for b in BITS)), "sets")
     size = sets.count()
     often = rows.select("text").mapInArrow(heads, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") > max(LEAST_FREQUENT, size // RARE))
     frequent = sc.broadcast(np.sort(np.asarray(often.select("token").toArrow().column("token")).view(np.uint64)) if size else none)
@@ -193,7 +209,7 @@ def jaccard_join(docs: DataFrame, width: int = 3, pct: int = 90, rounds: int = 3
     def keys_of(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(stream):
             tokens, cut = shingle_sets(*text_bytes(batch.column("text")), width)
-            key, which, _ = index_keys(tokens, cut, frequent.value, pct)
+            key, which = index_keys(tokens, cut, frequent.value, pct)
             key, n = _distinct_sets(key, set_names(tokens, cut)[which])
             yield pa.record_batch([_signed(key), _signed(n)], names=["key", "node"])
 
@@ -204,12 +220,12 @@ def jaccard_join(docs: DataFrame, width: int = 3, pct: int = 90, rounds: int = 3
     def members_of(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(stream):
             tokens, cut = shingle_sets(*text_bytes(batch.column("text")), width)
-            key, which, kind_of = index_keys(tokens, cut, frequent.value, pct)
+            key, which = index_keys(tokens, cut, frequent.value, pct)
             k = np.flatnonzero(_passes(words.value, key))
-            key, which, kind_of = key[k], which[k], kind_of[k]
-            yield pa.record_batch([_signed(key), _signed(set_names(tokens, cut)[which]), pa.array(np.diff(cut)[which].astype(np.int32)), pa.array(kind_of.astype(np.int8))], names=["key", "node", "n", "kind"])
+            key, which = key[k], which[k]
+            yield pa.record_batch([_signed(key), _signed(set_names(tokens, cut)[which]), pa.array(np.diff(cut)[which].astype(np.int32))], names=["key", "node", "n"])
 
-    found = rows.select("text").mapInArrow(members_of, "key long, node long, n int, kind byte").join(shared, "key").groupBy("key", "node").agg(F.max("n").alias("n"), F.max("kind").alias("kind"))
+    found = rows.select("text").mapInArrow(members_of, "key long, node long, n int").join(shared, "key").groupBy("key", "node").agg(F.max("n").alias("n"))
     members = parked(found, "members")
     links, roots = None, None
     done = None
@@ -232,11 +248,18 @@ def jaccard_join(docs: DataFrame, width: int = 3, pct: int = 90, rounds: int = 3
         roots = classes(links)
         if 10 * new.count() < pairs.count():
             break
+    bits = sets.join(members.select("node").distinct(), "node", "left_semi").select("node", *BITS).dropDuplicates(["node"])
     rest = parked(_open(members, roots), "open")
+    firsts = rest.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("key")), 1, FIRSTS).alias("firsts"))
+    rest = rest.join(firsts.join(bits, "node"), "node")
     left, right = rest.alias("l"), rest.alias("r")
     pairs = left.join(right, F.col("l.key") == F.col("r.key")).filter("l.root < r.root")
-    pairs = pairs.select(F.col("l.node").alias("leader"), F.col("r.node").alias("node"), F.col("l.n").alias("n"), F.col("r.n").alias("m"), "l.kind")
-    pairs = _possible(_sized(pairs, pct), pct)
+    apart = sum((F.bit_count(F.col(f"l.{b}").bitwiseXOR(F.col(f"r.{b}"))) for b in BITS), F.lit(0))  # they differ in as many tokens at least
+    # a pair comes up under each key it shares: those after another one among the first keys of both add nothing
+    news = F.coalesce(F.array_min(F.array_intersect("l.firsts", "r.firsts")) >= F.col("l.key"), F.lit(True))
+    pairs = pairs.filter(F.when((100 + pct) * apart <= (100 - pct) * (F.col("l.n") + F.col("r.n")), news).otherwise(False))
+    pairs = pairs.select(F.col("l.node").alias("leader"), F.col("r.node").alias("node"), F.col("l.n").alias("n"), F.col("r.n").alias("m"))
+    pairs = _sized(pairs, pct).select("leader", "node").distinct()
     if done is not None:
         other = done.select(F.col("node").alias("leader"), F.col("leader").alias("node"))
         pairs = pairs.join(done, ["leader", "node"], "left_anti").join(other, ["leader", "node"], "left_anti")
@@ -245,9 +268,9 @@ def jaccard_join(docs: DataFrame, width: int = 3, pct: int = 90, rounds: int = 3
         new = parked(_verified(pairs, _texts(rows, sets, pairs), width, pct), "links")
         links = new if links is None else links.unionByName(new)
         roots = classes(links)
-    named = sets.withColumn("root", F.col("node"))
+    named = sets.drop(*BITS).withColumn("root", F.col("node"))
     if roots is not None:
-        named = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        named = sets.drop(*BITS).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.filter("n > 0").groupBy("root").agg(F.min("id").alias("least"))
     return named.join(least, "root", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
 
@@ -285,22 +308,6 @@ def _sized(pairs: DataFrame, pct: int) -> DataFrame:
     return pairs.filter(100 * F.least("n", "m") >= pct * F.greatest("n", "m"))
 
 
-def _possible(met: DataFrame, pct: int) -> DataFrame:
-    """Pairs (leader, node) that may be links, from a row for each key they meet under.
-
-    What two sets share is at most what their prefixes share and all that follows one of the prefixes.  Of two short sets the single keys
-    count tokens and the pair keys count pairs of them; no pair means one token more at most.
-    """
-    sums = met.groupBy("leader", "node", "n", "m").agg(*(F.count(F.when(F.col("kind") == k, 1)).alias(f"k{k}") for k in (ALONE, PAIR, LARGE)))
-    short = SHORT_PREFIX * 100 // (100 - pct)
-    after = lambda k: F.greatest(*(F.greatest(F.ceil(F.col(c) * pct / 100) - k, F.lit(0)) for c in ("n", "m")))
-    frequent = F.when(F.col("k1") > 0, F.floor((1 + F.sqrt(1 + 8 * F.col("k1"))) / 2 + 1e-6)).otherwise(F.lit(1))
-    enough = lambda shared: (100 + pct) * shared >= pct * (F.col("n") + F.col("m"))
-    both_short, both_long = F.greatest("n", "m") <= short, 100 * F.least("n", "m") > pct * short
-    good = (~both_short | enough(F.col("k0") + frequent + after(2))) & (~both_long | enough(F.col("k2") + after(1)))
-    return sums.filter(good).select("leader", "node")
-
-
 def _open(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     """Members with their class, of keys that hold more than one class."""
     if roots is None:
