@@ -72,6 +72,32 @@ def test_receipts_certain_likely_and_questions(book):
     assert rows(after.receipts.filter("linked"), "id") == [(1,)]
 
 
+def test_a_refused_receipt_leaves_the_next_one(book):
+    st = book.statement((2026, 4))
+    for day in (5, 7):
+        book.receipt(D(2026, 4, day), dict(unit_c=2000), store_name="Aldi")
+    book.receipt(D(2026, 4, 10), dict(unit_c=3000), store_name="Bakery", payment_reference="BC9-1")
+    book.receipt(D(2026, 4, 9), dict(unit_c=3000), store_name="Bakery")
+    book.add("bookings", statement_id=st, booking_date=D(2026, 4, 8), amount_c=-2000, counterparty="Aldi")
+    book.add("bookings", statement_id=st, booking_date=D(2026, 4, 8), amount_c=-2000, counterparty="Aldi")
+    book.add("bookings", statement_id=st, booking_date=D(2026, 4, 10), amount_c=-3000, counterparty="Bakery", payment_reference="BC9")
+    book.add("questions", kind="receipt_match", transaction_id=1, receipt_id=2, status="no")
+    book.add("questions", kind="receipt_match", transaction_id=3, receipt_id=3, status="no")
+    found = matching.match_receipts(book.ledger())
+    assert rows(found, "transaction_id", "receipt_id", "confidence") == [(1, 1, "likely"), (2, 2, "likely"), (3, 4, "certain")]
+
+
+def test_equal_references_are_assigned_one_to_one(book):
+    st = book.statement((2026, 4))
+    for ref in ("R7-a", "R7-b", "R7", "S1", "S1"):
+        book.receipt(D(2026, 4, 3), dict(unit_c=1000), store_name=f"Shop {ref}", payment_reference=ref)
+    for ref in ("R7", "R7", "R7-b", "S1", "S1", "S1"):
+        book.add("bookings", statement_id=st, booking_date=D(2026, 4, 5), amount_c=-1000, counterparty="Card", payment_reference=ref)
+    book.add("questions", kind="receipt_match", transaction_id=4, receipt_id=4, status="no")
+    found = matching.match_receipts(book.ledger())
+    assert rows(found, "transaction_id", "receipt_id", "confidence") == [(1, 1, "certain"), (2, 3, "certain"), (3, 2, "certain"), (4, 5, "certain"), (5, 4, "certain")]
+
+
 def test_answers_first_come_inside_a_batch(book, spark):
     L = receipt_book(book)
     for rid in (2, 3):
