@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearth.llm.text import Polynomial, U, batches, mix, small_batches, text_bytes, text_udf
+from hearth.llm.text import Polynomial, U, batches, mix, parked, small_batches, text_bytes, text_udf
 
 PLACES = 1 << 22
 GRAM = 6
@@ -154,11 +154,11 @@ def fit_chain(doc: np.ndarray, place: np.ndarray, marks: dict[str, np.ndarray],
     return Chain(links, max(cut, -1.0))
 
 
-def learned(train: DataFrame, categories: list[str], most_labels: int = 4000, **fitting) -> Chain | None:
+def learned(train: DataFrame, categories: list[str], most_labels: int = 5000, **fitting) -> Chain | None:
     """A chain from rows (id, text, a 0/1 column for each category); None without a usable row.
 
     Rows with a null id or mark are not used, an id that is there twice counts once.  Only the `most_labels` rows with the least hash of
-    their id are fitted, at most: that bounds what reaches the driver (their distinct features).
+    their id are fitted, at most: that bounds what reaches the driver (their features that stand in `least` of them).
     """
     small_batches(train.sparkSession)
     usable = train.dropna(subset=["id", *categories])
@@ -177,14 +177,40 @@ def learned(train: DataFrame, categories: list[str], most_labels: int = 4000, **
     marks = [F.col(c).cast("int").alias(c) for c in categories]
     some = usable.filter(F.col("id").isin(ids)).groupBy("id").agg(F.min(F.struct(*marks, "text")).alias("row")).select("id", "row.*")
     kind = some.schema["id"].dataType.simpleString()
-    found = some.mapInArrow(gather, f"places array<int>, id {kind}, " + ", ".join(f"{c} int" for c in categories)).toArrow().sort_by("id")
+    rows = parked(some.mapInArrow(gather, f"places array<int>, id {kind}, " + ", ".join(f"{c} int" for c in categories)), "features")
+
+    def count(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(PLACES, dtype=np.int32)
+        for batch in stream:
+            place, once = np.unique(np.asarray(batch.column("places").flatten()), return_counts=True)
+            n[place] += once.astype(np.int32)
+        place = np.flatnonzero(n).astype(np.int32)
+        for a in range(0, len(place), 1 << 16):
+            yield pa.record_batch([pa.array(place[a : a + (1 << 16)]), pa.array(n[place[a : a + (1 << 16)]])], names=["place", "n"])
+
+    # most features stand in one text and none of them is chosen: they stay in Spark
+    sums = rows.select("places").mapInArrow(count, "place int, n int").groupBy("place").agg(F.sum("n").alias("n"))
+    frequent = sums.filter(F.col("n") >= fitting.get("least", LEAST)).select("place").toArrow().column("place")
+    often = np.zeros(PLACES, dtype=bool)
+    often[np.asarray(frequent)] = True
+    shared = train.sparkSession.sparkContext.broadcast(np.packbits(often))
+
+    def thinned(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(shared.value).astype(bool)
+        for batch in stream:
+            lists = batch.column("places")
+            place = np.asarray(lists.flatten())
+            stays = wanted[place]
+            ends = np.cumsum(np.asarray(pa.compute.list_value_length(lists)))
+            cut = np.concatenate(([0], np.cumsum(stays)))[np.concatenate(([0], ends))].astype(np.int32)
+            yield pa.record_batch([pa.ListArray.from_arrays(cut, pa.array(place[stays])), *batch.columns[1:]], names=batch.schema.names)
+
+    found = rows.mapInArrow(thinned, rows.schema).toArrow().sort_by("id")
     marks = {c: np.asarray(found.column(c)).astype(np.int64) for c in categories}
     lists = found.column("places").combine_chunks()
     doc = np.repeat(np.arange(len(lists), dtype=np.int32), np.asarray(pa.compute.list_value_length(lists)))
     place = np.asarray(lists.flatten())
-    often = np.bincount(place, minlength=PLACES)[place] >= fitting.get("least", LEAST)  # most features stand in one text: none of them is chosen
-    doc, place = doc[often], place[often]
-    del found, lists, often
+    del found, lists
     return fit_chain(doc, place, marks, **fitting)
 
 

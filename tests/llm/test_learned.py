@@ -4,8 +4,10 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
+from hearth.llm import toxicity as tox
 from hearth.llm.language_id import language_id
 from hearth.llm.quality_rules import COUNTS, RATES, learn_list, quality_rules, rule_number, text_stats
 from hearth.llm.toxicity import labelled, toxicity, without_toxic
@@ -125,3 +127,23 @@ def test_chain(spark, toxic_rows):
     assert kept.columns == docs.columns and sorted((r.doc_id for r in kept.collect()), key=str) == sorted((r.doc_id for r in found if not r.toxic), key=str)
     assert not any(r.toxic for r in toxicity(docs, train.limit(0), categories).collect())
     assert toxicity(docs.limit(0), train, categories).count() == 0
+
+
+def test_rare_features_stay_in_spark(spark, toxic_rows, monkeypatch):
+    """What the driver fits on holds no feature of fewer than LEAST rows, and all others, of 5,000 rows."""
+    rows, labels = toxic_rows
+    many = spark.createDataFrame(rows, "doc_id long, text string").crossJoin(spark.range(13)).selectExpr("doc_id * 13 + id AS id", "concat(text, ' only', id, 'x', doc_id) AS text", "doc_id % 5 = 0 AS toxic")
+    seen = {}
+    monkeypatch.setattr(tox, "fit_chain", lambda doc, place, marks, **fitting: seen.update(doc=doc, place=place, marks=marks))
+    pulled = []
+    arrow = type(many).toArrow
+    monkeypatch.setattr(type(many), "toArrow", lambda df: pulled.append(arrow(df)) or pulled[-1])
+    tox.learned(many, ["toxic"])
+    assert len(seen["marks"]["toxic"]) == 5000
+    texts = [r.text for r in many.orderBy(tox.F.xxhash64("id"), "id").limit(5000).orderBy("id").select("text").collect()]
+    doc, place = tox.features(*tox.text_bytes(tox.pa.array(texts)))
+    both = np.unique(doc * tox.PLACES + place)
+    both = both[np.bincount(both % tox.PLACES, minlength=tox.PLACES)[both % tox.PLACES] >= tox.LEAST]
+    assert np.array_equal(np.sort(seen["doc"].astype(np.int64) * tox.PLACES + seen["place"]), both)
+    places = pulled[-1].column("places").combine_chunks().flatten()
+    assert len(places) == len(both)
