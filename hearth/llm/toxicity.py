@@ -22,6 +22,7 @@ PLACES = 1 << 22
 GRAM = 6
 PREFIXES = (5, 6, 7, 8)
 LEAST = 4  # rows in which a feature must stand to be chosen
+EARLIER = 8.0  # log-odds of earlier categories count up to here, in fitting as in prediction
 HASH = Polynomial(21)
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -77,7 +78,7 @@ class Chain:
         """(texts, categories)"""
         out = np.zeros((texts, 0), dtype=np.float32)
         for link in self.links:
-            out = np.column_stack((out, link.log_odds(_present(doc, place, link.places, texts), out)))
+            out = np.column_stack((out, link.log_odds(_present(doc, place, link.places, texts), np.clip(out, -EARLIER, EARLIER))))
         return out
 
 
@@ -126,10 +127,10 @@ def _train(x: np.ndarray, y: np.ndarray, penalty: np.ndarray, steps: int = 150)
 
 def _link(category: str, doc, place, y, rows, earlier, most: int, least: int) -> Link:
     chosen = _choose(doc, place, y, rows, most, least)
-    x = np.column_stack((_present(doc, place, chosen, len(y))[rows], np.clip(earlier[rows], -8, 8) / 8.0, np.ones(rows.sum(), dtype=np.float32)))
+    x = np.column_stack((_present(doc, place, chosen, len(y))[rows], np.clip(earlier[rows], -EARLIER, EARLIER) / EARLIER, np.ones(rows.sum(), dtype=np.float32)))
     penalty = np.concatenate((np.full(len(chosen), 0.3), np.full(earlier.shape[1], 0.3), [1e-3]))
     w = _train(x.astype(np.float64), y[rows].astype(float), penalty).astype(np.float32)
-    w[len(chosen) : -1] /= 8.0
+    w[len(chosen) : -1] /= EARLIER
     return Link(category, chosen, w)
 
 
@@ -144,7 +145,7 @@ def fit_chain(doc: np.ndarray, place: np.ndarray, marks: dict[str, np.ndarray],
         held = np.zeros(n, dtype=np.float32)
         for f in range(folds):
             link = _link(category, doc, place, y, fold != f, earlier, most, least)
-            held[fold == f] = link.log_odds(_present(doc, place, link.places, n), np.clip(earlier, -8, 8))[fold == f]
+            held[fold == f] = link.log_odds(_present(doc, place, link.places, n), np.clip(earlier, -EARLIER, EARLIER))[fold == f]
         links.append(_link(category, doc, place, y, everything, earlier, most, least))
         earlier = np.column_stack((earlier, held))
     order = np.argsort(-earlier[:, -1], kind="stable")

@@ -147,3 +147,10 @@ def test_rare_features_stay_in_spark(spark, toxic_rows, monkeypatch):
     assert np.array_equal(np.sort(seen["doc"].astype(np.int64) * tox.PLACES + seen["place"]), both)
     places = pulled[-1].column("places").combine_chunks().flatten()
     assert len(places) == len(both)
+
+
+def test_prediction_clips_earlier_log_odds_as_fitting_does():
+    link = lambda place, *weights: tox.Link("", np.array([place]), np.array(weights, dtype=np.float32))
+    chain = tox.Chain([link(3, 30, 0), link(5, 1, 2, 0.5), link(7, 1, 1, 1, 0)], 0.0)
+    odds = chain.log_odds(np.array([0, 1]), np.array([3, 5]), 3)
+    assert odds.tolist() == [[30, 16.5, 16], [0, 1.5, 1.5], [0, 0.5, 0.5]]
