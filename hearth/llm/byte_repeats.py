@@ -29,12 +29,15 @@ ROLLING = Polynomial(51)
 def least_places(names: np.ndarray, width: int) -> np.ndarray:
     """For each index k the index of the least of names[k : k + width], the last of equals; indexes beyond the end do not count.
 
+    Names are compared by their upper 32 bits, whatever the number of names: equal stretches choose alike in every batch.
     Blocks of `width`: a stretch is the end of one block and the beginning of the next.
     """
     n = len(names)
     if not n:
         return np.zeros(0, dtype=np.int64)
-    bits = U(int(n + 2 * width).bit_length())
+    if n + 2 * width >= 1 << 32:
+        raise ValueError("more than 4 GB of text in a batch")
+    bits = U(32)
     low = (U(1) << bits) - U(1)
     full = np.full(n + width + -(n + width) % width, ~U(0), dtype=np.uint64)
     full[:n] = names >> bits << bits

@@ -86,3 +86,14 @@ def test_long_text(spark):
     found = {r.doc_id: r.n_removed for r in word_repeats(spark.createDataFrame([(1, long), (2, "v " + long[:3000]), (3, "v")], "doc_id long, text string")).collect()}
     shared = len(long[:3000].split())
     assert found[2] in (shared, shared - 1) and found[1] == found[2] and found[3] == 0
+
+
+def test_anchors_do_not_depend_on_the_size_of_the_batch():
+    import numpy as np
+
+    from hearth.llm.byte_repeats import least_places
+
+    rest = np.full(1 << 21, 1 << 63, dtype=np.uint64)
+    pair = np.array([(5 << 40) + (1 << 16), (5 << 40) + (1 << 17), 1 << 63], dtype=np.uint64)
+    small, large = least_places(pair, 3), least_places(np.concatenate((pair, rest)), 3)
+    assert small[0] == large[0] == 1
