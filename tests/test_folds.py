@@ -4,7 +4,7 @@ import datetime as dt
 import random
 import statistics
 
-from conftest import D, F, one, rows
+from book import D, F, one, rows
 from hearth.operators import investments, subscriptions
 from hearth.operators.base import contains_join, numbered
 

@@ -2,7 +2,7 @@ import datetime as dt
 import json
 
 import pytest
-from conftest import D, F, one, rows
+from book import D, F, one, rows
 from hearth import plans, streaming
 from hearth.functions import exprs as E
 from hearth.operators import finders, links, loads, matching, quality, savings_plans, upkeep

@@ -1,4 +1,4 @@
-from conftest import D, one, rows
+from book import D, one, rows
 from hearth.operators import metrics, spending, trends
 from hearth.operators.entries import spend_entries
 

@@ -1,6 +1,6 @@
 import datetime as dt
 
-from conftest import D, F, one, rows
+from book import D, F, one, rows
 from hearth import streaming
 from hearth.operators import pantry, stock, upkeep
 
