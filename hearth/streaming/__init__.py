@@ -3,23 +3,25 @@
 from __future__ import annotations
 
 import datetime as dt
-import json
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators.loads import load_receipts, load_statements
 from ..operators.reconcile import reconcile
 from ..operators.stock import with_stock_group
-from ..operators.upkeep import STATE_COLUMNS, stock_requests, stock_step
+from ..operators.upkeep import STATE, STATE_COLUMNS, stock_requests, stock_step
 from ..schema import NOT_STOCK, Ledger
 from ..sources.ledger import split_submissions, submission_schema
 from ..sources.scratch import written
 from ..sources.store import load_ledger, manifest, touched_buckets, update_ledger
 
+KEPT = STATE + ", is_food boolean"
+KEPT_COLUMNS = [*STATE_COLUMNS, "is_food"]
+EPOCH = dt.date(1970, 1, 1)
+
 
 def stream_ingest(
     spark: SparkSession, in_dir: str, kind: str, ledger: str, outcomes: str, checkpoint: str, today: dt.date,
@@ -63,61 +65,73 @@ def stream_ingest(
     )
 
 
-class _Moves:
+class _Moves(StatefulProcessor):
     """Applies the events of one item to its kept state; a finished item takes only ratings and the like.
 
-    An event and the state come as one JSON text each: building one pandas frame per item is what costs here,
-    and a frame of two columns is far cheaper than one of thirty.
+    The state is there before the first batch: Spark hands over the items table once (`handleInitialState`).
     """
 
-    DATES = ("wasted_on", "opened_on", "finished_on", "date_expiry", "day", "new_date_expiry")
-
-    def __init__(self, keys: list[str]):
-        self.columns = [*keys, "event_id", "problem", "status", "quantity_left", "wasted_quantity"]
-
-    def _parse(self, text: str | None) -> dict | None:
-        if text is None:
-            return None
-        found = json.loads(text)
-        for c in self.DATES:
-            if found.get(c):
-                found[c] = dt.date.fromisoformat(found[c])
-        return found
-
-    def __call__(self, key, frames, state):
-        rows = [
-            (self._parse(event), old) for frame in frames for event, old in zip(frame["event"].tolist(), frame["item"].tolist())
-        ]
-        rows.sort(key=lambda r: (r[0]["at"], r[0]["event_id"]))
-        current = self._parse(state.get[0]) if state.exists else self._parse(rows[0][1])
+    def __init__(self, keys: list[str], evicts: bool):
+        self.columns = (*keys, "event_id", "problem", "status", "quantity_left", "wasted_quantity")
+        self.evicts = evicts
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.item = handle.getValueState("item", KEPT)
+
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        self.item.update(tuple(initialState[c] for c in KEPT_COLUMNS))
+        day = initialState["finished_on"]
+        if day is not None and not initialState["quantity_left"]:
+            self._leaves((day - EPOCH).days * 86_400_000)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        events = sorted((r.asDict() for r in rows), key=lambda r: (r["at"], r["event_id"]))
+        held = self.item.get()
+        state = None if held is None else dict(zip(KEPT_COLUMNS, held))
+        had_any = bool(state and state["quantity_left"])
         out = []
-        for event, _ in rows:
-            problem = "no_such_item" if current is None else stock_step(current, event)
-            shown = [current[c] if current else None for c in ("status", "quantity_left", "wasted_quantity")]
-            out.append((*key, event["event_id"], problem, *shown))
-        if current is not None:
-            state.update((json.dumps(current, default=str),))
-        yield pd.DataFrame(out, columns=self.columns)
-
-
-def stream_stock(L: Ledger, events: DataFrame) -> DataFrame:
+        for event in events:
+            problem = "no_such_item" if state is None else stock_step(state, event)
+            shown = [state[c] if state else None for c in ("status", "quantity_left", "wasted_quantity")]
+            out.append(Row(**dict(zip(self.columns, (*key, event["event_id"], problem, *shown)))))
+        if state is not None:
+            self.item.update(tuple(state[c] for c in KEPT_COLUMNS))
+            if had_any and not state["quantity_left"]:
+                self._leaves(events[-1]["at"] // 1000)
+        return iter(out)
+
+    def _leaves(self, at_ms: int) -> None:
+        if self.evicts:
+            self.handle.registerTimer(max(at_ms, 1))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.item.clear()
+        return iter(())
+
+
+def stream_stock(L: Ledger, events: DataFrame, keep_finished: str | None = "400 days") -> DataFrame:
     """Stock events as they arrive: one output row per event with the state of its item after it.
 
-    An item starts from the items table the first time it is seen and lives in the state store from then on.
+    The items table is read once, before the first batch, and lives in the RocksDB state store from then on: a batch touches the items it has events
+    for and no others, and a checkpoint holds changes only. An item with nothing left goes once events have come that are `keep_finished` younger
+    (what still comes for it is `no_such_item`); events that much older than the newest are too late and dropped. None keeps and takes everything.
     """
     own = L.on("item_id")
-    text = lambda columns: F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    conf = L.items.sparkSession.conf
+    conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     stock = L.items.filter(F.col("spend_category").isNull() | ~F.col("spend_category").isin(*NOT_STOCK))
     left = F.coalesce("quantity_left", F.col("quantity").cast("double"), F.lit(1.0))
     base = with_stock_group(stock, L).withColumn("quantity_left", left).withColumn("wasted_quantity", F.coalesce("wasted_quantity", F.lit(0.0)))
-    base = base.select(*L.keys, F.col("id").alias("item_id"), text([*STATE_COLUMNS, "is_food"]).alias("item"))
-    named = stock_requests(events.withColumn("at", F.unix_micros("ts")), [*own, "at", "event_id"])
-    named = named.select(*own, text([c for c in named.columns if c not in own]).alias("event"))
-    joined = named.join(base, own, "left")
-    key_types = ", ".join(f"{k} {joined.schema[k].dataType.simpleString()}" for k in own)
-    return joined.groupBy(*own).applyInPandasWithState(
-        _Moves(own), f"{key_types}, event_id bigint, problem string, status string, quantity_left double, wasted_quantity double",
-        "item string", "append", "NoTimeout",
+    base = base.select(*L.keys, F.col("id").alias("item_id"), *KEPT_COLUMNS)
+    timed = events.withWatermark("ts", keep_finished) if keep_finished else events
+    named = stock_requests(timed.withColumn("at", F.unix_micros("ts")), [*own, "at", "ts", "event_id"])
+    key_types = ", ".join(f"{k} {named.schema[k].dataType.simpleString()}" for k in own)
+    return named.groupBy(*own).transformWithState(
+        statefulProcessor=_Moves(own, bool(keep_finished)),
+        outputStructType=f"{key_types}, event_id bigint, problem string, status string, quantity_left double, wasted_quantity double",
+        outputMode="append", timeMode="EventTime" if keep_finished else "None", initialState=base.groupBy(*own),
     )
 
 
