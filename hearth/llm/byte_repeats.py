@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from hearth.llm.repeats import Groups, Parser, marked, named_rows, repeats, runs, window_starts
-from hearth.llm.text import Polynomial, U, batches, text_bytes
+from hearth.llm.text import Fingerprint, U, batches, text_bytes
 
 TRIGGER = 48
-ROLLING = Polynomial(51)
+ROLLING = Fingerprint(51)
 
 
 def least_places(names: np.ndarray, width: int) -> np.ndarray:
@@ -54,7 +54,7 @@ def parser(length: int, trigger: int = TRIGGER) -> Parser:
 
     def parse(raw: np.ndarray, at: np.ndarray) -> Groups:
         start, text = window_starts(at, length)
-        sums = ROLLING.sums(raw)
+        sums = ROLLING.over(raw)
         places = np.arange(max(len(raw) - trigger + 1, 0))
         names = ROLLING.of(sums, places, places + trigger)
         anchor = least_places(names, length - trigger + 1)[start] if len(start) else start

@@ -25,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearth.llm.repeats import _filter, _passes, _signed
-from hearth.llm.text import Polynomial, U, batches, mix, parked, small_batches, text_bytes, word_spans
+from hearth.llm.text import Fingerprint, U, batches, mix, parked, small_batches, text_bytes, word_spans
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
-WORDS, SEQUENCES = Polynomial(71), Polynomial(72)
+WORDS, SEQUENCES = Fingerprint(71), Fingerprint(72)
 SHORT_PREFIX = 16
 RARE = 4096
 LEAST_FREQUENT = 64
@@ -41,12 +41,12 @@ GROUP = 256  # members of a leader that one task compares, about
 def shingle_sets(raw: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """All sets one after another, each ordered by name, and where each begins (one number more than texts)."""
     starts, ends, first = word_spans(raw, at)
-    names = WORDS.of(WORDS.sums(LOWER[raw]), starts, ends)
+    names = WORDS.of(WORDS.over(LOWER[raw]), starts, ends)
     n = np.diff(first)
     count = np.where(n >= width, n - width + 1, np.minimum(n, 1))
     text = np.repeat(np.arange(len(n)), count)
     start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + first[:-1][text]
-    tokens = SEQUENCES.of(SEQUENCES.sums(names), start, start + np.minimum(n, width)[text])
+    tokens = SEQUENCES.of(SEQUENCES.over(names), start, start + np.minimum(n, width)[text])
     order = np.lexsort((tokens, text))
     tokens, text = tokens[order], text[order]
     new = np.ones(len(tokens), dtype=bool)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearth.llm.text import Polynomial, batches, small_batches, text_bytes, text_udf, word_spans
+from hearth.llm.text import Fingerprint, batches, small_batches, text_bytes, text_udf, word_spans
 
 # The kinds in order and their patterns.
 KINDS = ["email", "ip", "card", "phone"]
@@ -40,7 +40,7 @@ NUMBERS[[ord(c) for c in " ().+-"]] = True
 CORE = DIGIT | LETTER
 FOLD = np.zeros(256, dtype=np.uint8)
 FOLD[CORE] = np.arange(256, dtype=np.uint8)[CORE] | 0x20
-TWINS = Polynomial(31)
+TWINS = Fingerprint(31)
 
 
 def luhn(digits: bytes) -> bool:
@@ -122,7 +122,7 @@ class Tokens:
         # tokens alike: the same letters and digits, in the same document
         core = CORE[raw] if n else np.zeros(0, dtype=bool)
         count = np.concatenate(([0], np.cumsum(core)))
-        sums = TWINS.sums(FOLD[raw[core]] if n else raw)
+        sums = TWINS.over(FOLD[raw[core]] if n else raw)
         key = TWINS.of(sums, count[self.start], count[self.end])
         long = np.flatnonzero(count[self.end] - count[self.start] >= 7)
         order = long[np.lexsort((long, key[long], self.doc[long]))]

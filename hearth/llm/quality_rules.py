@@ -15,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearth.llm.text import SPACE, Polynomial, U, batches, mix, small_batches, text_bytes, word_spans
+from hearth.llm.text import SPACE, Fingerprint, U, batches, mix, small_batches, text_bytes, word_spans
 
-LINES, WORDS = Polynomial(11), Polynomial(12)
+LINES, WORDS = Fingerprint(11), Fingerprint(12)
 SYMBOL = np.zeros(256, dtype=np.int64)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = 1
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_marks", "n_distinct"]
@@ -62,7 +62,7 @@ def count_stats(raw: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     full = np.searchsorted(starts, line_end) > np.searchsorted(starts, line_start)
     line_start, line_end = line_start[full], line_end[full]
     line_doc = np.searchsorted(at, line_start, side="right") - 1
-    sums = LINES.sums(raw)
+    sums = LINES.over(raw)
     _, earlier = _twins(LINES.of(sums, line_start, line_end), line_doc)
     out["n_dup_lines"] = np.bincount(line_doc[earlier], minlength=texts)
     out["n_lines"] = np.bincount(line_doc, minlength=texts)
@@ -73,7 +73,7 @@ def count_stats(raw: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     covered = np.zeros(len(word) + 3, dtype=bool)
     if len(word) >= 3:
         inside = np.flatnonzero(doc[2:] == doc[:-2])
-        keys = WORDS.of(WORDS.sums(word), inside, inside + 3)
+        keys = WORDS.of(WORDS.over(word), inside, inside + 3)
         again, _ = _twins(keys, doc[inside])
         for k in range(3):
             covered[inside[again] + k] = True

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearth.llm.text import Polynomial, U, batches, mix, parked, small_batches, text_bytes
+from hearth.llm.text import Fingerprint, U, batches, mix, parked, small_batches, text_bytes
 
 
 HOT = 4096
@@ -99,7 +99,7 @@ def _passes(words: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 def _repeated_runs(stream: Iterator[pa.RecordBatch], unit: np.dtype, length: int) -> Iterator[pa.RecordBatch]:
     """Groups ordered by key in; (row, tag, first, last) of runs of repeated windows out.  Holds the groups of one key at a time, and a batch."""
-    names = Polynomial(43)
+    names = Fingerprint(43)
 
     def compare(rows: pa.Table) -> pa.RecordBatch:
         data = np.frombuffer(rows.column("units").combine_chunks().cast(pa.large_binary()).buffers()[2], dtype=np.uint8) if rows.num_rows else np.zeros(0, dtype=np.uint8)
@@ -107,7 +107,7 @@ def _repeated_runs(stream: Iterator[pa.RecordBatch], unit: np.dtype, length: int
         units = data[: int(size.sum()) * unit.itemsize].view(unit)
         at = np.concatenate(([0], np.cumsum(size))).astype(np.int64)
         start, text = window_starts(at, length)
-        name = names.of(names.sums(units), start, start + length)
+        name = names.of(names.over(units), start, start + length)
         both = mix(name + np.asarray(rows.column("key")).view(np.uint64)[text] * U(0x9E3779B97F4A7C15))
         _, which, n = np.unique(both, return_inverse=True, return_counts=True)
         good = np.flatnonzero((n[which] > 1) & ~np.asarray(rows.column("known"))[text])
@@ -201,14 +201,14 @@ def _counted_windows(cuts: DataFrame, unit: np.dtype, length: int) -> DataFrame:
     """Repeated windows of keys with very many wholes: a row for each window, counted, joined back."""
 
     def windows_of(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = Polynomial(43)
+        names = Fingerprint(43)
         for batch in batches(stream, "units"):
             data, offsets = text_bytes(batch.column("units"))
             units, at = data.view(unit), offsets // unit.itemsize
             start, text = window_starts(at, length)
             of = pa.array(text)
             first = np.asarray(batch.column("first"))[text] + start - at[text]
-            yield pa.record_batch([batch.column("key").take(of), _signed(names.of(names.sums(units), start, start + length)), *(batch.column(c).take(of) for c in ("known", "row", "tag")), pa.array(first)],
+            yield pa.record_batch([batch.column("key").take(of), _signed(names.of(names.over(units), start, start + length)), *(batch.column(c).take(of) for c in ("known", "row", "tag")), pa.array(first)],
                                   names=["key", "name", "known", "row", "tag", "first"])
 
     windows = parked(cuts.select("key", "known", "row", "tag", "first", "units").mapInArrow(windows_of, "key long, name long, known boolean, row long, tag int, first long"), "windows")

@@ -29,36 +29,78 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-class Polynomial:
-    """Hashes of any stretch of a sequence of numbers from running sums modulo 2**64."""
+class Ladder:
+    """A sequence and the names of its stretches of 2**k units, made when they are asked for and kept while the sequence is short."""
+
+    KEEP = 1 << 22
+
+    def __init__(self, values: np.ndarray, seed: int):
+        self.n, self.seed = len(values), U(seed)
+        self.bytes = values.dtype == np.uint8
+        if self.bytes:  # eight bytes at each place, in one number; zeros behind the end
+            padded = np.zeros(self.n + 8, dtype=np.uint8)
+            padded[: self.n] = values
+            self.units = np.ndarray(self.n + 1, dtype="<u8", buffer=padded, strides=(1,))
+        else:
+            self.units = values
+        self.first = 3 if self.bytes else 0
+        self.kept: dict[int, np.ndarray] = {}
+
+    def levels(self, most: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(k, names of the stretches of 2**k units at every place) up to `most`."""
+        names = self.kept.get(self.first)
+        if names is None:
+            names = mix(np.ascontiguousarray(self.units) ^ self.seed)
+        for k in range(self.first, most + 1):
+            if k > self.first:
+                later = self.kept.get(k)
+                names = later if later is not None else joined(names[: max(len(names) - (1 << (k - 1)), 0)], names[1 << (k - 1) :])
+            if self.n <= self.KEEP:
+                self.kept[k] = names
+            yield k, names
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Names of pairs of names, one after the other."""
+    return mix(a * U(0x9FB21C651E98DF25) + b)
+
+
+class Fingerprint:
+    """64-bit names of any stretch of a sequence of bytes or 64-bit numbers.
+
+    A stretch is named by its length and the two stretches of 2**k units that begin and end it and together cover it; those are named by their
+    halves, with a scrambling at every step.  There is no sum in it, so no structure of a text makes two stretches collide: unlike the running sums
+    of a polynomial modulo 2**64, which sequences such as Thue and Morse's defeat whatever the base.
+    """
 
     def __init__(self, seed: int):
-        rng = np.random.default_rng(seed)
-        self.table = rng.integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
-        self.base = int(rng.integers(1 << 40, 1 << 62)) * 2 + 1
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def _grow(self, n: int) -> None:
-        if len(self.up) <= n:
-            size = n + n // 4 + 1024
-            for name, factor in (("up", self.base), ("down", self.inverse)):
-                steps = np.full(size, factor, dtype=np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
-
-    def sums(self, values: np.ndarray) -> np.ndarray:
-        """Running sums of a uint64 sequence, or of bytes through the byte table; one longer than the sequence."""
-        self._grow(len(values))
-        if values.dtype == np.uint8:
-            values = self.table[values]
-        out = np.zeros(len(values) + 1, dtype=np.uint64)
-        np.cumsum(values * self.up[: len(values)], out=out[1:])
-        return out
-
-    def of(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Scrambled hashes of the stretches [start, end)."""
-        return mix((sums[end] - sums[start]) * self.down[start] + (end - start).astype(np.uint64))
+        self.seed = int(np.random.default_rng(seed).integers(1, 1 << 63))
+
+    def over(self, values: np.ndarray) -> Ladder:
+        return Ladder(values, self.seed)
+
+    def of(self, ladder: Ladder, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The names of the stretches [start, end)."""
+        size = end - start
+        out = np.zeros(len(size), dtype=np.uint64)
+        if not len(size):
+            return out
+        level = np.where(size > 0, np.frexp(np.maximum(size, 1).astype(np.float64))[1] - 1, -1)
+        if ladder.bytes:
+            short = np.flatnonzero((size > 0) & (size < 8))
+            if len(short):  # the bytes themselves
+                mask = (U(1) << (U(8) * size[short].astype(np.uint64))) - U(1)
+                out[short] = ladder.units[start[short]] & mask
+            level[short] = -1
+        if level.max() >= 0:
+            for k, names in ladder.levels(int(level.max())):
+                if level[0] == k and (level == k).all():
+                    out = joined(names[start], names[end - (1 << k)])
+                    break
+                of = np.flatnonzero(level == k)
+                if len(of):
+                    out[of] = joined(names[start[of]], names[end[of] - (1 << k)])
+        return mix(out ^ mix(size.astype(np.uint64) + U(self.seed)))
 
 
 def batches(stream: Iterator[pa.RecordBatch], text: str = "text", most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:

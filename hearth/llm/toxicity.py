@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearth.llm.text import Polynomial, U, batches, mix, parked, small_batches, text_bytes, text_udf
+from hearth.llm.text import Fingerprint, U, batches, mix, parked, small_batches, text_bytes, text_udf
 
 PLACES = 1 << 22
 GRAM = 6
 PREFIXES = (5, 6, 7, 8)
 LEAST = 4  # rows in which a feature must stand to be chosen
 EARLIER = 8.0  # log-odds of earlier categories count up to here, in fitting as in prediction
-HASH = Polynomial(21)
+HASH = Fingerprint(21)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
@@ -42,7 +42,7 @@ def features(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     starts = np.flatnonzero(inside & (np.concatenate(([True], ~inside[:-1])) | edge[:-1]))
     ends = np.flatnonzero(inside & (np.concatenate((~inside[1:], [True])) | edge[1:])) + 1
-    sums = HASH.sums(low)
+    sums = HASH.over(low)
     words = HASH.of(sums, starts, ends)
     counts = np.maximum(ends - starts - GRAM, 0)  # grams that are shorter than their word
     long = counts > 0

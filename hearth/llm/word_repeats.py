@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from hearth.llm.repeats import Groups, Parser, marked, named_rows, repeats, runs, window_starts
-from hearth.llm.text import Polynomial, U, batches, mix, text_bytes, word_spans
+from hearth.llm.text import Fingerprint, U, batches, mix, text_bytes, word_spans
 
 ROUNDS = 2
 CONTEXT = 8
-WORDS, SEQUENCES = Polynomial(61), Polynomial(62)
+WORDS, SEQUENCES = Fingerprint(61), Fingerprint(62)
 
 
 def least_in(names: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -75,9 +75,9 @@ def parser(length: int, rounds: int = ROUNDS, context: int = CONTEXT) -> Parser:
 
     def parse(raw: np.ndarray, at: np.ndarray) -> Groups:
         starts, ends, first_word = word_spans(raw, at)
-        words = WORDS.of(WORDS.sums(raw), starts, ends)
+        words = WORDS.of(WORDS.over(raw), starts, ends)
         start, text = window_starts(first_word, length)
-        sums = SEQUENCES.sums(words)
+        sums = SEQUENCES.over(words)
         # round 0: all words are interior
         names = words
         begins = np.arange(len(words))  # the first word of each symbol
