@@ -151,12 +151,13 @@ def item_blocks(benchmark: DataFrame, block_bytes: int, least: int, item_id: str
         yield sorted(((r.item_id, folded(np.frombuffer(r.text.encode(), dtype=np.uint8))) for r in found), key=lambda x: (str(x[0]), x[1]))
 
 
-def decontamination(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, least: int = 24, block_bytes: int = 1 << 20,
+def decontamination(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, least: int = 1, block_bytes: int = 1 << 20,
                     doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """A row per document and item of which the document holds a copy: doc_id, item_id, distance, match_start, match_end.
 
     Distances and offsets count bytes; case of Latin letters and kinds of white space do not count.  The best copy is given, the first of equals.
-    Items of fewer than `least` bytes (and null or empty ones) prove nothing and match nothing; null and empty texts match nothing.  Null ids
+    All items are searched, however short: one whose budget (`rate` of its bytes) is below one edit is found where it stands as it is.  `least` leaves out
+    shorter ones.  Null and empty items match nothing; null and empty texts match nothing.  Null ids
     stay; repeated documents are each matched; an item that is there twice counts once; empty tables give an empty one; other columns are
     ignored.
     """
@@ -185,7 +186,11 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, l
 
 def without_copies(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, least: int = 24, block_bytes: int = 1 << 20, text: str = "text",
                    item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """`docs`, all columns, without the rows that hold a copy of an item."""
+    """`docs`, all columns, without the rows that hold a copy of an item.
+
+    Items of fewer than `least` bytes are words that clean texts hold too; they prove nothing here (`decontamination` reports them).  Rows with a
+    null or empty text stay, repeated rows fare alike, an empty benchmark removes nothing.
+    """
     for block in item_blocks(benchmark, block_bytes, least, item_id, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(tuple(block))
 

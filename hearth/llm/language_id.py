@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearth.llm.text import U, batches, mix, small_batches, text_bytes
+from hearth.llm.text import U, batches, mix, parked, small_batches, text_bytes
 
 DIM = 1 << 13
 
@@ -82,18 +82,19 @@ def _k_means(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
 
 
-def fit(train: DataFrame, clusters: int = 3, per_lang: int = 300, max_langs: int = 400, reject: float = 0.002, dim: int = DIM) -> Centroids | None:
+def fit(train: DataFrame, clusters: int = 3, per_lang: int = 300, most_rows: int = 120_000, reject: float = 0.002, dim: int = DIM) -> Centroids | None:
     """Centroids from rows (id, text, lang).  None without a usable row.
 
-    The sample holds, for each language, the `per_lang` rows with the least hash of their id, at most (of the `max_langs` most frequent
-    languages): a bound on what reaches the driver, about 10 KB a row.  `reject` is the share of a language's sample that may lie
-    below its threshold.
+    Every language is learned.  The sample holds the `per_lang` rows of each with the least hash of their id, or an equal share of `most_rows` where
+    there are so many languages that this is less (one row at least): a bound on what reaches the driver, about 10 KB a row.  `reject` is the share of
+    a language's sample that may lie below its threshold.
     """
     spark = train.sparkSession
     train = train.filter("lang IS NOT NULL")
-    langs = sorted(r.lang for r in train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect())
+    langs = sorted(r.lang for r in train.select("lang").distinct().collect())
     if not langs:
         return None
+    each = max(1, min(per_lang, most_rows // len(langs)))
 
     def frequencies(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, texts = np.zeros(dim + 1, dtype=np.int64), 0
@@ -120,9 +121,9 @@ def fit(train: DataFrame, clusters: int = 3, per_lang: int = 300, max_langs: int
 
     # the ids first, so that only the sample's texts are read whole
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    picked = train.filter(F.col("lang").isin(langs)).select("id", "lang", rank.alias("rank")).filter(F.col("rank") <= per_lang)
-    ids = [r.id for r in picked.select("id").distinct().collect()]
-    one_each = train.filter(F.col("id").isin(ids)).groupBy("id").agg(F.min(F.struct("lang", "text")).alias("row")).select("row.*")
+    picked = train.select("id", "lang", rank.alias("rank")).filter(F.col("rank") <= each)
+    ids = parked(picked.select("id").distinct(), "sample")
+    one_each = train.join(ids, "id", "left_semi").groupBy("id").agg(F.min(F.struct("lang", "text")).alias("row")).select("row.*")
     sample = one_each.mapInArrow(vectors, "lang string, place array<int>, n array<int>").collect()
     names, rows, least = [], [], []
     for lang in langs:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearth.llm.text import SPACE, Fingerprint, U, batches, mix, small_batches, text_bytes, word_spans
+from hearth.llm.text import SPACE, Fingerprint, U, batches, mix, parked, small_batches, text_bytes, word_spans
 
 LINES, WORDS = Fingerprint(11), Fingerprint(12)
 SYMBOL = np.zeros(256, dtype=np.int64)
@@ -178,10 +178,11 @@ def rule_number(rules: list[Rule]) -> Column:
     return chain.cast("int")
 
 
-def sample_ids(labels: DataFrame, most: int, label: str) -> list:
-    """Ids of the `most` labelled rows with the least hash of their id: a bound on what reaches the driver."""
-    picked = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return [r.doc_id for r in picked.distinct().collect()]
+def labelled_sample(labels: DataFrame, most: int, label: str) -> DataFrame:
+    """(doc_id, bad) of the `most` labelled rows with the least hash of their id: a bound on what reaches the driver."""
+    usable = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
+    picked = usable.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).distinct()
+    return parked(labels.join(picked, "doc_id", "left_semi").groupBy("doc_id").agg((F.min(label) == 0).alias("bad")), "sample")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, most_labels: int = 6000, min_words: int = 50, most_repeat_pct: int = 50, **learning) -> DataFrame:
@@ -192,16 +193,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame, most_labels: int = 6000, m
     labelled twice counts once; without labels the list is empty and the base checks decide.  Other columns are ignored.  No shuffle after learning.
     """
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > most_repeat_pct * F.col("n_words"))
-    ids = sample_ids(labels, most_labels, "quality")
-    marks = {}
-    for r in labels.filter(F.col("doc_id").isin(ids)).groupBy("doc_id").agg(F.min("quality").alias("q")).collect() if ids else []:
-        marks[r.doc_id] = r.q == 0
-    rows = []
-    if marks:
-        known = text_stats(docs.filter(F.col("doc_id").isin(ids))).filter(~base)
-        known = known.groupBy("doc_id").agg(F.min(F.struct(*COUNTS)).alias("row")).select("doc_id", "row.*")
-        rows = [r.asDict() | {"bad": marks[r.doc_id]} for r in known.select("doc_id", *(F.expr(e).alias(n) for n, e in RATES.items())).collect() if r.doc_id in marks]
-        rows.sort(key=lambda r: str(r["doc_id"]))
+    marks = labelled_sample(labels, most_labels, "quality")
+    known = text_stats(docs.join(marks, docs["doc_id"] == marks["doc_id"], "left_semi")).filter(~base)
+    known = known.groupBy("doc_id").agg(F.min(F.struct(*COUNTS)).alias("row")).select("doc_id", "row.*").join(marks, "doc_id")
+    rows = [r.asDict() for r in known.select("doc_id", "bad", *(F.expr(e).alias(n) for n, e in RATES.items())).collect()]
+    rows.sort(key=lambda r: str(r["doc_id"]))
     rules = learn_list(rows, **learning)
     out = text_stats(docs).withColumn("base_failed", base).withColumn("rule", rule_number(rules))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from hearth.llm.text import Fingerprint, U, batches, mix, parked, small_batches, text_bytes, text_udf
 
@@ -110,6 +111,7 @@ def _choose(doc: np.ndarray, place: np.ndarray, y: np.ndarray, rows: np.ndarray,
 def _train(x: np.ndarray, y: np.ndarray, penalty: np.ndarray, steps: int = 150) -> np.ndarray:
     """Weights of a logistic regression with squared penalties, by accelerated gradient steps."""
     n = max(len(y), 1)
+    x = x.astype(np.float64)
     v = np.ones(x.shape[1]) / np.sqrt(max(x.shape[1], 1))
     for _ in range(12):  # the largest curvature sets the step
         v = x.T @ (x @ v)
@@ -129,7 +131,7 @@ def _link(category: str, doc, place, y, rows, earlier, most: int, least: int) ->
     chosen = _choose(doc, place, y, rows, most, least)
     x = np.column_stack((_present(doc, place, chosen, len(y))[rows], np.clip(earlier[rows], -EARLIER, EARLIER) / EARLIER, np.ones(rows.sum(), dtype=np.float32)))
     penalty = np.concatenate((np.full(len(chosen), 0.3), np.full(earlier.shape[1], 0.3), [1e-3]))
-    w = _train(x.astype(np.float64), y[rows].astype(float), penalty).astype(np.float32)
+    w = _train(x, y[rows].astype(float), penalty).astype(np.float32)
     w[len(chosen) : -1] /= EARLIER
     return Link(category, chosen, w)
 
@@ -155,17 +157,14 @@ def fit_chain(doc: np.ndarray, place: np.ndarray, marks: dict[str, np.ndarray],
     return Chain(links, max(cut, -1.0))
 
 
-def learned(train: DataFrame, categories: list[str], most_labels: int = 5000, **fitting) -> Chain | None:
-    """A chain from rows (id, text, a 0/1 column for each category); None without a usable row.
+def sampled(train: DataFrame, categories: list[str], most_labels: int = 5000, least: int = LEAST) -> DataFrame:
+    """What a chain is fitted on: places (features that stand in `least` rows or more), id and the categories of the sample, one row each.
 
-    Rows with a null id or mark are not used, an id that is there twice counts once.  Only the `most_labels` rows with the least hash of
-    their id are fitted, at most: that bounds what reaches the driver (their features that stand in `least` of them).
+    Rows with a null id or mark are not used, an id that is there twice counts once.  The `most_labels` rows with the least hash of their id are taken.
     """
     small_batches(train.sparkSession)
     usable = train.dropna(subset=["id", *categories])
-    ids = [r.id for r in usable.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(most_labels).collect()]
-    if not ids:
-        return None
+    ids = parked(usable.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(most_labels), "sample")
 
     def gather(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(stream):
@@ -176,7 +175,7 @@ def learned(train: DataFrame, categories: list[str], most_labels: int = 5000, **
             yield pa.record_batch([places, *(batch.column(c) for c in ("id", *categories))], names=["places", "id", *categories])
 
     marks = [F.col(c).cast("int").alias(c) for c in categories]
-    some = usable.filter(F.col("id").isin(ids)).groupBy("id").agg(F.min(F.struct(*marks, "text")).alias("row")).select("id", "row.*")
+    some = usable.join(ids, "id", "left_semi").groupBy("id").agg(F.min(F.struct(*marks, "text")).alias("row")).select("id", "row.*")
     kind = some.schema["id"].dataType.simpleString()
     rows = parked(some.mapInArrow(gather, f"places array<int>, id {kind}, " + ", ".join(f"{c} int" for c in categories)), "features")
 
@@ -191,7 +190,7 @@ def learned(train: DataFrame, categories: list[str], most_labels: int = 5000, **
 
     # most features stand in one text and none of them is chosen: they stay in Spark
     sums = rows.select("places").mapInArrow(count, "place int, n int").groupBy("place").agg(F.sum("n").alias("n"))
-    frequent = sums.filter(F.col("n") >= fitting.get("least", LEAST)).select("place").toArrow().column("place")
+    frequent = sums.filter(F.col("n") >= least).select("place").toArrow().column("place")
     often = np.zeros(PLACES, dtype=bool)
     often[np.asarray(frequent)] = True
     shared = train.sparkSession.sparkContext.broadcast(np.packbits(often))
@@ -206,13 +205,34 @@ def learned(train: DataFrame, categories: list[str], most_labels: int = 5000, **
             cut = np.concatenate(([0], np.cumsum(stays)))[np.concatenate(([0], ends))].astype(np.int32)
             yield pa.record_batch([pa.ListArray.from_arrays(cut, pa.array(place[stays])), *batch.columns[1:]], names=batch.schema.names)
 
-    found = rows.mapInArrow(thinned, rows.schema).toArrow().sort_by("id")
-    marks = {c: np.asarray(found.column(c)).astype(np.int64) for c in categories}
-    lists = found.column("places").combine_chunks()
-    doc = np.repeat(np.arange(len(lists), dtype=np.int32), np.asarray(pa.compute.list_value_length(lists)))
-    place = np.asarray(lists.flatten())
-    del found, lists
-    return fit_chain(doc, place, marks, **fitting)
+    return rows.mapInArrow(thinned, rows.schema)
+
+
+def learned(train: DataFrame, categories: list[str], most_labels: int = 5000, **fitting) -> Chain | None:
+    """A chain from rows (id, text, a 0/1 column for each category); None without a usable row.
+
+    `most_labels` bounds the sample and with it the one task that fits it; the driver gets the weights alone.
+    """
+    sample = sampled(train, categories, most_labels, fitting.get("least", LEAST))
+    schema = to_arrow_schema(sample.schema)
+
+    def fit(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All of the sample, in one task: the driver gets the weights alone."""
+        found = pa.Table.from_batches(list(stream), schema)
+        if not found.num_rows:
+            return
+        marks = {c: np.asarray(found.column(c)).astype(np.int64) for c in categories}
+        lists = found.column("places").combine_chunks()
+        doc = np.repeat(np.arange(len(lists), dtype=np.int32), np.asarray(pa.compute.list_value_length(lists)))
+        chain = fit_chain(doc, np.asarray(lists.flatten()), marks, **fitting)
+        for link in chain.links:
+            yield pa.record_batch([pa.array([link.category]), pa.array([link.places.astype(np.int64)]), pa.array([link.weights.astype(np.float64)]), pa.array([chain.cut])], names=["category", "places", "weights", "cut"])
+
+    whole = sample.repartition(1).sortWithinPartitions("id")
+    links = {r.category: r for r in whole.mapInArrow(fit, "category string, places array<long>, weights array<double>, cut double").collect()}
+    if not links:
+        return None
+    return Chain([Link(c, np.array(links[c].places, dtype=np.int32), np.array(links[c].weights, dtype=np.float32)) for c in categories], links[categories[0]].cut)
 
 
 def _judged(chain: Chain | None, column: pa.Array, categories: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -248,7 +268,10 @@ def toxicity(docs: DataFrame, train: DataFrame, categories: list[str], doc_id: s
 
 
 def without_toxic(docs: DataFrame, train: DataFrame, categories: list[str], text: str = "text", **fitting) -> DataFrame:
-    """`docs`, all columns, without the rows whose text is toxic."""
+    """`docs`, all columns, without the rows whose text is toxic.
+
+    Rows with a null or empty text stay, repeated rows fare alike, and without labels all rows stay.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(learned(train, categories, **fitting))
 
     clean = text_udf(lambda batch: pa.array(~_judged(shared.value, batch.column("text"), categories)[1]), "boolean")

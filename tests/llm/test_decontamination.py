@@ -56,5 +56,9 @@ def test_documents(spark):
         clean = without_copies(docs, bench, block_bytes=block)
         assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == [3, 4, 5]
     assert decontamination(docs.limit(0), bench).count() == 0 and decontamination(docs, bench.limit(0)).count() == 0
+    few = spark.createDataFrame([(20, "lazy dog"), (21, "fox"), (22, ""), (23, "zebra")], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.distance) for r in decontamination(docs.filter("doc_id IN (1, 2, 3)"), few).collect())
+    assert got == [(1, 20, 0), (1, 21, 0), (2, 21, 0)]  # the second has two blanks in "lazy dog"
+    assert without_copies(docs, few).count() == docs.count()  # too short to prove a copy
     spot = decontamination(docs.filter("doc_id = 1"), bench).first()
     assert (spot.match_start, spot.match_end) == (6, 6 + len(item.encode()))

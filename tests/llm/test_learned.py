@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 
 from hearth.llm import toxicity as tox
-from hearth.llm.language_id import language_id
+from hearth.llm.language_id import fit, language_id
 from hearth.llm.quality_rules import COUNTS, RATES, learn_list, quality_rules, rule_number, text_stats
+from hearth.llm.text import mix
 from hearth.llm.toxicity import labelled, toxicity, without_toxic
 
 SYLLABLES = {"en": "the ing er th and on is".split(), "fr": "que é eau oi ment le ç".split(), "de": "sch ung ein ß ü ge heit".split()}
@@ -41,6 +42,71 @@ def test_languages(spark):
     assert language_id(docs.limit(0), train).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(4)
+    words = {f"l{k}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(4)] for k in range(450)}
+    rows = [(10 * k + j, " ".join(rng.choice(w) for _ in range(12)), lang) for k, (lang, w) in enumerate(words.items()) for j in range(2)]
+    train = spark.createDataFrame(rows, "id long, text string, lang string")
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(words.values())], "doc_id long, text string")
+    found = {r.doc_id: r.lang_pred for r in language_id(docs, train, clusters=1).collect()}
+    assert len(set(found.values())) > 440 and sum(found[k] == lang for k, lang in enumerate(words)) > 440
+
+
+def plain_places(text, dim):
+    """Places of the byte grams of a text, one by one."""
+    low = [c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in text.encode()]
+    out = []
+    for k, c in enumerate(low):
+        one, two = low[k - 1] if k > 0 else 32, low[k - 2] if k > 1 else 32
+        if c == one == 32:
+            continue
+        for width, gram in ((1, c), (2, one << 8 | c), (3, two << 16 | one << 8 | c)):
+            out.append(int(mix(np.array([gram + (width << 32)], dtype=np.uint64))[0]) % dim)
+    return out
+
+
+def test_languages_against_a_plain_version(spark):
+    """Given the centroids, cosines are those of a loop over dictionaries, and the nearest centroid is the prediction."""
+    rows = languages(60)
+    train = spark.createDataFrame(rows[:40], "id long, text string, lang string")
+    model = fit(train, per_lang=20)
+    texts = [t for _, t, _ in rows[40:]] + ["a", "zz  zz", " x", "é!"]
+    predicted = {r.doc_id: r for r in language_id(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), train, per_lang=20).collect()}
+    for doc, text in enumerate(texts):
+        counts = Counter(plain_places(text, len(model.idf)))
+        vector = {p: (1 + np.log(n)) * model.idf[p] for p, n in counts.items()}
+        norm = np.sqrt(sum(v * v for v in vector.values()))
+        cos = [sum(v / norm * c[p] for p, v in vector.items()) for c in model.rows]
+        raw = np.frombuffer(text.encode(), dtype=np.uint8)
+        assert np.allclose(model.scores(raw, np.array([0, len(raw)]))[0], cos, atol=1e-4)
+        assert abs(predicted[doc].score - min(max(max(cos), 0), 1)) < 1e-4 and predicted[doc].lang_pred in {model.langs[k] for k in range(len(cos)) if cos[k] > max(cos) - 1e-4}
+
+
+def test_toxicity_against_a_plain_version(spark):
+    """Given the chain, probabilities are those of a loop over words and their parts."""
+    rng = random.Random(8)
+    bad, good = ["vile", "scumbags", "idiotic"], ["garden", "morning", "teacher", "window", "weather"]
+    rows = [(k, " ".join(rng.choice(good + bad * (k % 2)) for _ in range(30)), k % 2 == 1) for k in range(200)]
+    train = spark.createDataFrame(rows, "id long, text string, toxic boolean").selectExpr("id", "text", "toxic AND id % 4 = 1 AS some", "toxic AS any")
+    categories = ["some", "any"]
+    chain = tox.learned(train, categories)
+    texts = ["a vile garden", "scumbags!", "the Morning teacher", "x" * 20, "VILE idiotic"]
+    found = {r.doc_id: r for r in toxicity(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), train, categories).collect()}
+    for doc, text in enumerate(texts):
+        present = set()
+        for word in re.findall(rb"[a-z\x80-\xff]+", text.lower().encode()):
+            raw = np.frombuffer(word, dtype=np.uint8)
+            present.update(tox.features(raw, np.array([0, len(raw)]))[1].tolist())
+        earlier = []
+        for link in chain.links:
+            n = len(link.places)
+            odds = sum(float(w) for p, w in zip(link.places.tolist(), link.weights[:n]) if p in present)
+            odds += sum(float(w) * max(-tox.EARLIER, min(tox.EARLIER, e)) for w, e in zip(link.weights[n:-1], earlier)) + float(link.weights[-1])
+            assert abs(found[doc][f"p_{link.category}"] - 1 / (1 + np.exp(-odds))) < 1e-4
+            earlier.append(odds)
+        assert found[doc].toxic == (earlier[-1] >= chain.cut)
+
+
 def plain_counts(text):
     word = r"[^\x20\x09-\x0D]+"
     words = re.findall(word, text or "")
@@ -130,23 +196,23 @@ def test_chain(spark, toxic_rows):
 
 
 def test_rare_features_stay_in_spark(spark, toxic_rows, monkeypatch):
-    """What the driver fits on holds no feature of fewer than LEAST rows, and all others, of 5,000 rows."""
+    """What is fitted holds no feature of fewer than LEAST rows, and all others, of 5,000 rows; the driver gets no row of it."""
     rows, labels = toxic_rows
     many = spark.createDataFrame(rows, "doc_id long, text string").crossJoin(spark.range(13)).selectExpr("doc_id * 13 + id AS id", "concat(text, ' only', id, 'x', doc_id) AS text", "doc_id % 5 = 0 AS toxic")
-    seen = {}
-    monkeypatch.setattr(tox, "fit_chain", lambda doc, place, marks, **fitting: seen.update(doc=doc, place=place, marks=marks))
     pulled = []
     arrow = type(many).toArrow
     monkeypatch.setattr(type(many), "toArrow", lambda df: pulled.append(arrow(df)) or pulled[-1])
-    tox.learned(many, ["toxic"])
-    assert len(seen["marks"]["toxic"]) == 5000
+    sample = tox.sampled(many, ["toxic"])
+    assert [p.schema.names for p in pulled] == [["place"]]
+    seen = arrow(sample).sort_by("id")
+    assert seen.num_rows == 5000
     texts = [r.text for r in many.orderBy(tox.F.xxhash64("id"), "id").limit(5000).orderBy("id").select("text").collect()]
     doc, place = tox.features(*tox.text_bytes(tox.pa.array(texts)))
     both = np.unique(doc * tox.PLACES + place)
     both = both[np.bincount(both % tox.PLACES, minlength=tox.PLACES)[both % tox.PLACES] >= tox.LEAST]
-    assert np.array_equal(np.sort(seen["doc"].astype(np.int64) * tox.PLACES + seen["place"]), both)
-    places = pulled[-1].column("places").combine_chunks().flatten()
-    assert len(places) == len(both)
+    lists = seen.column("places").combine_chunks()
+    own = np.repeat(np.arange(5000), np.asarray(tox.pa.compute.list_value_length(lists)))
+    assert np.array_equal(np.sort(own * tox.PLACES + np.asarray(lists.flatten())), both)
 
 
 def test_prediction_clips_earlier_log_odds_as_fitting_does():

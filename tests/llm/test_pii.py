@@ -1,12 +1,15 @@
 import hashlib
 import re
+import time
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from hearth.llm.pii import KINDS, luhn, pii_spans, redacted
+from hearth.llm.pii import KINDS, base_spans, luhn, pii_spans, redacted
 from hearth.llm.queries import op4_pii
+from hearth.llm.text import word_spans
 
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 CARD = "4556737586899855"
@@ -78,3 +81,18 @@ def test_redaction_and_digest(spark, corpus, tmp_path):
         text = ",".join(f"{k}:{a}:{b}" for k, a, b in own)
         assert rows[i].base_sha256 == hashlib.sha256(text.encode()).hexdigest()
         assert [rows[i].n_email, rows[i].n_ip, rows[i].n_card, rows[i].n_phone] == [sum(k == n for k, _, _ in own) for n in KINDS]
+
+
+def test_long_tokens_take_time_in_proportion():
+    size = 1_000_000
+    texts = ["@" + "a" * size, "a" * size, "a" * size + "@", "1" * size + ".1.1", "1" * size + ".", "x " + "1" * 5000 + ".1.1.1", "a@" * (size // 2), "1." * (size // 2), "+" + "(" * size, "+1" * (size // 2), "a." * (size // 2) + "@b", "@" * size]
+    for text in texts:
+        raw = np.frombuffer(text.encode(), dtype=np.uint8)
+        at = np.array([0, len(raw)])
+        starts, ends, _ = word_spans(raw, at)
+        begun = time.process_time()
+        found = base_spans(raw, at, starts, ends)
+        assert time.process_time() - begun < 5, text[:20]
+        assert all(a < b <= len(raw) for a, _, b in found)
+    raw = np.frombuffer(b"001.0255.3.0000 256.1.1.1", dtype=np.uint8)
+    assert base_spans(raw, np.array([0, len(raw)]), *word_spans(raw, np.array([0, len(raw)]))[:2]) == [(0, 1, 15)]
