@@ -52,6 +52,8 @@ FROM (SELECT i.household_id, 'receipt' AS source, i.quantity * i.unit_c - i.disc
 def with_prelude(sql: str) -> str:
     shared = ",\n".join(f"{name} AS ({text})" for name, text in SHARED.items())
     body = sql.strip()
+    if body.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {comparison_prelude().removeprefix('WITH')},\n{shared},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"{comparison_prelude()},\n{shared},\n{body[5:]}"
     return f"{comparison_prelude()},\n{shared}\n{body}"

@@ -10,8 +10,9 @@ from ..operators import investments as I
 from ..operators import matching as X
 from ..operators import savings_plans as V
 from ..operators import subscriptions as U
-from ..schema import Ledger
+from ..schema import SCHEMAS, Ledger
 from .common import TODAY, Query, big, dt, label, mi, sql_half_up
+from .upkeep_queries import derived, plain
 
 D = dt.date
 T = f"date '{TODAY}'"
@@ -27,6 +28,19 @@ def payee(name: str) -> str:
     return f"coalesce(nullif({kept}, ''), nullif(trim({plain}), ''), 'unknown')"
 
 
+def _twins(table: str, where: str, more: int) -> str:
+    """The rows of a table and, of those that fit, another one each with the id moved on by `more`."""
+    columns = [part.strip().split(" ")[0] for part in SCHEMAS[table].split(",")]
+    moved = ", ".join(f"id + {more}" if c == "id" else c for c in columns)
+    return f"SELECT {', '.join(columns)} FROM {{{table}}} UNION ALL SELECT {moved} FROM {{{table}}} WHERE {where}"
+
+
+CONTESTED = {
+    "receipts": _twins("receipts", "id % 20 = 0", 1_000_000_000),
+    "bookings": _twins("bookings", "id % 400 = 1", 5),
+    "questions": "SELECT household_id, id, kind, transaction_id, receipt_id, status FROM {questions} UNION ALL SELECT household_id, id * 10 + 9, 'receipt_match', id * 10 + 1, id, 'no' "
+                 "FROM {receipts} WHERE id % 15 IN (3, 8) OR id % 100 = 40",
+}
 CODE = ("coalesce(nullif(regexp_extract(description, 'WPKNR:\\s*([A-Z0-9]{6})', 1), ''), "
         "nullif(regexp_extract(description, '\\b([A-Z]{2}[A-Z0-9]{9}\\d)\\b', 1), ''))")
 REF = ("substr(sha1(bank || '|' || cast(booking_date AS varchar) || '|' || cast(cast(-amount_c / 100.0 AS decimal(18,2)) AS varchar) || '|' "
@@ -206,19 +220,29 @@ f AS (SELECT household_id, pid, min(bid) AS bid FROM n WHERE same GROUP BY house
 g AS (SELECT household_id, bid, min(pid) AS pid FROM n GROUP BY household_id, bid HAVING count(*) = 1)
 SELECT household_id, pid AS paypal_id, bid AS bank_id, 'auto: PayPal transaction number ' || ref || ' is on the bank booking' AS reason FROM r2
 UNION ALL SELECT household_id, pid, bid, 'auto: same merchant, amount and date; only possible partner' FROM f JOIN g USING (household_id, pid, bid)"""),
-    Query("match_receipts", X.match_receipts, f"""
-WITH t AS (SELECT household_id, id, -amount_c AS c, coalesce(purchase_date, booking_date) AS day, {payee('counterparty')} AS mer, payment_reference AS ref FROM bookings WHERE amount_c < 0 AND receipt_id IS NULL),
-r AS (SELECT household_id, id, total_c AS c, purchase_date AS day, {payee('store_name')} AS mer, payment_reference AS ref FROM receipts WHERE NOT linked),
-pr AS (SELECT t.household_id, t.id AS tid, min(r.id) AS rid FROM t JOIN r ON r.household_id = t.household_id AND abs(t.c - r.c) <= 1 AND t.ref <> '' AND starts_with(r.ref, t.ref) GROUP BY ALL),
-pf AS (SELECT household_id, rid, min(tid) AS tid FROM pr GROUP BY ALL),
+    # receipts and bookings with a twin of the same reference, and refused pairs, the nearest ones among them
+    Query("match_receipts", lambda L: X.match_receipts(L.with_(**{t: derived(L, text) for t, text in CONTESTED.items()})), f"""
+WITH RECURSIVE rc AS ({plain(CONTESTED['receipts'])}), bk AS ({plain(CONTESTED['bookings'])}), qs AS ({plain(CONTESTED['questions'])}),
+no AS (SELECT DISTINCT household_id, transaction_id AS tid, receipt_id AS rid FROM qs WHERE kind = 'receipt_match' AND status = 'no'),
+t AS (SELECT household_id, id, -amount_c AS c, coalesce(purchase_date, booking_date) AS day, {payee('counterparty')} AS mer, payment_reference AS ref,
+ CASE WHEN id IN (SELECT tid FROM no) THEN id END AS own FROM bk WHERE amount_c < 0 AND receipt_id IS NULL),
+r AS (SELECT household_id, id, total_c AS c, purchase_date AS day, {payee('store_name')} AS mer, payment_reference AS ref FROM rc WHERE NOT linked),
+tc AS (SELECT *, min(id) OVER (PARTITION BY household_id, ref, c, own) AS first FROM t WHERE ref <> ''),
+pr AS (SELECT r.household_id, r.id AS rid, r.c AS rc, list(tc.id ORDER BY length(tc.ref) DESC, tc.c, tc.first, tc.id) AS tids
+ FROM tc JOIN r ON r.household_id = tc.household_id AND abs(tc.c - r.c) <= 1 AND starts_with(r.ref, tc.ref)
+ WHERE NOT EXISTS (SELECT 1 FROM no WHERE no.household_id = r.household_id AND no.tid = tc.id AND no.rid = r.id) GROUP BY ALL),
+rr AS (SELECT *, row_number() OVER (PARTITION BY household_id ORDER BY rc, rid) AS k FROM pr),
+fold AS (SELECT DISTINCT household_id, cast(0 AS bigint) AS k, cast([] AS bigint[]) AS used, cast(NULL AS bigint) AS tid, cast(NULL AS bigint) AS rid FROM rr
+ UNION ALL SELECT household_id, k, CASE WHEN tid IS NULL THEN used ELSE list_append(used, tid) END, tid, rid
+ FROM (SELECT f.household_id, rr.k, f.used, list_filter(rr.tids, lambda x: NOT list_contains(f.used, x))[1] AS tid, rr.rid FROM fold f JOIN rr ON rr.household_id = f.household_id AND rr.k = f.k + 1)),
+pf AS (SELECT household_id, tid, rid FROM fold WHERE tid IS NOT NULL),
 k AS (SELECT t.household_id, t.id AS tid, r.id AS rid, t.day - r.day AS gap FROM t JOIN r ON r.household_id = t.household_id AND r.mer = t.mer AND abs(t.c - r.c) <= 1 AND t.day - r.day BETWEEN 0 AND 14
- WHERE t.id NOT IN (SELECT tid FROM pf) AND r.id NOT IN (SELECT rid FROM pf)),
-z AS (SELECT *, count(*) OVER (PARTITION BY tid) AS x, count(*) OVER (PARTITION BY rid) AS y, row_number() OVER (PARTITION BY tid ORDER BY gap, rid) AS rn FROM k),
-a AS (SELECT household_id, tid, rid, 'certain' AS confidence, 'payment reference is on the receipt' AS reason FROM pf
- UNION ALL SELECT household_id, tid, rid, CASE WHEN x = 1 AND y = 1 THEN 'certain' ELSE 'likely' END,
-  CASE WHEN x = 1 AND y = 1 THEN 'same merchant and amount, only possible partner' ELSE 'same merchant and amount, several could fit' END FROM z WHERE rn = 1)
-SELECT household_id, tid AS transaction_id, rid AS receipt_id, confidence, reason FROM a
-WHERE NOT EXISTS (SELECT 1 FROM questions q WHERE q.kind = 'receipt_match' AND q.status = 'no' AND q.transaction_id = tid AND q.receipt_id = rid)"""),
+ WHERE t.id NOT IN (SELECT tid FROM pf) AND r.id NOT IN (SELECT rid FROM pf)
+  AND NOT EXISTS (SELECT 1 FROM no WHERE no.household_id = r.household_id AND no.tid = t.id AND no.rid = r.id)),
+z AS (SELECT *, count(*) OVER (PARTITION BY household_id, tid) AS x, count(*) OVER (PARTITION BY household_id, rid) AS y, row_number() OVER (PARTITION BY household_id, tid ORDER BY gap, rid) AS rn FROM k)
+SELECT household_id, tid AS transaction_id, rid AS receipt_id, 'certain' AS confidence, 'payment reference is on the receipt' AS reason FROM pf
+UNION ALL SELECT household_id, tid, rid, CASE WHEN x = 1 AND y = 1 THEN 'certain' ELSE 'likely' END,
+ CASE WHEN x = 1 AND y = 1 THEN 'same merchant and amount, only possible partner' ELSE 'same merchant and amount, several could fit' END FROM z WHERE rn = 1"""),
     Query("balance_chain_breaks", X.balance_chain_breaks, """
 SELECT b.household_id, b.bank, b.owner, b.month_index, a.id AS previous_id, b.id, a.closing_c / 100 AS previous_closing, b.opening_c / 100 AS opening
 FROM statements a JOIN statements b ON a.household_id = b.household_id AND a.bank = b.bank AND a.owner = b.owner AND b.month_index = a.month_index + 1

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -318,8 +317,4 @@ def mirror_question(reason) -> Column:
     )
 
 
-def all_of(conditions) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
-
-
 __all__ = [name for name in dir() if not name.startswith("_")] + ["euros"]

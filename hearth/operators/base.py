@@ -58,14 +58,14 @@ def near_cents(c: Column | str, width: int = 1) -> Column:
     return F.sequence(c - F.lit(width), c + F.lit(width))
 
 
-def near_days(d: Column | str, before: int, after: int) -> Column:
-    d = F.col(d) if isinstance(d, str) else d
-    return F.sequence(F.date_sub(d, before), F.date_add(d, after))
+def islands(df: DataFrame, keys: list[str], value: str, reach: int, name: str = "island") -> DataFrame:
+    """df with `name`: a number per key for the values that are joined by steps of `reach` or less.
 
-
-def only_partner_id(xor_total: Column, count: Column) -> Column:
-    """The id of the single member of a group kept as (count, xor of ids)."""
-    return F.when(count == 1, xor_total)
+    Rows whose values are never more than `reach` apart lie in one island, so what belongs together is never cut. Only distinct values are sorted.
+    """
+    line = W.partitionBy(*keys).orderBy(value)
+    seen = df.select(*keys, value).distinct().withColumn("_new", F.coalesce(F.col(value) - F.lag(value).over(line) > reach, F.lit(True)).cast("int"))
+    return df.join(seen.withColumn(name, F.sum("_new").over(line)).drop("_new"), [*keys, value])
 
 
 # ---- contained text ------------------------------------------------------------------------------------

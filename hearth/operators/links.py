@@ -7,13 +7,15 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..functions import exprs as E
 from ..schema import GENERIC_BANK_CATEGORIES, PAYPAL, Ledger
 from ..sources.scratch import written
+from .base import islands, sorted_fold
 from .finders import bookings, mirrored_ids
 
 KINDS = ("receipt_match", "transfer_match", "mirror_match")
@@ -197,21 +199,41 @@ def questions_from(pairs: DataFrame, L: Ledger, kind: str) -> DataFrame:
     )
 
 
-def _first_come(df: DataFrame, keys: list[str], a: str, b: str, order: list[Column]) -> DataFrame:
-    """Pairs kept when taken in order and no id is used twice.
+class _FirstCome:
+    """Keeps a pair if neither of its ids is taken yet."""
 
-    A pair that is first for both its ids is kept, pairs that touch a kept one go; repeated until nothing is
-    left. Only ids that are claimed more than once need another round.
+    def __init__(self, a: str, b: str, columns: list[str]):
+        self.a, self.b, self.columns, self.taken = a, b, columns, (set(), set())
+
+    def row(self, r: dict):
+        if r[self.a] in self.taken[0] or r[self.b] in self.taken[1]:
+            return ()
+        self.taken[0].add(r[self.a])
+        self.taken[1].add(r[self.b])
+        return [tuple(r[c] for c in self.columns)]
+
+    def end(self):
+        return ()
+
+
+def _first_come(df: DataFrame, keys: list[str], a: str, b: str, order: list[str], cents: str, reach: int) -> DataFrame:
+    """Pairs kept when taken in order and no id is used twice; pairs that share an id have amounts (`cents`) `reach` apart at most.
+
+    Pairs whose ids nobody else claims are kept as they are. The others go through one fold per island of amounts: conflicts never reach from one island
+    into another, however long their chains. The number of jobs does not depend on the data.
     """
-    kept, rest = None, written(df)
-    while not rest.isEmpty():
-        first = rest.withColumn("_a", F.row_number().over(W.partitionBy(*keys, a).orderBy(*order))).withColumn(
-            "_b", F.row_number().over(W.partitionBy(*keys, b).orderBy(*order))
-        ).filter((F.col("_a") == 1) & (F.col("_b") == 1)).drop("_a", "_b")
-        first = written(first)
-        kept = first if kept is None else kept.unionByName(first)
-        rest = written(rest.join(first.select(*keys, a), [*keys, a], "left_anti").join(first.select(*keys, b), [*keys, b], "left_anti"))
-    return df if kept is None else kept
+    pairs = written(df)
+    claimed = [pairs.groupBy(*keys, c).agg(F.count("*").alias("_n")).filter("_n > 1").select(*keys, c) for c in (a, b)]
+    marked = pairs
+    for c, several in zip((a, b), claimed):
+        marked = marked.join(several.withColumn(f"_{c}", F.lit(True)), [*keys, c], "left")
+    marked = written(marked.withColumn("_contested", F.coalesce(F.col(f"_{a}"), F.col(f"_{b}"), F.lit(False))).select(*df.columns, "_contested"))
+    contested = islands(marked.filter("_contested").drop("_contested"), keys, cents, reach)
+    own = [*keys, "island"]
+    rest = [c for c in df.columns if c not in keys]
+    schema = T.StructType([contested.schema[c] for c in [*own, *rest]])
+    kept = sorted_fold(contested.select(*own, *rest), own, order, lambda: _FirstCome(a, b, rest), schema)
+    return marked.filter("NOT _contested").select(*df.columns).unionByName(kept.select(*df.columns))
 
 
 def apply_answers(L: Ledger, answers: DataFrame) -> tuple[Ledger, DataFrame]:
@@ -220,7 +242,6 @@ def apply_answers(L: Ledger, answers: DataFrame) -> tuple[Ledger, DataFrame]:
     The first answer to a question counts. A 'yes' links when both sides are still free; inside one batch the
     earlier answer takes the booking. A 'no' is final.
     """
-    order = [F.col("ts"), F.col("question_id")]
     first = answers.withColumn("_n", F.row_number().over(W.partitionBy(*L.keys, "question_id").orderBy("ts", F.col("yes").desc())))
     q = L.questions.select(*L.keys, F.col("id").alias("question_id"), "kind", "transaction_id", "receipt_id", "other_transaction_id", "status")
     rows = written(first.join(q, L.on("question_id"), "left"))
@@ -240,8 +261,11 @@ def apply_answers(L: Ledger, answers: DataFrame) -> tuple[Ledger, DataFrame]:
             F.lit("confirmed by household").alias("reason"),
         )
         checked = written(validate_links(pairs, out, kind))
-        good = _first_come(checked.filter(F.col("problem").isNull()).drop("problem"), list(L.keys), a, b, order)
+        amounts = L.bookings.select(*L.keys, F.col("id").alias(a), F.abs("amount_c").alias("cents"))
+        free = checked.filter(F.col("problem").isNull()).drop("problem").join(amounts, L.on(a))
+        # both sides of a pair are a cent apart at most, so pairs with a common side are two cents apart at most
+        good = written(_first_come(free, list(L.keys), a, b, ["ts", "question_id"], "cents", 2))
         lost = checked.join(good.select(*L.on("question_id")), L.on("question_id"), "left_anti")
         problems = problems.unionByName(lost.select(*L.keys, "question_id", F.coalesce("problem", F.lit("already_linked")).alias("problem")))
-        out = APPLY[kind](out, good.drop("ts", "question_id"), "confirmed")
+        out = APPLY[kind](out, good.drop("ts", "question_id", "cents"), "confirmed")
     return out, problems
