@@ -22,11 +22,19 @@ SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 U = np.uint64
 
 
+#: The finaliser of splitmix64: shifts and factors, fixed values.
+MIX = ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 0))
+#: Numbers that are worked on at once, so that they stay in a core's cache.
+CACHED = 1 << 14
+
+
 def mix(x: np.ndarray) -> np.ndarray:
-    """A fixed scrambling of 64-bit numbers (the finaliser of splitmix64)."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
+    """A fixed scrambling of 64-bit numbers."""
+    for shift, factor in MIX:
+        x = x ^ (x >> U(shift))
+        if factor:
+            x = x * U(factor)
+    return x
 
 
 class Ladder:
@@ -50,7 +58,7 @@ class Ladder:
         """(k, names of the stretches of 2**k units at every place) up to `most`."""
         names = self.kept.get(self.first)
         if names is None:
-            names = mix(np.ascontiguousarray(self.units) ^ self.seed)
+            names = joined(self.units, self.seed, 1)
         for k in range(self.first, most + 1):
             if k > self.first:
                 later = self.kept.get(k)
@@ -60,9 +68,21 @@ class Ladder:
             yield k, names
 
 
-def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Names of pairs of names, one after the other."""
-    return mix(a * U(0x9FB21C651E98DF25) + b)
+def joined(a: np.ndarray, b: np.ndarray, factor: int = 0x9FB21C651E98DF25) -> np.ndarray:
+    """Names of pairs of names, one after the other: `mix` of a sum, a cache's worth at a time."""
+    out = np.empty(len(a), dtype=np.uint64)
+    spare = np.empty(min(len(a), CACHED), dtype=np.uint64)
+    for low in range(0, len(a), CACHED):
+        x = out[low : low + CACHED]
+        y = spare[: len(x)]
+        np.multiply(a[low : low + CACHED], U(factor), out=x)
+        x += b[low : low + CACHED] if isinstance(b, np.ndarray) else b
+        for shift, by in MIX:
+            np.right_shift(x, U(shift), out=y)
+            x ^= y
+            if by:
+                x *= U(by)
+    return out
 
 
 class Fingerprint:
@@ -81,10 +101,13 @@ class Fingerprint:
 
     def of(self, ladder: Ladder, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The names of the stretches [start, end)."""
+        if not len(start):
+            return np.zeros(0, dtype=np.uint64)
         size = end - start
+        low, high = int(size.min()), int(size.max())
+        if low == high and low >= (8 if ladder.bytes else 1):
+            return joined(self._alike(ladder, start, low), U(self._of_size(low)), 1)
         out = np.zeros(len(size), dtype=np.uint64)
-        if not len(size):
-            return out
         level = np.where(size > 0, np.frexp(np.maximum(size, 1).astype(np.float64))[1] - 1, -1)
         if ladder.bytes:
             short = np.flatnonzero((size > 0) & (size < 8))
@@ -94,13 +117,22 @@ class Fingerprint:
             level[short] = -1
         if level.max() >= 0:
             for k, names in ladder.levels(int(level.max())):
-                if level[0] == k and (level == k).all():
-                    out = joined(names[start], names[end - (1 << k)])
-                    break
                 of = np.flatnonzero(level == k)
                 if len(of):
                     out[of] = joined(names[start[of]], names[end[of] - (1 << k)])
-        return mix(out ^ mix(size.astype(np.uint64) + U(self.seed)))
+        return joined(out, mix(size.astype(np.uint64) + U(self.seed)), 1)
+
+    def _of_size(self, size: int) -> int:
+        return int(mix(np.array([size], dtype=np.uint64) + U(self.seed))[0])
+
+    def _alike(self, ladder: Ladder, start: np.ndarray, size: int) -> np.ndarray:
+        """Stretches of one size, not yet scrambled with it."""
+        k = size.bit_length() - 1
+        names = [n for _, n in ladder.levels(k)][-1]
+        first, n, rest = int(start[0]), len(start), size - (1 << k)
+        if int(start[-1]) - first == n - 1 and (n < 3 or (np.diff(start) == 1).all()):  # side by side
+            return joined(names[first : first + n], names[first + rest : first + rest + n])
+        return joined(names[start], names[start + rest])
 
 
 def batches(stream: Iterator[pa.RecordBatch], text: str = "text", most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
