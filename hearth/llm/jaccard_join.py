@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearth.llm.repeats import _filter, _passes, _signed
@@ -77,6 +77,31 @@ def parity_words(tokens: np.ndarray, cut: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def wide_parity(tokens: np.ndarray, cut: np.ndarray) -> list[bytes]:
+    """For each set as many bits as it has tokens (a power of two, 64 at least); every token turns one over.
+
+    A set of twice the size can be compared with: one half of its bits turned over by the other are the bits it would have had.
+    """
+    n = np.diff(cut)
+    size = np.maximum(1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), 64)
+    first = np.concatenate(([0], np.cumsum(size)))
+    which = np.repeat(np.arange(len(n)), n)
+    place = first[which] + (mix(tokens[: int(cut[-1])] + U(9)) & (size[which] - 1).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(place, minlength=int(first[-1])) & 1).astype(np.uint8)
+    packed = np.packbits(odd, bitorder="little").tobytes()
+    return [packed[a // 8 : b // 8] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+
+
+def bits_apart(a: bytes, b: bytes) -> int:
+    """In how many tokens two sets differ at least, by their wide parities."""
+    x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def prefix_size(n: np.ndarray, pct: int, k: int) -> np.ndarray:
     return np.minimum(n, n + (-pct * n) // 100 + k)
 
@@ -131,8 +156,27 @@ def similar(a: np.ndarray, b: np.ndarray, pct: int) -> bool:
     return 100 * both >= pct * (len(a) + len(b) - both)
 
 
+def _worth_comparing(pairs: DataFrame, texts: DataFrame, width: int, pct: int) -> DataFrame:
+    """Pairs (leader, node) whose sets may be similar by as many bits as they have tokens: an eighth of a byte a token travels, not its text."""
+
+    def parities(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(stream):
+            tokens, cut = shingle_sets(*text_bytes(batch.column("text")), width)
+            yield pa.record_batch([batch.column("node"), pa.array(np.diff(cut).astype(np.int64)), pa.array(wide_parity(tokens, cut), pa.binary())], names=["node", "n", "odd"])
+
+    def may_be(n: pa.Array, odd: pa.Array, m: pa.Array, its: pa.Array) -> pa.Array:
+        rows = zip(n.to_pylist(), odd.to_pylist(), m.to_pylist(), its.to_pylist())
+        return pa.array([(100 + pct) * bits_apart(x, y) <= (100 - pct) * (a + b) for a, x, b, y in rows], pa.bool_())
+
+    own = parked(texts.mapInArrow(parities, "node long, n long, odd binary"), "parities")
+    its = own.select(F.col("node").alias("leader"), F.col("n").alias("m"), F.col("odd").alias("its"))
+    found = pairs.select("leader", "node").join(own, "node").join(its, "leader")
+    return parked(found.filter(F.arrow_udf(may_be, "boolean")("n", "odd", "m", "its")).select("leader", "node"), "pairs")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, pct: int) -> DataFrame:
     """The pairs (node, leader) that are links.  The members of a leader are dealt to as many tasks as they need, the leader's text to each."""
+    pairs = _worth_comparing(pairs, texts, width, pct)
     parts = pairs.groupBy("leader").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
     members = parked(pairs.join(parts, "leader").select("leader", "node", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part")), "members")
     leaders = members.select("leader", "part").distinct().join(texts.withColumnRenamed("node", "leader"), "leader").select("leader", "part", F.lit(None).cast("long").alias("node"), "text")
@@ -227,19 +271,24 @@ def jaccard_join(docs: DataFrame, width: int = 3, pct: int = 90, rounds: int = 3
 
     found = rows.select("text").mapInArrow(members_of, "key long, node long, n int").join(shared, "key").groupBy("key", "node").agg(F.max("n").alias("n"))
     members = parked(found, "members")
-    links, roots = None, None
-    done = None
+    bits = parked(sets.join(members.select("node").distinct(), "node", "left_semi").select("node", *BITS).dropDuplicates(["node"]), "bits")
+    links, roots, done = None, None, None
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / pct))).cast("int")
     for turn in range(rounds):
         open_rows = _open(members, roots).withColumn("band", band)
         leaders = open_rows.groupBy("key", "band").agg(F.min_by(F.struct("node", "n", "root"), F.xxhash64("node", F.lit(turn))).alias("leader"))
         beside = leaders.select("key", F.explode(F.array(*(F.col("band") + d for d in (-1, 0, 1)))).alias("band"), "leader")
-        pairs = open_rows.join(beside, ["key", "band"]).filter("root != leader.root")
-        pairs = _sized(pairs.select(F.col("leader.node").alias("leader"), "node", "n", F.col("leader.n").alias("m")), pct)
+        met = open_rows.join(beside, ["key", "band"]).filter("root != leader.root")
+        met = met.select(F.col("leader.node").alias("leader"), "node", "n", F.col("leader.n").alias("m"), F.col("leader.root").alias("other"))
+        # the pairs come together from many keys: counted in the tasks first, and what they differ in at least refutes most that are no links
+        met = _sized(met, pct).groupBy("leader", "node", "n", "m", "other").agg(F.count("*").alias("keys"))
+        met = met if done is None else met.join(done, ["leader", "node"], "left_anti")
+        met = _not_refuted(met, bits, pct)
         # near copies meet under most of their keys; a pair that meets under few is left to the end
-        met = pairs.groupBy("leader", "node", "n").agg(F.count("*").alias("keys")).filter(4 * F.col("keys") >= F.col("n") - F.ceil(F.col("n") * pct / 100) + 1)
-        pairs = met.select("leader", "node")
-        pairs = parked(pairs if done is None else pairs.join(done, ["leader", "node"], "left_anti"), "pairs")
+        near = met.filter(4 * F.col("keys") >= F.col("n") - F.ceil(F.col("n") * pct / 100) + 1)
+        # one leader a class and round: whoever links with it is in its class, and a text travels once for that
+        best = near.groupBy("node", "other").agg(F.max(F.struct("keys", "leader")).alias("best")).groupBy("node").agg(F.max("best").alias("best"))
+        pairs = parked(best.select(F.col("best.leader").alias("leader"), "node"), "pairs")
         if pairs.isEmpty():
             break
         done = pairs if done is None else done.unionByName(pairs)
@@ -248,16 +297,14 @@ def jaccard_join(docs: DataFrame, width: int = 3, pct: int = 90, rounds: int = 3
         roots = classes(links)
         if 10 * new.count() < pairs.count():
             break
-    bits = sets.join(members.select("node").distinct(), "node", "left_semi").select("node", *BITS).dropDuplicates(["node"])
     rest = parked(_open(members, roots), "open")
     firsts = rest.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("key")), 1, FIRSTS).alias("firsts"))
     rest = rest.join(firsts.join(bits, "node"), "node")
     left, right = rest.alias("l"), rest.alias("r")
     pairs = left.join(right, F.col("l.key") == F.col("r.key")).filter("l.root < r.root")
-    apart = sum((F.bit_count(F.col(f"l.{b}").bitwiseXOR(F.col(f"r.{b}"))) for b in BITS), F.lit(0))  # they differ in as many tokens at least
     # a pair comes up under each key it shares: those after another one among the first keys of both add nothing
     news = F.coalesce(F.array_min(F.array_intersect("l.firsts", "r.firsts")) >= F.col("l.key"), F.lit(True))
-    pairs = pairs.filter(F.when((100 + pct) * apart <= (100 - pct) * (F.col("l.n") + F.col("r.n")), news).otherwise(False))
+    pairs = pairs.filter(F.when((100 + pct) * _apart("l.", "r.") <= (100 - pct) * (F.col("l.n") + F.col("r.n")), news).otherwise(False))
     pairs = pairs.select(F.col("l.node").alias("leader"), F.col("r.node").alias("node"), F.col("l.n").alias("n"), F.col("r.n").alias("m"))
     pairs = _sized(pairs, pct).select("leader", "node").distinct()
     if done is not None:
@@ -304,6 +351,19 @@ def _distinct_sets(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.nd
     return key[new], node[new]
 
 
+def _apart(a: str, b: str) -> Column:
+    """In how many tokens two sets differ at least."""
+    return sum((F.bit_count(F.col(f"{a}{w}").bitwiseXOR(F.col(f"{b}{w}"))) for w in BITS), F.lit(0))
+
+
+def _not_refuted(pairs: DataFrame, bits: DataFrame, pct: int) -> DataFrame:
+    """Pairs (leader, node, n, m, ...) that may be links by their bits."""
+    own = bits.select("node", *(F.col(w).alias(f"r_{w}") for w in BITS))
+    its = bits.select(F.col("node").alias("leader"), *(F.col(w).alias(f"l_{w}") for w in BITS))
+    found = pairs.join(own, "node").join(its, "leader")
+    return found.filter((100 + pct) * _apart("l_", "r_") <= (100 - pct) * (F.col("n") + F.col("m"))).select(*pairs.columns)
+
+
 def _sized(pairs: DataFrame, pct: int) -> DataFrame:
     return pairs.filter(100 * F.least("n", "m") >= pct * F.greatest("n", "m"))
 

@@ -4,10 +4,13 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from hearth.llm import jaccard_join as module
-from hearth.llm.jaccard_join import jaccard_join, one_of_each
+from hearth.llm.jaccard_join import bits_apart, jaccard_join, one_of_each, wide_parity
 
 
 def shingles(text, width):
@@ -70,3 +73,14 @@ def test_one_of_each(spark):
     assert kept.columns == docs.columns
     assert sorted(((r.doc_id, r.n) for r in kept.collect()), key=str) == sorted([(1, 5), (3, 1), (4, 1), (None, 9), (5, 2)], key=str)
     assert jaccard_join(docs.limit(0)).count() == 0 and one_of_each(docs.limit(0)).count() == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 10**9), unique=True, max_size=400), st.integers(0, 400), st.integers(0, 400))
+def test_wide_parities_never_refute_a_link(names, drop, add):
+    a = np.array(sorted(names), dtype=np.uint64)
+    b = np.array(sorted([*names[drop:], *range(2 * 10**9, 2 * 10**9 + add)]), dtype=np.uint64)
+    x, y = wide_parity(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)]))
+    apart = len(set(a.tolist()) ^ set(b.tolist()))
+    assert bits_apart(x, y) == bits_apart(y, x) <= apart and bits_apart(x, x) == 0
+    assert len(x) * 8 >= max(len(a), 1)
