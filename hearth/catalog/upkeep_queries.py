@@ -163,6 +163,22 @@ TX = ["household_id", "id", "kind", "category", "counterparty", "receipt_id", "t
 PAIRS_SQL = {k: f"(SELECT * FROM ({plain(v)}) q)" for k, v in LINKS.items()}
 LEGACY = "CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in legacy_by_key().items()) + " ELSE 'Other' END"
 
+def statement_outcomes(columns: str = "household_id, doc_id, outcome", after: str = "") -> str:
+    """What loading the derived statements comes to."""
+    return f"""WITH {STATEMENT_PROBLEMS},
+al AS (SELECT m.*, sp.problems, {WARNINGS} AS warnings, coalesce(o.has_balances, false) AS complete,
+  EXISTS (SELECT 1 FROM statements k WHERE k.household_id = m.household_id AND k.file_hash = m.doc_hash) AS dup
+ FROM sm m JOIN sp ON sp.household_id = m.household_id AND sp.doc_id = m.doc_id
+ LEFT JOIN statements o ON o.household_id = m.household_id AND o.bank = m.bank AND o.owner = m.owner AND o.month_index = m.month_index
+ {NEIGHBOURS}),
+st AS (SELECT *, CASE WHEN dup THEN 'duplicate' WHEN problems <> '' AND review_note IS NULL THEN 'rejected'
+  WHEN bank <> 'PayPal' AND closing_c IS NULL AND complete THEN 'kept_complete' END AS out FROM al),
+lo AS (SELECT household_id, doc_id, CASE WHEN out IS NOT NULL THEN out
+ WHEN bank <> 'PayPal' AND doc_id < max(doc_id) FILTER (out IS NULL) OVER (PARTITION BY household_id, bank, owner, month_index) THEN 'replaced_in_batch'
+ WHEN review_note IS NOT NULL OR warnings <> '' THEN 'needs_review' ELSE 'ok' END AS outcome FROM st)
+SELECT {columns} FROM lo {after}"""
+
+
 QUERIES = [
     Query("document_identity", lambda spark, d: S.document_identity(
         spark.read.parquet(f"{d}/documents.parquet").withColumn("n", F.lit(0)), ["doc_id"], "n", "text"),
@@ -218,17 +234,7 @@ du AS (SELECT rp.*, EXISTS (SELECT 1 FROM receipts r WHERE r.household_id = rp.h
 SELECT household_id, doc_id, CASE WHEN dup OR EXISTS (SELECT 1 FROM du e WHERE NOT e.dup AND e.household_id = du.household_id AND e.doc_id < du.doc_id AND e.store_name = du.store_name
   AND e.purchase_date = du.purchase_date AND e.total_c = du.total_c AND (du.receipt_number IS NULL OR e.receipt_number = du.receipt_number)) THEN 'duplicate'
  WHEN problems <> '' AND review_note IS NULL THEN 'rejected' WHEN review_note IS NOT NULL THEN 'needs_review' ELSE 'ok' END AS outcome FROM du"""),
-    Query("load_statements", lambda L: O.load_statements(*_statements(L), L)[1].select("household_id", "doc_id", "outcome"), f"""WITH {STATEMENT_PROBLEMS},
-al AS (SELECT m.*, sp.problems, {WARNINGS} AS warnings, coalesce(o.has_balances, false) AS complete,
-  EXISTS (SELECT 1 FROM statements k WHERE k.household_id = m.household_id AND k.file_hash = m.doc_hash) AS dup
- FROM sm m JOIN sp ON sp.household_id = m.household_id AND sp.doc_id = m.doc_id
- LEFT JOIN statements o ON o.household_id = m.household_id AND o.bank = m.bank AND o.owner = m.owner AND o.month_index = m.month_index
- {NEIGHBOURS}),
-st AS (SELECT *, CASE WHEN dup THEN 'duplicate' WHEN problems <> '' AND review_note IS NULL THEN 'rejected'
-  WHEN bank <> 'PayPal' AND closing_c IS NULL AND complete THEN 'kept_complete' END AS out FROM al)
-SELECT household_id, doc_id, CASE WHEN out IS NOT NULL THEN out
- WHEN bank <> 'PayPal' AND doc_id < max(doc_id) FILTER (out IS NULL) OVER (PARTITION BY household_id, bank, owner, month_index) THEN 'replaced_in_batch'
- WHEN review_note IS NOT NULL OR warnings <> '' THEN 'needs_review' ELSE 'ok' END AS outcome FROM st"""),
+    Query("load_statements", lambda L: O.load_statements(*_statements(L), L)[1].select("household_id", "doc_id", "outcome"), statement_outcomes()),
     Query("loaded_bookings", lambda L: O.load_statements(*_statements(L), L)[0].bookings.select("household_id", "id", "statement_id", "receipt_id", "mirror_of")),
     Query("merge_payment_list", lambda L: O.merge_payment_list(*_listed(L), ["household_id", "statement_id"], "id").select(
         "household_id", "statement_id", "id", "counterparty"), """

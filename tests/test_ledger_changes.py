@@ -381,3 +381,92 @@ def test_finders_refuse_bad_ranges_and_reports_are_complete(book):
     assert set(plans.waste_report(L, TODAY)) >= {"score", "rescued", "opinions"}
     assert plans.subscription_report(L)["items"].count() == 0
     assert plans.investment_report(L, TODAY, "N26")["totals"].count() == 0
+
+
+def _stored(path, table):
+    return sorted(p for p in __import__("pathlib").Path(path, table).rglob("*.parquet"))
+
+
+def test_a_batch_writes_what_it_changes_and_a_month_reads_its_files(book, spark, tmp_path):
+    path = str(tmp_path / "m")
+    st = book.statement((2026, 4))
+    for day in range(1, 25):
+        book.add("bookings", statement_id=st, booking_date=D(2026, 1 + day % 12, day), amount_c=-100 * day, counterparty=f"shop {day}")
+    save_ledger(book.ledger(), path, buckets=2, file_rows=4)
+    first = _stored(path, "bookings")
+    assert len(first) >= 6  # one household, cut by days
+    L = load_ledger(spark, path)
+    store.update_ledger(L.with_(bookings=L.bookings.filter("id <> 3").withColumn("amount_c", F.when(F.col("id") == 5, -1).otherwise(F.col("amount_c")).cast("bigint"))), path, ("bookings",), [0, 1])
+    new = [p for p in _stored(path, "bookings") if p not in first]
+    written_rows = {"gone" if "-gone" in str(p) else "rows": spark.read.parquet(str(p)).count() for p in new}
+    assert written_rows == {"rows": 1, "gone": 2}
+    want = sorted((i, -1 if i == 5 else -100 * i) for i in range(1, 25) if i != 3)
+    assert rows(load_ledger(spark, path).bookings, "id", "amount_c") == want
+    may = load_ledger(spark, path, days=(D(2026, 5, 1), D(2026, 5, 31))).bookings
+    assert rows(may.filter("month(booking_date) = 5"), "id") == [(4,), (16,)]
+    assert len(may.inputFiles()) < len(load_ledger(spark, path).bookings.inputFiles())
+    # a row whose day changes does not come back in its old month
+    now = load_ledger(spark, path)
+    moved = now.bookings.withColumn("booking_date", F.when(F.col("id") == 4, F.lit(D(2027, 1, 1))).otherwise(F.col("booking_date")))
+    store.update_ledger(now.with_(bookings=moved), path, ("bookings",), [0, 1])
+    may = load_ledger(spark, path, days=(D(2026, 5, 1), D(2026, 5, 31))).bookings
+    assert rows(may.filter("booking_date between '2026-05-01' and '2026-05-31'"), "id") == [(16,)]
+    store.compact(spark, path)
+    store.drop_old_versions(spark, path)
+    assert not any("-gone" in str(p) for p in _stored(path, "bookings"))
+    assert rows(load_ledger(spark, path).bookings, "id", "amount_c") == want
+    # a batch that changes nothing writes nothing
+    same = load_ledger(spark, path)
+    before = _stored(path, "bookings")
+    store.update_ledger(same, path, ("bookings",), [0, 1])
+    assert _stored(path, "bookings") == before
+
+
+def test_a_chain_of_claims_takes_one_fold(book, spark, monkeypatch):
+    """Answers that each claim what the one before claims too: alternate ones hold, in as many jobs as for two."""
+    from hearth.operators.links import _first_come
+
+    def chain(length):
+        pairs = spark.createDataFrame([(1, k // 2 + k % 2, k // 2, k, 1000 + k % 2) for k in range(length)], "household_id bigint, a bigint, b bigint, at bigint, cents bigint")
+        tracker = spark.sparkContext.statusTracker()
+        spark.sparkContext.setJobGroup(f"chain{length}", "")
+        kept = rows(_first_come(pairs, ["household_id"], "a", "b", ["at"], "cents", 2), "at")
+        jobs = len(tracker.getJobIdsForGroup(f"chain{length}"))
+        return kept, jobs
+
+    def plain(length):
+        a, b, kept = set(), set(), []
+        for k in range(length):
+            if k // 2 + k % 2 not in a and k // 2 not in b:
+                a.add(k // 2 + k % 2)
+                b.add(k // 2)
+                kept.append((k,))
+        return kept
+
+    short, jobs = chain(4)
+    long, more = chain(50)
+    assert short == plain(4) and long == plain(50) and abs(more - jobs) <= 3
+
+
+def test_references_are_given_out_as_a_loop_would(book):
+    import random
+
+    rng = random.Random(3)
+    st = book.statement((2026, 4))
+    tx, rc = [], []
+    for _ in range(40):
+        ref, cents = rng.choice(["A", "AB", "ABC", "B", "BX"]), 1000 + rng.randint(0, 3)
+        tx.append((book.add("bookings", statement_id=st, booking_date=D(2026, 4, 4), amount_c=-cents, payment_reference=ref, counterparty=f"t{rng.random()}"), cents, ref))
+    for _ in range(30):
+        ref, cents = rng.choice(["ABCD", "ABX", "BXY", "AZ", "C"]), 1000 + rng.randint(0, 3)
+        rc.append((book.receipt(D(2026, 4, 2), dict(unit_c=cents), payment_reference=ref, store_name=f"s{rng.random()}"), cents, ref))
+    used, want = set(), []
+    first = {}
+    for i, cents, ref in tx:
+        first[ref, cents] = min(first.get((ref, cents), i), i)
+    for rid, cents, ref in sorted(rc, key=lambda r: (r[1], r[0])):
+        fits = sorted((-len(t[2]), t[1], first[t[2], t[1]], t[0]) for t in tx if ref.startswith(t[2]) and abs(t[1] - cents) <= 1 and t[0] not in used)
+        if fits:
+            used.add(fits[0][3])
+            want.append((fits[0][3], rid))
+    assert rows(matching.match_receipts(book.ledger()).filter("reason LIKE 'payment%'"), "transaction_id", "receipt_id") == sorted(want)
