@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions import exprs as E
 from ..operators import finders as B
@@ -10,7 +11,7 @@ from ..operators import investments as I
 from ..operators import matching as X
 from ..operators import savings_plans as V
 from ..operators import subscriptions as U
-from ..schema import SCHEMAS, Ledger
+from ..schema import BILL_CATEGORIES, SCHEMAS, Ledger
 from .common import TODAY, Query, big, dt, label, mi, sql_half_up
 from .upkeep_queries import derived, plain
 
@@ -86,6 +87,123 @@ monthly_days AS (SELECT household_id, id, lo, hi, s + cast(least(day(anchor_date
 STATUS = f"CASE WHEN start_date > {T} THEN 'scheduled' WHEN end_date < {T} THEN 'ended' ELSE 'active' END"
 PER = "CASE frequency WHEN 'weekly' THEN 52 WHEN 'biweekly' THEN 26 ELSE 12 END"
 
+#: The fold over the payments of a payee, one step a payment: clusters with their amounts, the last day kept and the payment they began with.
+CLUSTERS = PAYMENTS.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+sq AS (SELECT *, row_number() OVER (PARTITION BY household_id, payee ORDER BY date, id) AS k FROM pay),
+fold AS (SELECT DISTINCT household_id, payee, cast(0 AS bigint) AS k, cast([] AS STRUCT(amounts bigint[], kept date, start bigint)[]) AS cl, cast(NULL AS bigint) AS id, cast(NULL AS bigint) AS start, false AS keep FROM pay
+ UNION ALL SELECT household_id, payee, k, CASE WHEN hit IS NULL THEN list_append(cl, {'amounts': [amount_c], 'kept': date, 'start': id})
+   ELSE list_transform(cl, lambda c, i: CASE WHEN i = hit THEN {'amounts': list_append(c.amounts, amount_c), 'kept': CASE WHEN date - c.kept > 3 THEN date ELSE c.kept END, 'start': c.start} ELSE c END) END,
+  id, CASE WHEN hit IS NULL THEN id ELSE cl[hit].start END, hit IS NULL OR date - cl[hit].kept > 3
+ FROM (SELECT f.household_id, f.payee, s.k, f.cl, s.amount_c, s.date, s.id,
+   nullif(list_position(list_transform(f.cl, lambda c: abs(s.amount_c - list_aggregate(c.amounts, 'median')) * 100 <= greatest(10000, 12 * list_aggregate(c.amounts, 'median'))), true), 0) AS hit
+  FROM fold f JOIN sq s ON s.household_id = f.household_id AND s.payee = f.payee AND s.k = f.k + 1) x),
+kept AS (SELECT p.*, f.start FROM fold f JOIN pay p ON p.household_id = f.household_id AND p.id = f.id WHERE f.keep)"""
+RECURRING = CLUSTERS + f""",
+gp AS (SELECT *, date - lag(date) OVER (PARTITION BY household_id, payee, start ORDER BY date) AS gap FROM kept),
+ag AS (SELECT household_id, payee, start, count(*) AS n, count(gap) AS gaps, median(gap) AS med, count(DISTINCT {mi('date')}) AS months, min(date) AS first_date,
+ count(*) FILTER (gap BETWEEN 25 AND 36) AS a, count(*) FILTER (gap BETWEEN 80 AND 100) AS b, count(*) FILTER (gap BETWEEN 345 AND 385) AS c FROM gp GROUP BY ALL),
+fq AS (SELECT *, CASE WHEN months < 2 THEN NULL WHEN med BETWEEN 25 AND 36 AND a * 10 >= gaps * 6 THEN 'monthly' WHEN med BETWEEN 80 AND 100 AND b * 10 >= gaps * 6 THEN 'quarterly'
+  WHEN med BETWEEN 345 AND 385 AND c * 10 >= gaps * 6 THEN 'yearly' END AS frequency FROM ag),
+best AS (SELECT household_id, payee, start, frequency FROM fq WHERE frequency IS NOT NULL QUALIFY row_number() OVER (PARTITION BY household_id, payee ORDER BY n DESC, first_date, start) = 1),
+loose AS (SELECT p.* FROM pay p WHERE category IN (SELECT key FROM categories WHERE flow = 'expense' AND fixed) AND NOT EXISTS (SELECT 1 FROM best b WHERE b.household_id = p.household_id AND b.payee = p.payee)),
+latest AS (SELECT household_id, payee, first(amount_c ORDER BY date DESC, id) AS last_c FROM loose GROUP BY ALL),
+near AS (SELECT l.household_id, l.payee, l.date, min(l.id) AS id, arg_min(l.amount_c, l.id) AS amount_c, arg_min(l.name, l.id) AS name, arg_min(l.category, l.id) AS category
+ FROM loose l JOIN latest t ON t.household_id = l.household_id AND t.payee = l.payee WHERE abs(l.amount_c - last_c) * 100 <= greatest(10000, last_c * 12) GROUP BY ALL),
+hops AS (SELECT *, min(date) OVER (PARTITION BY household_id, payee ORDER BY date RANGE BETWEEN INTERVAL 4 DAYS FOLLOWING AND UNBOUNDED FOLLOWING) AS later, min(date) OVER (PARTITION BY household_id, payee) AS first_date FROM near),
+walk AS (SELECT household_id, payee, date, later FROM hops WHERE date = first_date
+ UNION ALL SELECT h.household_id, h.payee, h.date, h.later FROM walk w JOIN hops h ON h.household_id = w.household_id AND h.payee = w.payee AND h.date = w.later),
+recurring AS (SELECT k.household_id, k.payee, 'pattern' AS evidence, frequency, date, amount_c, id AS first_id, name, category
+  FROM kept k JOIN best b ON b.household_id = k.household_id AND b.payee = k.payee AND b.start = k.start
+ UNION ALL SELECT n.household_id, n.payee, 'category', 'monthly', n.date, n.amount_c, n.id, n.name, n.category FROM near n JOIN walk w ON w.household_id = n.household_id AND w.payee = n.payee AND w.date = n.date)"""
+
+
+def _common(column: str) -> str:
+    """The most frequent value of each payee, then the one seen first, then by name."""
+    return f"""(SELECT household_id, payee, {column} FROM (SELECT household_id, payee, {column}, count(*) AS n, min((date, first_id)) AS seen FROM recurring WHERE length({column}) > 0 GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY household_id, payee ORDER BY n DESC, seen, {column}) = 1)"""
+
+
+BILLS = "('" + "', '".join(BILL_CATEGORIES) + "')"
+ITEMS = RECURRING + f""",
+it AS (SELECT household_id, payee, any_value(evidence) AS evidence0, any_value(frequency) AS frequency0, count(*) AS payments, min(date) AS first_date, max(date) AS last_date,
+ first(amount_c ORDER BY date, first_id) AS first_c, first(amount_c ORDER BY date DESC, first_id DESC) AS last_c FROM recurring GROUP BY ALL),
+hs AS (SELECT household_id, payee, string_agg(cast(date AS varchar) || ' ' || amount_c, ',' ORDER BY date, amount_c) AS history
+ FROM (SELECT * FROM recurring QUALIFY row_number() OVER (PARTITION BY household_id, payee ORDER BY date DESC, amount_c DESC) <= 12) GROUP BY ALL),
+cv AS (SELECT household_id, max(bank_day) AS covered_until FROM pay GROUP BY ALL),
+sd AS (SELECT it.*, replace(payee, ' ', '-') AS key, CASE WHEN r.frequency IN ('monthly', 'quarterly', 'yearly') THEN 'you' ELSE evidence0 END AS evidence,
+ CASE WHEN r.frequency IN ('monthly', 'quarterly', 'yearly') THEN r.frequency ELSE frequency0 END AS frequency, coalesce(r.hidden, false) AS hidden
+ FROM it LEFT JOIN rules r ON r.household_id = it.household_id AND r.key = replace(it.payee, ' ', '-')),
+pr AS (SELECT sd.*, hs.history, cn.name AS common_name, cc.category AS common_category, k.label AS label, covered_until,
+ CASE frequency WHEN 'monthly' THEN 1 WHEN 'quarterly' THEN 3 ELSE 12 END AS per, CASE frequency WHEN 'monthly' THEN 30 WHEN 'quarterly' THEN 91 ELSE 365 END AS next_days,
+ coalesce(covered_until >= last_date + CASE frequency WHEN 'monthly' THEN 46 WHEN 'quarterly' THEN 136 ELSE 548 END, false) AS ended,
+ payments >= 2 AND abs(last_c - first_c) * 100 > first_c * 2 AS moved
+ FROM sd LEFT JOIN hs ON hs.household_id = sd.household_id AND hs.payee = sd.payee LEFT JOIN {_common('name')} cn ON cn.household_id = sd.household_id AND cn.payee = sd.payee
+ LEFT JOIN {_common('category')} cc ON cc.household_id = sd.household_id AND cc.payee = sd.payee LEFT JOIN cv ON cv.household_id = sd.household_id
+ LEFT JOIN categories k ON k.key = cc.category),
+mc AS (SELECT *, {big(sql_half_up('last_c', 'per'))} AS monthly_c FROM pr),
+subs AS (SELECT household_id, key, common_name AS name, common_category AS category_key, coalesce(label, 'Uncategorized') AS category,
+ CASE WHEN common_category IN {BILLS} THEN 'bill' ELSE 'subscription' END AS section, last_c / 100 AS amount, frequency, monthly_c, monthly_c / 100 AS monthly_cost, monthly_c * 12 / 100 AS yearly_cost,
+ payments, first_date, last_date, CASE WHEN NOT ended THEN last_date + next_days END AS next_expected, CASE WHEN ended THEN 'ended' ELSE 'active' END AS status, evidence,
+ CASE WHEN payments >= 3 THEN 'confirmed' WHEN evidence <> 'category' THEN 'likely' ELSE 'assumed' END AS confidence,
+ CASE WHEN moved THEN first_c / 100 END AS price_from, CASE WHEN moved THEN last_c / 100 END AS price_to, history, hidden FROM mc WHERE NOT hidden)
+"""
+
+
+#: Expected executions and buys, paired one by one, the closest first.
+PLANNED = INV.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+cov AS (SELECT household_id, bank AS broker, last_day(make_date(cast(max(month_index) // 12 AS int), cast(max(month_index) % 12 + 1 AS int), 1)) AS covered_until
+ FROM statements WHERE bank IN {BROKERS} GROUP BY ALL),
+flo AS (SELECT household_id, broker, min(date) AS first_day FROM inv GROUP BY ALL),
+sp AS (SELECT p.*, covered_until, coalesce(first_day, {T}) - 3 AS lowest, least(coalesce(covered_until, {T}), {T}) AS horizon FROM plans p
+ LEFT JOIN cov ON cov.household_id = p.household_id AND cov.broker = p.broker LEFT JOIN flo ON flo.household_id = p.household_id AND flo.broker = p.broker WHERE anchor_date IS NOT NULL),
+""" + EXEC.removeprefix("WITH ").replace("greatest(date '1996-02-10', start_date)", "coalesce(start_date, lowest)").replace(
+    "least(date '1997-04-20', end_date)", "least(greatest(horizon, lowest), end_date)").replace("FROM plans p WHERE anchor_date IS NOT NULL", "FROM sp p") + """,
+slots AS (SELECT p.household_id, p.broker, p.amount_c, d.day, p.id AS plan_id, p.instrument, p.covered_until
+ FROM (SELECT household_id, id, day FROM weekly UNION ALL SELECT household_id, id, day FROM monthly_days WHERE day BETWEEN lo AND hi) d JOIN sp p ON p.household_id = d.household_id AND p.id = d.id),
+ob AS (SELECT * FROM inv WHERE amount_c > 0 AND code IS NULL AND (household_id, ref) NOT IN (SELECT household_id, booking_ref FROM splits)),
+fit AS (SELECT s.household_id, s.broker, s.amount_c, s.plan_id, s.day AS slot_day, s.plan_id || ':' || s.day AS slot, b.id,
+ row_number() OVER (PARTITION BY s.household_id, s.broker, s.amount_c ORDER BY abs(b.date - s.day), s.day, b.date, s.plan_id, b.id) AS k
+ FROM slots s JOIN ob b ON b.household_id = s.household_id AND b.broker = s.broker AND b.amount_c = s.amount_c AND abs(b.date - s.day) <= 3),
+gf AS (SELECT DISTINCT household_id, broker, amount_c, cast(0 AS bigint) AS k, cast([] AS varchar[]) AS slots, cast([] AS bigint[]) AS buys, cast(NULL AS bigint) AS plan_id, cast(NULL AS date) AS slot_day,
+  cast(NULL AS bigint) AS id, false AS keep FROM fit
+ UNION ALL SELECT household_id, broker, amount_c, k, CASE WHEN ok THEN list_append(slots, slot) ELSE slots END, CASE WHEN ok THEN list_append(buys, id) ELSE buys END, plan_id, slot_day, id, ok
+ FROM (SELECT f.household_id, f.broker, f.amount_c, f.k, g.slots, g.buys, f.plan_id, f.slot_day, f.slot, f.id, NOT list_contains(g.slots, f.slot) AND NOT list_contains(g.buys, f.id) AS ok
+  FROM gf g JOIN fit f ON f.household_id = g.household_id AND f.broker = g.broker AND f.amount_c = g.amount_c AND f.k = g.k + 1) x),
+asg AS (SELECT household_id, broker, amount_c, plan_id, slot_day, id FROM gf WHERE keep)
+"""
+MISSED = f""",
+missed AS (SELECT s.household_id, s.broker, s.plan_id, s.instrument, s.amount_c, s.day, a.id IS NOT NULL AS found FROM slots s
+ LEFT JOIN asg a ON a.household_id = s.household_id AND a.plan_id = s.plan_id AND a.slot_day = s.day WHERE s.day + 3 <= least(s.covered_until, {T}) AND s.covered_until IS NOT NULL)
+"""
+RESOLVED = PLANNED + """,
+rest AS (SELECT * FROM ob WHERE (household_id, id) NOT IN (SELECT household_id, id FROM asg)),
+cl AS (SELECT DISTINCT household_id, broker, amount_c, date AS day FROM rest),
+ac AS (SELECT c.*, p.id AS pid, p.instrument, p.amount_c AS pa, p.anchor_date FROM cl c JOIN plans p ON p.household_id = c.household_id AND p.broker = c.broker
+ AND coalesce(p.start_date <= c.day, true) AND coalesce(p.end_date >= c.day, true)),
+fi AS (SELECT household_id, broker, amount_c, day, string_agg(DISTINCT instrument, ', ' ORDER BY instrument) AS names, count(DISTINCT instrument) AS k, min(pid) AS plan_id
+ FROM ac WHERE anchor_date IS NULL AND pa = amount_c GROUP BY ALL),
+gs AS (SELECT cl.household_id, cl.broker, cl.amount_c, cl.day, names, plan_id, CASE WHEN k = 1 THEN 'plan_amount' WHEN k > 1 THEN 'ambiguous'
+  WHEN EXISTS (SELECT 1 FROM ac WHERE ac.household_id = cl.household_id AND ac.broker = cl.broker AND ac.day = cl.day) THEN 'manual_buy' END AS src
+ FROM cl LEFT JOIN fi USING (household_id, broker, amount_c, day)),
+ty AS (SELECT household_id, booking_ref AS ref, min(instrument) AS typed FROM splits GROUP BY ALL),
+resolved AS (SELECT i.household_id, i.id, i.broker, i.date, i.amount_c, i.counterparty, i.description, i.code, i.ref,
+ coalesce(ty.typed, CASE WHEN i.code IS NOT NULL THEN i.counterparty END, p.instrument,
+  CASE WHEN r.id IS NOT NULL THEN CASE src WHEN 'plan_amount' THEN names WHEN 'manual_buy' THEN 'Manual buys' ELSE 'Unknown' END END, 'Unknown') AS instrument,
+ CASE WHEN ty.typed IS NOT NULL THEN 'manual' WHEN i.code IS NOT NULL THEN 'booking' WHEN p.instrument IS NOT NULL THEN 'plan' ELSE coalesce(src, 'unknown') END AS source,
+ CASE WHEN ty.typed IS NULL AND i.code IS NULL THEN coalesce(a.plan_id, CASE WHEN src = 'plan_amount' THEN gs.plan_id END) END AS plan_id,
+ CASE WHEN ty.typed IS NULL AND src = 'ambiguous' THEN names END AS candidates
+ FROM inv i LEFT JOIN ty ON ty.household_id = i.household_id AND ty.ref = i.ref LEFT JOIN asg a ON a.household_id = i.household_id AND a.id = i.id
+ LEFT JOIN plans p ON p.household_id = a.household_id AND p.id = a.plan_id LEFT JOIN rest r ON r.household_id = i.household_id AND r.id = i.id
+ LEFT JOIN gs ON gs.household_id = r.household_id AND gs.broker = r.broker AND gs.amount_c = r.amount_c AND gs.day = r.date)
+"""
+
+
+def _with_start(clustered):
+    """Clusters named by the payment they began with instead of by number."""
+    first = F.min(F.struct("date", "first_id")).over(W.partitionBy("household_id", "payee", "island", "cluster"))
+    return clustered.withColumn("start", first["first_id"]).drop("island", "cluster")
+
+
 QUERIES = [
     # subscriptions
     Query("recurring_payments", B.recurring_payments, PAYMENTS + " SELECT * FROM pay"),
@@ -106,10 +224,17 @@ SELECT household_id, payee, payments, cast(med AS double) AS median_gap, cast(mo
 SELECT p.household_id, payee, payments, CASE WHEN r.frequency IS NOT NULL THEN r.frequency ELSE 'monthly' END AS frequency,
  CASE WHEN r.frequency IS NOT NULL THEN 'you' ELSE 'pattern' END AS evidence, replace(payee, ' ', '-') AS slug, coalesce(hidden, false) AS hidden
 FROM (SELECT household_id, payee, count(*) AS payments FROM pay GROUP BY ALL) p LEFT JOIN rules r ON r.household_id = p.household_id AND r.key = replace(payee, ' ', '-')"""),
-    Query("cluster_amounts", lambda L: U.cluster_amounts(B.recurring_payments(L), list(L.keys))),
-    Query("detect_recurring", U.detect_recurring),
-    Query("subscription_items", lambda L: U.sorted_items(U.subscription_items(L), L).withColumn("history", F.to_json("history"))),
-    Query("subscription_summary", lambda L: U.subscription_summary(U.subscription_items(L), L)),
+    Query("cluster_amounts", lambda L: _with_start(U.cluster_amounts(B.recurring_payments(L), list(L.keys))), CLUSTERS + """
+SELECT household_id, payee, start, date, amount_c, id AS first_id, name, category FROM kept"""),
+    Query("detect_recurring", U.detect_recurring, RECURRING + """
+SELECT household_id, payee, evidence, frequency, date, amount_c, first_id, name, category FROM recurring"""),
+    Query("subscription_items", lambda L: U.sorted_items(U.subscription_items(L), L).withColumn("history", F.array_join(F.transform(
+        "history", lambda h: F.concat_ws(" ", h["date"].cast("string"), F.round(h["amount"] * 100).cast("bigint").cast("string"))), ",")), ITEMS + "SELECT * FROM subs"),
+    Query("subscription_summary", lambda L: U.subscription_summary(U.subscription_items(L), L), ITEMS + f"""
+SELECT household_id, {big('sum(monthly_c)')} / 100 AS monthly_total, {big('sum(monthly_c)')} * 12 / 100 AS yearly_total, count(*) AS active,
+ {big("coalesce(sum(monthly_c) FILTER (confidence = 'assumed'), 0)")} / 100 AS assumed_monthly, {big("coalesce(sum(monthly_c) FILTER (section = 'subscription'), 0)")} / 100 AS subscriptions_monthly,
+ {big("coalesce(sum(monthly_c) FILTER (section = 'bill'), 0)")} / 100 AS bills_monthly, count(*) FILTER (price_to > price_from) AS price_rises
+FROM subs WHERE status = 'active' GROUP BY ALL"""),
     # investments
     Query("investment_bookings", B.investment_bookings, INV + "SELECT household_id, id, broker, date, amount_c, counterparty, description, code, ref FROM inv"),
     Query("bookings_newest_first", lambda L: B.bookings_newest_first(L, "N26"),
@@ -177,10 +302,17 @@ SELECT cl.*, names, plan_id, CASE WHEN k = 1 THEN 'plan_amount' WHEN k > 1 THEN
 FROM cl LEFT JOIN fi USING (household_id, broker, amount_c, day)"""),
     Query("assign_plan_buys", lambda L: I.assign_plan_buys(
         I.plan_slots(L, B.investment_bookings(L), TODAY).select("household_id", "broker", "amount_c", "day", "plan_id"),
-        I.open_buys(L, B.investment_bookings(L)).select("household_id", "broker", "amount_c", F.col("date").alias("day"), "id"), list(L.keys))),
-    Query("resolve_instruments", lambda L: I.resolve_instruments(L, TODAY)),
-    Query("missed_executions", lambda L: I.missed_executions(L, TODAY)),
-    Query("plan_check", lambda L: I.plan_check(L, TODAY)),
+        I.open_buys(L, B.investment_bookings(L)).select("household_id", "broker", "amount_c", F.col("date").alias("day"), "id"), list(L.keys)),
+        PLANNED + "SELECT household_id, broker, amount_c, plan_id, slot_day, id FROM asg"),
+    Query("resolve_instruments", lambda L: I.resolve_instruments(L, TODAY), RESOLVED + "SELECT * FROM resolved"),
+    Query("missed_executions", lambda L: I.missed_executions(L, TODAY), PLANNED + MISSED + " SELECT * FROM missed"),
+    Query("plan_check", lambda L: I.plan_check(L, TODAY), RESOLVED + MISSED + f"""
+SELECT household_id, broker, coalesce(expected, 0) AS expected, coalesce(matched, 0) AS matched, coalesce(expected - matched, 0) AS missed, anchored_plans, unanchored_plans,
+ coalesce(mc, 0) AS manual_buy_count, coalesce(mn, 0.0) AS manual_buy_net, coalesce(ac, 0) AS ambiguous_count, coalesce(an, 0.0) AS ambiguous_net
+FROM (SELECT household_id, broker, count(*) FILTER ({STATUS} = 'active' AND anchor_date IS NOT NULL) AS anchored_plans, count(*) FILTER ({STATUS} = 'active' AND anchor_date IS NULL) AS unanchored_plans FROM plans GROUP BY ALL) p
+LEFT JOIN (SELECT household_id, broker, count(*) AS expected, count(*) FILTER (found) AS matched FROM missed GROUP BY ALL) m USING (household_id, broker)
+LEFT JOIN (SELECT household_id, broker, count(*) FILTER (source = 'manual_buy') AS mc, {big("coalesce(sum(amount_c) FILTER (source = 'manual_buy'), 0)")} / 100 AS mn,
+ count(*) FILTER (source = 'ambiguous') AS ac, {big("coalesce(sum(amount_c) FILTER (source = 'ambiguous'), 0)")} / 100 AS an FROM resolved GROUP BY ALL) r USING (household_id, broker)"""),
     # plans
     Query("execution_dates", lambda L: V.execution_dates(L.plans, D(1996, 2, 10), D(1997, 4, 20)).select("household_id", "id", "day"), EXEC + """
 SELECT * FROM weekly UNION ALL SELECT household_id, id, day FROM monthly_days WHERE day BETWEEN lo AND hi"""),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -169,18 +170,34 @@ def match_plan_amount(buys: DataFrame, L: Ledger) -> DataFrame:
     return rows.withColumn("source", source).drop("_any")
 
 
-def resolve_instruments(L: Ledger, today: dt.date, rows: DataFrame | None = None) -> DataFrame:
-    """What each booking bought and how we know, strongest first:
-    typed, named by the booking, a plan's day, a plan's amount, outside every plan, unknown."""
+@dataclass(frozen=True)
+class Assigned:
+    """Plans held against bookings, once for all that ask: the bookings, the open buys, the expected executions and which buy each got."""
+
+    rows: DataFrame
+    buys: DataFrame
+    slots: DataFrame
+    pairs: DataFrame
+
+
+def assigned(L: Ledger, today: dt.date, rows: DataFrame | None = None) -> Assigned:
     rows = written(investment_bookings(L)) if rows is None else rows
-    typed = L.splits.select(*L.keys, F.col("booking_ref").alias("ref"), F.col("instrument").alias("_typed"))
-    typed = typed.groupBy(*L.keys, "ref").agg(F.min("_typed").alias("_typed"))
     buys = written(open_buys(L, rows))
     slots = written(plan_slots(L, rows, today))
     pairs = assign_plan_buys(
         slots.select(*L.keys, "broker", "amount_c", "day", "plan_id"),
         buys.select(*L.keys, "broker", "amount_c", F.col("date").alias("day"), "id"), list(L.keys),
     )
+    return Assigned(rows, buys, slots, written(pairs))
+
+
+def resolve_instruments(L: Ledger, today: dt.date, rows: DataFrame | None = None, found: Assigned | None = None) -> DataFrame:
+    """What each booking bought and how we know, strongest first:
+    typed, named by the booking, a plan's day, a plan's amount, outside every plan, unknown."""
+    found = found or assigned(L, today, rows)
+    rows, buys, pairs = found.rows, found.buys, found.pairs
+    typed = L.splits.select(*L.keys, F.col("booking_ref").alias("ref"), F.col("instrument").alias("_typed"))
+    typed = typed.groupBy(*L.keys, "ref").agg(F.min("_typed").alias("_typed"))
     names = L.plans.select(*L.keys, F.col("id").alias("_plan"), F.col("instrument").alias("_planned"))
     planned = written(pairs.select(*L.keys, "id", F.col("plan_id").alias("_plan")).join(names, L.on("_plan"), "left"))
     rest = buys.join(planned.select(*L.keys, "id"), L.on("id"), "left_anti")
@@ -206,12 +223,10 @@ def resolve_instruments(L: Ledger, today: dt.date, rows: DataFrame | None = None
     )
 
 
-def missed_executions(L: Ledger, today: dt.date) -> DataFrame:
+def missed_executions(L: Ledger, today: dt.date, found: Assigned | None = None) -> DataFrame:
     """Expected executions the statements already reach, with whether a buy was found."""
-    rows = written(investment_bookings(L))
-    slots = written(plan_slots(L, rows, today))
-    buys = open_buys(L, rows).select(*L.keys, "broker", "amount_c", F.col("date").alias("day"), "id")
-    pairs = assign_plan_buys(slots.select(*L.keys, "broker", "amount_c", "day", "plan_id"), buys, list(L.keys))
+    held = found or assigned(L, today)
+    slots, pairs = held.slots, held.pairs
     seen = F.date_add("day", WINDOW_DAYS) <= F.least(F.col("covered_until"), F.lit(today))
     found = pairs.select(*L.keys, "plan_id", F.col("slot_day").alias("day"), F.lit(True).alias("_found"))
     return (
@@ -223,7 +238,8 @@ def missed_executions(L: Ledger, today: dt.date) -> DataFrame:
 def plan_check(L: Ledger, today: dt.date) -> DataFrame:
     """Per broker with plans: expected, matched and missed executions, and the buys no plan explains."""
     keys = L.on("broker")
-    slots = missed_executions(L, today).groupBy(*keys).agg(
+    found = assigned(L, today)
+    slots = missed_executions(L, today, found).groupBy(*keys).agg(
         F.count("*").alias("expected"), F.count_if("found").alias("matched"), F.count_if(~F.col("found")).alias("missed")
     )
     active = E.plan_status(today) == "active"
@@ -231,7 +247,7 @@ def plan_check(L: Ledger, today: dt.date) -> DataFrame:
         F.count_if(active & F.col("anchor_date").isNotNull()).alias("anchored_plans"),
         F.count_if(active & F.col("anchor_date").isNull()).alias("unanchored_plans"),
     )
-    odd = resolve_instruments(L, today).groupBy(*keys).agg(
+    odd = resolve_instruments(L, today, found=found).groupBy(*keys).agg(
         *[c for s in ("manual_buy", "ambiguous") for c in (
             F.count_if(F.col("source") == s).alias(f"{s}_count"),
             euros(_sum_if(F.col("source") == s)).alias(f"{s}_net"),

@@ -36,29 +36,26 @@ def _far(a, b):
     return F.abs(a - b) * 100 > F.greatest(F.lit(10_000).cast("bigint"), b * 12)
 
 
-def payment_cells(payments: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per payee, day and amount, with the island its amount lies in."""
+def payment_islands(payments: DataFrame, keys: list[str]) -> DataFrame:
+    """Payments with the island their amount lies in: amounts of different islands never meet in a cluster."""
     own = [*keys, "payee"]
-    cells = written(payments.groupBy(*own, "amount_c", "date").agg(
-        F.count("*").alias("n"), F.min("id").alias("first_id"), F.min_by("name", "id").alias("name"),
-        F.min_by("category", "id").alias("category"),
-    ))
+    rows = written(payments.select(*own, "id", "date", "amount_c", "name", "category"))
     by_amount = W.partitionBy(*own).orderBy("amount_c")
-    amounts = cells.select(*own, "amount_c").distinct().withColumn("_before", F.lag("amount_c").over(by_amount))
+    amounts = rows.select(*own, "amount_c").distinct().withColumn("_before", F.lag("amount_c").over(by_amount))
     apart = F.coalesce(_far(F.col("_before"), F.col("amount_c")), F.lit(True)).cast("int")
     amounts = amounts.withColumn("island", F.sum(apart).over(by_amount.rowsBetween(W.unboundedPreceding, 0)))
-    return cells.join(amounts.drop("_before"), [*own, "amount_c"])
+    return rows.join(amounts.drop("_before"), [*own, "amount_c"])
 
 
 class _Cluster:
-    """Weighted running median of amounts, and the last payment that was kept."""
+    """Running median of amounts, and the last payment that was kept."""
 
     __slots__ = ("amounts", "counts", "low", "below", "total", "kept")
 
-    def __init__(self, amount: int, n: int):
-        self.amounts, self.counts = [amount], {amount: n}
+    def __init__(self, amount: int):
+        self.amounts, self.counts = [amount], {amount: 1}
         self.low = self.below = 0
-        self.total, self.kept = n, None
+        self.total, self.kept = 1, None
 
     def centre2(self) -> int:
         """Twice the median, a whole number."""
@@ -70,19 +67,19 @@ class _Cluster:
         m2 = self.centre2()
         return abs(2 * amount - m2) * 100 <= max(20_000, 12 * m2)
 
-    def add(self, amount: int, n: int) -> None:
+    def add(self, amount: int) -> None:
         if amount in self.counts:
-            self.counts[amount] += n
+            self.counts[amount] += 1
             if amount < self.amounts[self.low]:
-                self.below += n
+                self.below += 1
         else:
             at = bisect.bisect_left(self.amounts, amount)
             self.amounts.insert(at, amount)
-            self.counts[amount] = n
+            self.counts[amount] = 1
             if at <= self.low:
                 self.low += 1
-                self.below += n
-        self.total += n
+                self.below += 1
+        self.total += 1
         target = (self.total - 1) // 2
         while self.below + self.counts[self.amounts[self.low]] <= target:
             self.below += self.counts[self.amounts[self.low]]
@@ -93,25 +90,25 @@ class _Cluster:
 
 
 class _FirstFit:
-    """In date order a payment joins the first cluster it fits, else opens one. Yields the payments that stay."""
+    """In order a payment joins the first cluster it fits, else opens one. Yields the payments that stay."""
 
     def __init__(self):
         self.clusters: list[_Cluster] = []
 
     def row(self, r: dict):
-        amount, n = int(r["amount_c"]), int(r["n"])
+        amount = int(r["amount_c"])
         for at, cluster in enumerate(self.clusters):
             if cluster.fits(amount):
-                cluster.add(amount, n)
+                cluster.add(amount)
                 break
         else:
-            at, cluster = len(self.clusters), _Cluster(amount, n)
+            at, cluster = len(self.clusters), _Cluster(amount)
             self.clusters.append(cluster)
         first = cluster.kept is None
         keep = first or (r["date"] - cluster.kept).days > DUPLICATE_DAYS
         if keep:
             cluster.kept = r["date"]
-            yield at, r["date"], amount, r["first_id"], r["name"], r["category"]
+            yield at, r["date"], amount, r["id"], r["name"], r["category"]
 
     def end(self):
         return ()
@@ -140,12 +137,14 @@ KEPT = "date date, amount_c bigint, first_id bigint, name string, category strin
 
 
 def cluster_amounts(payments: DataFrame, keys: list[str]) -> DataFrame:
-    """Payments by amount cluster, near-duplicates dropped: (payee, island, cluster, date, amount_c, ...)."""
-    cells = payment_cells(payments, keys)
+    """Payments by amount cluster, near-duplicates dropped: (payee, island, cluster, date, amount_c, ...).
+
+    Payments join in order of date and id, each for itself: equal ones of a day are not taken together, as others may lie between them.
+    """
+    rows = payment_islands(payments, keys)
     own = [*keys, "payee", "island"]
-    schema = T.StructType(_fields(cells, own) + T.StructType.fromDDL("cluster int, " + KEPT).fields)
-    columns = [*own, "date", "first_id", "amount_c", "n", "name", "category"]
-    return sorted_fold(cells.select(*columns), own, ["date", "first_id"], _FirstFit, schema)
+    schema = T.StructType(_fields(rows, own) + T.StructType.fromDDL("cluster int, " + KEPT).fields)
+    return sorted_fold(rows.select(*own, "date", "id", "amount_c", "name", "category"), own, ["date", "id"], _FirstFit, schema)
 
 
 def merge_duplicates(rows: DataFrame, own: list[str]) -> DataFrame:

@@ -43,6 +43,18 @@ def test_clustering_equals_the_plain_fold(spark):
     assert rows(subscriptions.cluster_amounts(df, KEYS), "payee", "date", "amount_c") == sorted(expected)
 
 
+def test_equal_payments_of_a_day_are_taken_one_by_one(spark):
+    """Between two equal payments of a day another one may move the median: 100.00, 111.90, 100.00 end differently from 100.00 twice, 111.90."""
+    rng = random.Random(11)
+    data, expected = [], []
+    for payee in range(20):
+        pays = [(D(2026, 1, 1) + dt.timedelta(days=rng.randint(0, 40)), i, rng.choice([10000, 11190, 10650, 8900, 12000, 300, 390])) for i in range(60)]
+        data += [(1, payee * 1000 + i, "n", f"p{payee}", day, amount, None) for day, i, amount in pays]
+        expected += [(f"p{payee}", day, amount) for day, amount in plain_clusters(pays)]
+    df = spark.createDataFrame(data, "household_id bigint, id bigint, name string, payee string, date date, amount_c bigint, category string")
+    assert rows(subscriptions.cluster_amounts(df, KEYS), "payee", "date", "amount_c") == sorted(expected)
+
+
 def subscription(book, name, days, cents, category=None, **more):
     st = book.statement((2026, 1))
     for day in days:
