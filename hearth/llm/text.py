@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,6 +12,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hearth.sources.scratch import checkpoint_dir
+
 #: Bytes of text that are worked on at once inside a task; a longer text is a batch of its own.
 BATCH_BYTES = 1 << 19
 WORD = r"[^\x20\x09-\x0D]+"
@@ -198,16 +199,6 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of its own only where the session names none (tests on one machine)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="hearth-"))
-    return str(spark.sparkContext.getCheckpointDir())
-
-
 def parked(df: DataFrame, name: str) -> DataFrame:
     """The frame written as Parquet into the shared folder and read back: computed once, lineage cut, survives lost executors."""
     path = os.path.join(checkpoint_dir(df.sparkSession), f"llm-{name}-{uuid.uuid4().hex}")
