@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import exprs as E
 from ..operators import links as K
 from ..operators import loads as O
 from ..operators import matching as X
@@ -163,6 +164,21 @@ TX = ["household_id", "id", "kind", "category", "counterparty", "receipt_id", "t
 PAIRS_SQL = {k: f"(SELECT * FROM ({plain(v)}) q)" for k, v in LINKS.items()}
 LEGACY = "CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in legacy_by_key().items()) + " ELSE 'Other' END"
 
+EURO = "cast(cast({} / 100.0 AS decimal(18,2)) AS varchar)"
+
+
+def _asked(L: Ledger, kind: str):
+    return K.questions_from(derived(L, LINKS[kind]), L, kind).select("household_id", "transaction_id", "other_transaction_id", "question", "status")
+
+
+def _question_sql(kind: str, text: str) -> str:
+    first, second = K.COLUMNS[kind]
+    return f"""
+SELECT p.household_id, p.{first} AS transaction_id, p.{second} AS other_transaction_id, substr({text}, 1, 600) AS question, 'open' AS status FROM {PAIRS_SQL[kind]} p
+JOIN tx a ON a.household_id = p.household_id AND a.id = p.{first} JOIN tx b ON b.household_id = p.household_id AND b.id = p.{second}
+WHERE NOT EXISTS (SELECT 1 FROM questions q WHERE q.kind = '{kind}' AND q.status IN ('open', 'yes', 'no') AND q.household_id = p.household_id AND q.transaction_id = p.{first} AND q.other_transaction_id = p.{second})"""
+
+
 def statement_outcomes(columns: str = "household_id, doc_id, outcome", after: str = "") -> str:
     """What loading the derived statements comes to."""
     return f"""WITH {STATEMENT_PROBLEMS},
@@ -307,6 +323,13 @@ SELECT p.household_id, 'receipt_match' AS kind, transaction_id, p.receipt_id, 'I
  || CASE WHEN b.purchase_date IS NULL THEN '' ELSE ' (bought ' || b.purchase_date || ')' END || ' the ' || store_name || ' receipt from ' || r.purchase_date || ' (' || cast(cast(total_c / 100.0 AS decimal(18,2)) AS varchar) || ' EUR)? Why unsure: asked' AS question, 'open' AS status
 FROM {PAIRS_SQL['receipt_match']} p JOIN bookings b ON b.household_id = p.household_id AND b.id = transaction_id JOIN receipts r ON r.household_id = p.household_id AND r.id = p.receipt_id
 WHERE NOT EXISTS (SELECT 1 FROM questions q WHERE q.kind = 'receipt_match' AND q.status IN ('open', 'yes', 'no') AND q.household_id = p.household_id AND q.transaction_id = p.transaction_id AND q.receipt_id = p.receipt_id)"""),
+    Query("transfer_questions", lambda L: _asked(L, "transfer_match"), _question_sql("transfer_match", f"""'Is the ' || {EURO.format('abs(a.amount_c)')} || ' EUR leaving ' || a.bank || ' on ' || a.booking_date
+ || ' the same money as the ' || {EURO.format('b.amount_c')} || ' EUR arriving on ' || b.bank || ' on ' || b.booking_date || ' (a transfer between your own accounts)? Why unsure: asked'""")),
+    Query("mirror_questions", lambda L: _asked(L, "mirror_match"), _question_sql("mirror_match", f"""'Is the ' || {EURO.format('abs(a.amount_c)')} || ' EUR PayPal payment to ' || a.counterparty || ' on ' || a.booking_date
+ || ' the same payment as the ' || b.bank || ' booking of ' || {EURO.format('abs(b.amount_c)')} || ' EUR on ' || b.booking_date || ' (' || b.counterparty || ')? Why unsure: asked'""")),
+    Query("booking_lines", lambda L: L.bookings.select("household_id", "id", E.booking_line().alias("line")), f"""
+SELECT household_id, id, '#' || id || ' | ' || booking_date || coalesce(' (bought ' || purchase_date || ')', '') || ' | ' || CASE WHEN amount_c < 0 THEN '-' ELSE '+' END || {EURO.format('abs(amount_c)')}
+ || ' | ' || counterparty || ' | ' || kind || coalesce(' | ref ' || nullif(payment_reference, ''), '') AS line FROM bookings"""),
     Query("apply_answers", lambda L: K.apply_answers(L, derived(L, ANSWERS))[0].questions.groupBy("household_id", "kind", "status").agg(F.count("*").alias("n")), """
 SELECT household_id, kind, CASE WHEN status <> 'open' THEN status WHEN id % 3 <> 0 THEN 'yes' ELSE 'no' END AS status, count(*) AS n FROM questions GROUP BY ALL"""),
     Query("answer_problems", lambda L: K.apply_answers(L, derived(L, ANSWERS))[1], """

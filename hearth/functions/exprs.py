@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from string import Formatter
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +18,30 @@ NOISE_WORDS = (
 MONTHS_PER_PERIOD = {"monthly": 1, "quarterly": 3, "yearly": 12}
 TWELFTHS_PER_MONTH = {"weekly": 52, "biweekly": 26, "monthly": 12}
 DAYS_ONCE_OPENED = {"fridge": 4, "pantry": 14, "freezer": 30}
+# Codes that bookings name, sentences that questions and lists are made of.
+WKN = r"WPKNR:\s*([A-Z0-9]{6})"
+ISIN = r"\b([A-Z]{2}[A-Z0-9]{9}\d)\b"
+BOOKING_LINE = "#{id} | {day}{bought} | {amount} | {payee} | {kind}{ref}"
+BOUGHT, REF, WHY = " (bought {day})", " | ref {ref}", " Why unsure: {reason}"
+RECEIPT_QUESTION = "Is the {amount} EUR payment to {payee} booked on {day}{bought} the {store} receipt from {receipt_day} ({total} EUR)?{why}"
+TRANSFER_QUESTION = (
+    "Is the {amount} EUR leaving {bank} on {day} the same money as the {other_amount} EUR arriving on {other_bank} on {other_day} "
+    "(a transfer between your own accounts)?{why}"
+)
+MIRROR_QUESTION = (
+    "Is the {amount} EUR PayPal payment to {payee} on {day} the same payment as the {other_bank} booking of {other_amount} EUR on {other_day} ({other_payee})?{why}"
+)
+QUESTION_LENGTH = 600
+# End of the fixed values.
+
+
+def sentence(template: str, **parts: Column) -> Column:
+    """A template filled in; null if a part is."""
+    pieces = []
+    for text, name, _, _ in Formatter().parse(template):
+        pieces += [F.lit(text)] if text else []
+        pieces += [parts[name].cast("string")] if name else []
+    return F.concat(*pieces)
 
 
 def literal_map(value, mapping: dict, default=None) -> Column:
@@ -166,8 +191,8 @@ def plain_euros(c) -> Column:
 def instrument_code(text) -> Column:
     """The WKN a booking names, else its ISIN, else null."""
     text = F.coalesce(col(text), F.lit(""))
-    wkn = F.regexp_extract(text, r"WPKNR:\s*([A-Z0-9]{6})", 1)
-    isin = F.regexp_extract(text, r"\b([A-Z]{2}[A-Z0-9]{9}\d)\b", 1)
+    wkn = F.regexp_extract(text, WKN, 1)
+    isin = F.regexp_extract(text, ISIN, 1)
     return F.coalesce(F.nullif(wkn, F.lit("")), F.nullif(isin, F.lit("")))
 
 
@@ -264,56 +289,44 @@ def link_key(date, amount_c, description) -> list[Column]:
     return [col(date).alias("k_date"), col(amount_c).alias("k_amount"), col(description).alias("k_text")]
 
 
+def _or_nothing(c: Column) -> Column:
+    return F.coalesce(c, F.lit(""))
+
+
 def booking_line(prefix="") -> Column:
-    p = prefix
-    bought = F.coalesce(F.concat(F.lit(" (bought "), F.col(f"{p}purchase_date").cast("string"), F.lit(")")), F.lit(""))
-    ref = F.coalesce(F.concat(F.lit(" | ref "), F.nullif(F.col(f"{p}payment_reference"), F.lit(""))), F.lit(""))
-    return F.concat(
-        F.lit("#"), F.col(f"{p}id").cast("string"), F.lit(" | "), F.col(f"{p}booking_date").cast("string"), bought,
-        F.lit(" | "), signed_euros(f"{p}amount_c"), F.lit(" | "), F.col(f"{p}counterparty"), F.lit(" | "),
-        F.col(f"{p}kind"), ref,
+    own = lambda c: F.col(f"{prefix}{c}")
+    return sentence(
+        BOOKING_LINE, id=own("id"), day=own("booking_date"), bought=_or_nothing(sentence(BOUGHT, day=own("purchase_date"))), amount=signed_euros(f"{prefix}amount_c"),
+        payee=own("counterparty"), kind=own("kind"), ref=_or_nothing(sentence(REF, ref=F.nullif(own("payment_reference"), F.lit("")))),
     )
 
 
-def _why(reason) -> Column:
-    return F.when(F.length(reason) > 0, F.concat(F.lit(" Why unsure: "), reason)).otherwise(F.lit(""))
+def _question(template: str, reason, **parts: Column) -> Column:
+    why = F.when(F.length(reason) > 0, sentence(WHY, reason=reason)).otherwise(F.lit(""))
+    amount = plain_euros(F.abs(F.col("t_amount_c")))
+    return F.substring(sentence(template, amount=amount, day=F.col("t_booking_date"), why=why, **parts), 1, QUESTION_LENGTH)
 
 
 def receipt_question(reason) -> Column:
     """Needs columns t_* (booking) and r_* (receipt)."""
-    bought = F.coalesce(F.concat(F.lit(" (bought "), F.col("t_purchase_date").cast("string"), F.lit(")")), F.lit(""))
-    return F.substring(
-        F.concat(
-            F.lit("Is the "), plain_euros(F.abs(F.col("t_amount_c"))), F.lit(" EUR payment to "), F.col("t_counterparty"),
-            F.lit(" booked on "), F.col("t_booking_date").cast("string"), bought, F.lit(" the "), F.col("r_store_name"),
-            F.lit(" receipt from "), F.col("r_purchase_date").cast("string"), F.lit(" ("), plain_euros("r_total_c"),
-            F.lit(" EUR)?"), _why(reason),
-        ), 1, 600,
+    return _question(
+        RECEIPT_QUESTION, reason, payee=F.col("t_counterparty"), bought=_or_nothing(sentence(BOUGHT, day=F.col("t_purchase_date"))),
+        store=F.col("r_store_name"), receipt_day=F.col("r_purchase_date"), total=plain_euros("r_total_c"),
     )
 
 
 def transfer_question(reason) -> Column:
     """Needs columns t_* (outgoing side) and o_* (incoming side)."""
-    return F.substring(
-        F.concat(
-            F.lit("Is the "), plain_euros(F.abs(F.col("t_amount_c"))), F.lit(" EUR leaving "), F.col("t_bank"),
-            F.lit(" on "), F.col("t_booking_date").cast("string"), F.lit(" the same money as the "),
-            plain_euros("o_amount_c"), F.lit(" EUR arriving on "), F.col("o_bank"), F.lit(" on "),
-            F.col("o_booking_date").cast("string"), F.lit(" (a transfer between your own accounts)?"), _why(reason),
-        ), 1, 600,
+    return _question(
+        TRANSFER_QUESTION, reason, bank=F.col("t_bank"), other_amount=plain_euros("o_amount_c"), other_bank=F.col("o_bank"), other_day=F.col("o_booking_date"),
     )
 
 
 def mirror_question(reason) -> Column:
     """Needs columns t_* (payment list row) and o_* (bank booking)."""
-    return F.substring(
-        F.concat(
-            F.lit("Is the "), plain_euros(F.abs(F.col("t_amount_c"))), F.lit(" EUR PayPal payment to "),
-            F.col("t_counterparty"), F.lit(" on "), F.col("t_booking_date").cast("string"),
-            F.lit(" the same payment as the "), F.col("o_bank"), F.lit(" booking of "),
-            plain_euros(F.abs(F.col("o_amount_c"))), F.lit(" EUR on "), F.col("o_booking_date").cast("string"),
-            F.lit(" ("), F.col("o_counterparty"), F.lit(")?"), _why(reason),
-        ), 1, 600,
+    return _question(
+        MIRROR_QUESTION, reason, payee=F.col("t_counterparty"), other_bank=F.col("o_bank"), other_amount=plain_euros(F.abs(F.col("o_amount_c"))),
+        other_day=F.col("o_booking_date"), other_payee=F.col("o_counterparty"),
     )
 
 
