@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from hearth.llm.text import Fingerprint, U, batches, mix, parked, small_batches, text_bytes
 
 
-HOT = 4096
+HOT = 4096  # different wholes of a key that one task compares
+MANY = 1024  # groups of one whole that one task joins
 FILTER_BITS = 1 << 24
 
 
@@ -162,7 +163,11 @@ def repeats(rows: DataFrame, parse: Parser, unit: np.dtype, length: int, hot: in
     found = rows.select("row", "tag", "text").mapInArrow(groups_of, "key long, whole long, row long, tag int, place long")
     shared = parked(found.join(keys, "key"), "shared")
     wholes = parked(shared.groupBy("key", "whole").agg(F.count("*").alias("n"), F.min(F.struct("row", "tag", "place")).alias("one")), "wholes")
-    again = shared.join(wholes.filter("n > 1").select("key", "whole"), ["key", "whole"], "left_semi")
+    # copies of one passage by the thousand are told apart first, by a table of a row for each: Spark broadcasts it while it is small and splits the join otherwise
+    common = parked(wholes.filter(F.col("n") > MANY).select("key", "whole"), "common")
+    marked_rows = shared.join(common.withColumn("common", F.lit(True)), ["key", "whole"], "left")
+    rarer = marked_rows.filter("common IS NULL").join(wholes.filter(F.col("n").between(2, MANY)).select("key", "whole"), ["key", "whole"], "left_semi")
+    again = marked_rows.filter("common").unionByName(rarer)
     first, more = F.shiftright("place", 16), F.col("place").bitwiseAND(0xFFFF)
     sure = again.select("row", "tag", first.alias("first"), (first + more).alias("last"))
     several = wholes.groupBy("key").agg(F.count("*").alias("wholes")).filter("wholes > 1")
