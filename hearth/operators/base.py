@@ -12,6 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window as W
 
 from ..functions.money import idiv
+from ..sources.scratch import written
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
@@ -69,11 +70,12 @@ def islands(df: DataFrame, keys: list[str], value: str, reach: int, name: str =
 
 
 # ---- contained text ------------------------------------------------------------------------------------
-GRAM = 12
+GRAM = 4
 
 
-def _gram_key(text: Column) -> Column:
-    return F.substring(text, 1, GRAM)
+def _pieces(text: Column, width: Column) -> Column:
+    """The distinct pieces of `width` characters of a text that is long enough."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - width + 1), lambda i: F.substring(text, i, width)))
 
 
 def contains_join(
@@ -81,28 +83,20 @@ def contains_join(
 ) -> DataFrame:
     """Pairs (row of long, row of short) with the same keys where short_col is part of long_col.
 
-    Every piece of the long text that could start a short text is one join key, so the join is an equi-join
-    on (keys, start of the short text) and only real candidates meet: no pairing of everything with everything
-    inside a household.  Only piece lengths that occur in `short` are produced (at most GRAM of them).
-    Give both sides distinct texts.
+    An inverted index: the pieces of GRAM characters of the long texts (shorter ones where a short text is shorter) point to them. A short text is looked
+    up under its rarest piece, and under none if one of its pieces stands nowhere, so what meets is little more than what fits, and no
+    household is paired off with itself. Give both sides distinct texts.
     """
-    marked = short.filter(F.length(short_col) > 0).withColumn("_gram", _gram_key(F.col(short_col)))
-    lengths = marked.select(F.length("_gram").alias("_len")).distinct()  # at most GRAM rows
-    size = F.length(long_col)
-    pieces = (
-        long.withColumn("_len", F.explode(F.sequence(F.lit(1), F.lit(GRAM))))
-        .filter(F.col("_len") <= size)
-        .join(F.broadcast(lengths), "_len", "left_semi")
-        .withColumn(
-            "_gram",
-            F.explode(F.array_distinct(F.transform(
-                F.sequence(F.lit(1), size - F.col("_len") + 1),
-                lambda i: F.substring(F.col(long_col), i, F.col("_len")),
-            ))),
-        )
-        .drop("_len")
-    )
-    return pieces.join(marked, [*keys, "_gram"]).filter(F.col(long_col).contains(F.col(short_col))).drop("_gram")
+    marked = written(short.filter(F.length(short_col) > 0).withColumn("_len", F.least(F.length(short_col), F.lit(GRAM))))
+    lengths = marked.select(*keys, "_len").distinct()  # GRAM rows a key at most
+    pieces = long.join(lengths, keys).filter(F.length(long_col) >= F.col("_len"))
+    pieces = written(pieces.withColumn("_gram", F.explode(_pieces(F.col(long_col), F.col("_len")))).drop("_len"))
+    held = pieces.groupBy(*keys, "_gram").agg(F.count("*").alias("_held"))
+    own = [c for c in marked.columns if c != "_len"]
+    asked = marked.withColumn("_gram", F.explode(_pieces(F.col(short_col), F.col("_len")))).join(held, [*keys, "_gram"], "left")
+    rarest = asked.groupBy(*own).agg(F.min_by("_gram", F.struct("_held", "_gram")).alias("_gram"), F.count_if(F.col("_held").isNull()).alias("_lacking"))
+    rarest = rarest.filter("_lacking = 0").drop("_lacking")
+    return pieces.join(rarest, [*keys, "_gram"]).filter(F.col(long_col).contains(F.col(short_col))).drop("_gram")
 
 
 # ---- folds in order ------------------------------------------------------------------------------------
