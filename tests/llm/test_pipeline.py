@@ -83,12 +83,15 @@ def test_odd_documents(spark, tmp_path):
     """Nulls in every column, empty and repeated rows, no labels, no benchmark."""
     odd = [(None, None, None, None, None), (1, "", "en", "a", 0), (2, "x " * 100, None, None, 200), (2, "x " * 100, None, None, 200), (3, None, "en", "b", None), (None, "mail a@b.cd", "en", "b", 11)]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
-    for name, rows, kind in (("documents", odd, schema), ("labels", [], "doc_id long, quality int, toxic int"), ("benchmark", [], "item_id long, text string")):
+    talk = [(None, None, None, None), (1, 0, "user", None), (1, 0, "user", None), (1, 1, "assistant", "")]
+    for name, rows, kind in (("documents", odd, schema), ("labels", [], "doc_id long, quality int, toxic int"), ("benchmark", [], "item_id long, text string"),
+                             ("conversations", talk, "conv_id long, turn long, role string, text string")):
         spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / f"{name}.parquet"))
     found = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((str(r.doc_id), r.size) for r in found) == [("2", 100), ("None", 2)]
+    counts = {"op1_decontamination": 0, "op13_chat_format": 3}  # a null conversation, one, and the one that is added
     for name, query in llm_queries().items():
-        assert query(spark, str(tmp_path)).count() == (0 if name == "op1_decontamination" else len(odd)), name
+        assert query(spark, str(tmp_path)).count() == counts.get(name, len(odd)), name
 
 
 def test_entry_without_the_text_operators():
