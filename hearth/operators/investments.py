@@ -97,7 +97,7 @@ def assign_plan_buys(slots: DataFrame, buys: DataFrame, keys: list[str]) -> Data
         [T.StructField(c, work.schema[c].dataType) for c in island]
         + T.StructType.fromDDL("slot_day date, slot_from bigint, buy_day date, buy_from bigint, n bigint").fields
     )
-    ranges = sorted_fold(work, island, ["day"], _Greedy, schema)
+    ranges = written(sorted_fold(work, island, ["day"], _Greedy, schema))
     pairs = ranges.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1))).select(
         *own, "slot_day", (F.col("slot_from") + F.col("_i")).alias("slot_rank"), "buy_day",
         (F.col("buy_from") + F.col("_i")).alias("buy_rank"),
@@ -107,8 +107,10 @@ def assign_plan_buys(slots: DataFrame, buys: DataFrame, keys: list[str]) -> Data
         at = F.row_number().over(W.partitionBy(*own, "day").orderBy(order)).cast("bigint")
         return df.select(*own, F.col("day").alias(day), at.alias(rank), order)
 
+    # Only slots of days that have a pair are ranked: the others need no exchange.
+    paired = slots.join(ranges.select(*own, F.col("slot_day").alias("day")).distinct(), [*own, "day"], "left_semi")
     return (
-        pairs.join(ranked(slots, "plan_id", "slot_day", "slot_rank"), [*own, "slot_day", "slot_rank"])
+        pairs.join(ranked(paired, "plan_id", "slot_day", "slot_rank"), [*own, "slot_day", "slot_rank"])
         .join(ranked(buys, "id", "buy_day", "buy_rank"), [*own, "buy_day", "buy_rank"])
         .select(*own, "plan_id", "slot_day", "id")
     )
@@ -130,6 +132,8 @@ def plan_slots(L: Ledger, rows: DataFrame, today: dt.date) -> DataFrame:
     now = F.lit(today)
     lowest = F.date_sub(F.coalesce("first_day", now), WINDOW_DAYS)
     horizon = F.least(F.coalesce("covered_until", now), now)
+    # A plan is a row of a few bytes and unfolds into hundreds: the plans are dealt out before, or the few files they lie in would be all the tasks there are.
+    plans = plans.repartition(int(L.spark.conf.get("spark.sql.shuffle.partitions")), *L.on("id"))
     return execution_dates(plans, F.coalesce(F.col("start_date"), lowest), F.greatest(horizon, lowest)).select(
         *L.keys, "broker", "amount_c", "day", F.col("id").alias("plan_id"), "instrument", "covered_until"
     )
