@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
@@ -120,35 +120,95 @@ class _StockFold:
         return [(None, None, *[self.state[c] for c in STATE_COLUMNS])]
 
 
+MANY_EVENTS = 1000  # items with more are folded row by row, the others in one expression
+
+
+def _stock_base(L: Ledger) -> DataFrame:
+    stock = L.items.filter(F.col("spend_category").isNull() | ~F.col("spend_category").isin(*NOT_STOCK))
+    left = F.coalesce("quantity_left", F.col("quantity").cast("double"), F.lit(1.0))
+    base = with_stock_group(stock, L).withColumn("item_id", F.col("id")).withColumn("quantity_left", left)
+    return base.withColumn("wasted_quantity", F.coalesce("wasted_quantity", F.lit(0.0))).select(*L.on("item_id"), "is_food", *STATE_COLUMNS)
+
+
 def stock_event_rows(L: Ledger, events: DataFrame) -> DataFrame:
     """Items that have events (as row 0) and their events, in one frame with one key."""
     own = L.on("item_id")
-    touched = events.select(*own).distinct()
-    stock = L.items.filter(F.col("spend_category").isNull() | ~F.col("spend_category").isin(*NOT_STOCK))
-    base = with_stock_group(stock, L).withColumn("item_id", F.col("id")).join(touched, own, "left_semi")
-    left = F.coalesce("quantity_left", F.col("quantity").cast("double"), F.lit(1.0))
-    base = base.withColumn("quantity_left", left).withColumn("wasted_quantity", F.coalesce("wasted_quantity", F.lit(0.0)))
-    state = [F.col(c) for c in STATE_COLUMNS]
+    base = _stock_base(L).join(events.select(*own).distinct(), own, "left_semi")
     blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(REQUEST).fields]
-    rows = base.select(*own, F.lit(0).alias("step"), F.lit(None).cast("timestamp").alias("ts"), F.lit(None).cast("bigint").alias("event_id"), *blank, "is_food", *state)
+    rows = base.select(*own, F.lit(0).alias("step"), F.lit(None).cast("timestamp").alias("ts"), F.lit(None).cast("bigint").alias("event_id"), *blank, "is_food", *STATE_COLUMNS)
     none = [F.lit(None).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(STATE).fields]
     asked = stock_requests(events.withColumn("step", F.lit(1)), [*own, "step", "ts", "event_id"])
     return rows.unionByName(asked.select("*", F.lit(None).cast("boolean").alias("is_food"), *none))
 
 
+def _stock_step(state: Column, request: Column) -> Column:
+    """`stock_step` as an expression: the state after the request, with `refused` longer by one where something speaks against it."""
+    s, r = (lambda c: state[c]), (lambda c: request[c])
+    chills = r("chills")
+    against = F.coalesce(
+        r("early"), F.when(r("wants_stock") & (s("quantity_left") <= 0), "nothing_left"), r("late"),
+        F.when(chills & ~s("is_food"), "only_food_can_be_frozen"), F.when(chills & (s("storage_condition") == "Frozen"), "already_frozen"),
+    )
+    takes = r("removes").isNotNull()
+    amount = F.when(s("quantity_left") < r("removes"), s("quantity_left")).otherwise(r("removes"))
+    left = F.when(takes, F.greatest(s("quantity_left") - amount, F.lit(0.0))).otherwise(s("quantity_left"))
+    why = F.when(takes & (F.length(r("why")) > 0), r("why")).otherwise(s("waste_reason"))
+    wastes = takes & F.coalesce(r("is_waste"), F.lit(False))
+    wasted = F.when(wastes, s("wasted_quantity") + amount).otherwise(s("wasted_quantity"))
+    ends = takes & (left == 0)
+    new = {
+        "status": F.when(ends, F.when(wasted > 0, E.literal_map(why, WASTE_STATUS, "Discarded")).otherwise("Consumed")).otherwise(s("status")),
+        "quantity_left": left, "wasted_quantity": wasted, "wasted_on": F.when(wastes, r("day")).otherwise(s("wasted_on")), "waste_reason": why,
+        "opened_on": F.when(chills, F.lit(None)).when(r("opens"), F.coalesce(s("opened_on"), r("day"))).otherwise(s("opened_on")),
+        "finished_on": F.when(ends, r("day")).otherwise(s("finished_on")),
+        "location": F.when(chills | r("moves"), r("new_location")).otherwise(s("location")),
+        "storage_condition": F.when(chills, "Frozen").otherwise(s("storage_condition")),
+        **{c: F.coalesce(r(f"new_{c}"), s(c)) for c in ("rating", "would_rebuy", "date_expiry")},
+    }
+    refused = F.when(against.isNull(), s("refused")).otherwise(F.concat(s("refused"), F.array(_refusal(r("event_id"), against))))
+    kept = [F.when(against.isNull(), new[f.name]).otherwise(s(f.name)).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(STATE)]
+    return F.struct(*kept, s("is_food").alias("is_food"), refused.alias("refused"))
+
+
+def _refusal(event_id: Column, problem: Column) -> Column:
+    return F.struct(event_id.cast("bigint").alias("event_id"), problem.cast("string").alias("problem"))
+
+
+def _stock_in_one(L: Ledger, events: DataFrame) -> DataFrame:
+    """own, state (null: no such item) and refused of items with few events; Spark brings an item's events together and folds them in order."""
+    own = L.on("item_id")
+    asked = stock_requests(events, [*own, "ts", "event_id"])
+    listed = asked.groupBy(*own).agg(F.sort_array(F.collect_list(F.struct(*[c for c in asked.columns if c not in own]))).alias("_events"))
+    base = _stock_base(L).groupBy(*own).agg(F.max(F.struct(*STATE_COLUMNS, "is_food")).alias("_item"))  # an item that is there twice is one
+    none = F.array().cast("array<struct<event_id: bigint, problem: string>>")
+    fields = [F.col(f"_item.{f.name}").cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(STATE)]
+    start = F.struct(*fields, F.col("_item.is_food").alias("is_food"), none.alias("refused"))
+    after = F.aggregate("_events", start, _stock_step)
+    lost = F.transform("_events", lambda r: _refusal(r["event_id"], F.lit("no_such_item")))
+    out = listed.join(base, own, "left").withColumn("state", F.when(F.col("_item").isNotNull(), after))
+    return out.select(*own, "state", F.coalesce(F.col("state.refused"), lost).alias("refused"))
+
+
 def apply_stock_events(L: Ledger, events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """events: keys, item_id, event_id, ts, day, action, amount, reason, location, date_expiry, rating, would_rebuy.
 
     Per item in order of (ts, event_id). Returns the next items table and the refused events with the reason.
-    Only items that have events go through the fold.
+    Only items that have events are looked at.
     """
-    rows = stock_event_rows(L, events)
     own = L.on("item_id")
-    schema = T.StructType([T.StructField(c, rows.schema[c].dataType) for c in own] + T.StructType.fromDDL("event_id bigint, problem string, " + STATE).fields)
-    out = written(sorted_fold(rows, own, ["step", "ts", "event_id"], _StockFold, schema))
-    rejected = out.filter(F.col("problem").isNotNull()).select(*own, "event_id", "problem")
-    states = out.filter(F.col("event_id").isNull()).withColumnRenamed("item_id", "id")
-    return patched(L.items, states, L.on("id"), STATE_COLUMNS), rejected
+    events = events.filter(F.col("event_id").isNotNull())
+    many = written(events.groupBy(*own).count().filter(F.col("count") > MANY_EVENTS).select(*own))
+    hot = not many.isEmpty()
+    out = written(_stock_in_one(L, events.join(many, own, "left_anti") if hot else events))
+    rejected = out.select(*own, F.explode("refused").alias("_r")).select(*own, "_r.event_id", "_r.problem")
+    states = out.filter(F.col("state").isNotNull()).select(*own, *[f"state.{c}" for c in STATE_COLUMNS])
+    if hot:
+        rows = stock_event_rows(L, events.join(many, own, "left_semi"))
+        schema = T.StructType([T.StructField(c, rows.schema[c].dataType) for c in own] + T.StructType.fromDDL("event_id bigint, problem string, " + STATE).fields)
+        folded = written(sorted_fold(rows, own, ["step", "ts", "event_id"], _StockFold, schema))
+        rejected = rejected.unionByName(folded.filter(F.col("problem").isNotNull()).select(*own, "event_id", "problem"))
+        states = states.unionByName(folded.filter(F.col("event_id").isNull()).select(*own, *STATE_COLUMNS))
+    return patched(L.items, states.withColumnRenamed("item_id", "id"), L.on("id"), STATE_COLUMNS), rejected
 
 
 # ---- receipts and statements ---------------------------------------------------------------------------

@@ -4,9 +4,11 @@ from book import D
 
 from hearth.operators.investments import plan_slots
 from hearth.operators.finders import investment_bookings
-from hearth.operators.matching import match_receipts
+from hearth.operators.base import contains_join
+from hearth.operators.matching import band_join, match_receipts
 from hearth.operators.quality import check_statements
 from hearth.sources import star
+from hearth.sources.scratch import written
 
 
 def plan_of(df):
@@ -59,3 +61,67 @@ def test_names_are_keyed_once(book):
     df = match_receipts(book.ledger())
     assert "regexp_replace" not in plan_of(df)
     assert [(r.transaction_id, r.receipt_id, r.confidence) for r in df.collect()] == [(1, 1, "certain")]
+
+
+def test_cells_and_pieces_are_merged_not_broadcast(spark):
+    left = spark.createDataFrame([(1, 100, D(2026, 1, 5))], "k bigint, cents bigint, day date")
+    right = spark.createDataFrame([(1, 101, D(2026, 1, 9))], "k bigint, o_cents bigint, o_day date")
+    near = band_join(left, right, ["k"], "day", "o_day", 5, 5, ("cents", "o_cents"))
+    held = contains_join(spark.createDataFrame([(1, "a booking PP12")], "k bigint, long string"), spark.createDataFrame([(1, "PP12")], "k bigint, short string"), ["k"], "long", "short")
+    for df in (near, held):
+        assert df.count() == 1
+        assert "Broadcast" not in plan_of(df)
+
+
+def test_written_tables_are_not_taken_for_smaller_than_they_are(spark):
+    df = written(spark.sql("SELECT id % 3 AS k, repeat('x', 2000) AS text FROM range(20000)"))
+    assert df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > 20 * 2000
+
+
+def test_stock_items_share_a_group(book, spark, tmp_path):
+    from test_stock import EVENT
+
+    from hearth.streaming import stream_stock
+
+    book.receipt(D(2026, 4, 10), dict(quantity=2), dict(quantity=3), dict(quantity=1))
+    book.receipt(D(2026, 4, 10), dict(quantity=9), household_id=2)
+    L = book.ledger()
+    names = [part.strip().split(" ")[0] for part in EVENT.split(",")]
+    steps = [(1, 1, 0, 2.0), (1, 2, 1, 1.0), (2, 4, 2, 4.0), (1, 99, 3, 1.0), (1, 2, 4, 5.0), (1, 1, 5, 1.0)]
+    events = spark.createDataFrame([
+        tuple({"household_id": h, "item_id": i, "event_id": e, "ts": __import__("datetime").datetime(2026, 4, 12, 10, e), "day": D(2026, 4, 12), "action": "use", "amount": a}.get(c) for c in names)
+        for h, i, e, a in steps], EVENT)
+    events.write.parquet(f"{tmp_path}/in")
+    moves = stream_stock(L, spark.readStream.schema(EVENT).parquet(f"{tmp_path}/in"), keep_finished=None, groups=1)
+    q = moves.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination()
+    found = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted((r.event_id, r.problem, r.quantity_left) for r in found.collect()) == [
+        (0, None, 0.0), (1, None, 2.0), (2, None, 5.0), (3, "no_such_item", None), (4, None, 0.0), (5, "nothing_left", 0.0)]
+
+
+def test_items_with_many_events_and_with_few_come_to_the_same(book, spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from test_stock import EVENT
+
+    from hearth.operators import upkeep
+
+    book.receipt(D(2026, 4, 10), dict(quantity=6), dict(quantity=2, storage_condition="Frozen"), dict(quantity=3, spend_category="electronics", category="Electronics"))
+    L = book.ledger()
+    names = [part.strip().split(" ")[0] for part in EVENT.split(",")]
+    actions = ["use", "discard", "freeze", "open", "update", "finish", "throw", "use", None]
+    rows = []
+    for item in (1, 2, 3, 9):
+        for n, action in enumerate(actions * 2):
+            values = {"household_id": 1, "item_id": item, "event_id": item * 100 + n, "day": D(2026, 4, 12), "action": action, "amount": [1.0, None, -1.0, 0.5][(n + item) % 4],
+                      "reason": ["spoiled", "gave_away", "nonsense", ""][(n // 2 + item) % 4], "location": [" cellar ", None, " "][n % 3], "rating": [None, 4, 9][(n + item) % 3]}
+            rows.append(tuple(values.get(c) for c in names))
+    events = spark.createDataFrame(rows, EVENT).withColumn("ts", F.timestamp_seconds(F.col("event_id")))
+    found = []
+    for many in (1000, 0):
+        monkeypatch.setattr(upkeep, "MANY_EVENTS", many)
+        items, refused = upkeep.apply_stock_events(L, events)
+        if many:
+            assert "MapInArrow" not in plan_of(refused) and "mapInArrow" not in plan_of(refused)
+        found.append((sorted(map(str, items.collect())), sorted((r.item_id, r.event_id, r.problem) for r in refused.collect())))
+    assert found[0] == found[1] and len(found[0][1]) > 20
