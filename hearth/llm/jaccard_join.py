@@ -218,6 +218,23 @@ def classes(links: DataFrame, name: str = "classes") -> DataFrame:
         labels = later.select("node", "root")
 
 
+def merged(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, root): the classes `roots` joined by further links.
+
+    The links are taken between classes, each pair of classes once: a group whose members are linked many times over costs what its classes do.
+    """
+    if roots is None:
+        return classes(links)
+    ends = links.select("a", "b")
+    for end in ("a", "b"):
+        ends = ends.join(roots.select(F.col("node").alias(end), "root"), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+    between = ends.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    top = classes(between)
+    higher = top.select(F.col("node").alias("root"), F.col("root").alias("next"))
+    known = roots.join(higher, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    return parked(known.unionByName(top.join(roots, "node", "left_anti")), "classes")
+
+
 def jaccard_join(docs: DataFrame, width: int = 3, pct: int = 90, rounds: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles (size of its set of `width`-word shingles), component_id (the smallest doc_id reachable
     by links, itself included).
@@ -272,7 +289,7 @@ def jaccard_join(docs: DataFrame, width: int = 3, pct: int = 90, rounds: int = 3
     found = rows.select("text").mapInArrow(members_of, "key long, node long, n int").join(shared, "key").groupBy("key", "node").agg(F.max("n").alias("n"))
     members = parked(found, "members")
     bits = parked(sets.join(members.select("node").distinct(), "node", "left_semi").select("node", *BITS).dropDuplicates(["node"]), "bits")
-    links, roots, done = None, None, None
+    roots, done = None, None
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / pct))).cast("int")
     for turn in range(rounds):
         open_rows = _open(members, roots).withColumn("band", band)
@@ -293,8 +310,7 @@ def jaccard_join(docs: DataFrame, width: int = 3, pct: int = 90, rounds: int = 3
             break
         done = pairs if done is None else done.unionByName(pairs)
         new = parked(_verified(pairs, _texts(rows, sets, pairs), width, pct), "links")
-        links = new if links is None else links.unionByName(new)
-        roots = classes(links)
+        roots = merged(roots, new)
         if 10 * new.count() < pairs.count():
             break
     rest = parked(_open(members, roots), "open")
@@ -313,8 +329,7 @@ def jaccard_join(docs: DataFrame, width: int = 3, pct: int = 90, rounds: int = 3
     pairs = parked(pairs, "pairs")
     if not pairs.isEmpty():
         new = parked(_verified(pairs, _texts(rows, sets, pairs), width, pct), "links")
-        links = new if links is None else links.unionByName(new)
-        roots = classes(links)
+        roots = merged(roots, new)
     named = sets.drop(*BITS).withColumn("root", F.col("node"))
     if roots is not None:
         named = sets.drop(*BITS).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -66,6 +66,16 @@ def test_chain_of_links(spark):
     assert {i: c for i, (_, c) in expected(rows, 3, 90).items()} == found
 
 
+def test_many_links_between_two_classes_count_once(spark, monkeypatch):
+    seen, plain = [], module.classes
+    monkeypatch.setattr(module, "classes", lambda links: seen.append(links.count()) or plain(links))
+    roots = spark.createDataFrame([(n, 0) for n in range(30)] + [(n, 30) for n in range(30, 60)], "node long, root long")
+    links = spark.createDataFrame([(a, b) for a in range(30) for b in range(30, 60)] + [(3, 4), (70, 40), (80, 81)], "a long, b long")
+    found = {r.node: r.root for r in module.merged(roots, links).collect()}
+    assert found == {n: 0 for n in (*range(60), 70)} | {80: 80, 81: 80}
+    assert seen == [3]
+
+
 def test_one_of_each(spark):
     rows = [(1, "a b c d e f g", 5), (2, "a b c d e f g", 6), (2, "a b c d e f g", 7), (3, "", 1), (4, None, 1), (None, "a b c d e f g", 8), (None, "q r s t u v", 9), (5, "k l m n o p", 2), (5, "k l m n o p", 2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n long").selectExpr("*", "n AS node", "n AS root")
