@@ -8,7 +8,7 @@ from hearth.functions import exprs as E
 from hearth.operators import finders, links, loads, matching, quality, savings_plans, upkeep
 from hearth.sources import ledger as sources
 from hearth.operators.reconcile import reconcile
-from hearth.sources import store
+from hearth.sources import ledger as ledger_source, store
 from hearth.sources.store import load_ledger, save_ledger
 
 TODAY = D(2026, 5, 20)
@@ -422,6 +422,32 @@ def test_a_batch_writes_what_it_changes_and_a_month_reads_its_files(book, spark,
     assert _stored(path, "bookings") == before
 
 
+def test_rows_to_add_give_the_store_that_the_whole_content_gives(book, spark, tmp_path):
+    st = book.statement((2026, 4))
+    for day in range(1, 9):
+        book.add("bookings", statement_id=st, booking_date=D(2026, 4, day), amount_c=-100 * day, counterparty="shop")
+    L = book.ledger()
+    stored = L.bookings.unionByName(L.bookings.filter("id = 2")).unionByName(L.bookings.filter("id = 4").withColumn("amount_c", F.lit(-7).cast("bigint")))
+    stored = stored.unionByName(L.bookings.filter("id = 6").withColumn("household_id", F.lit(None).cast("bigint")))
+    more = L.bookings.filter("id IN (1, 3)").withColumn("id", F.when(F.col("id") == 1, 100).otherwise(3).cast("bigint")).withColumn("amount_c", F.lit(-9).cast("bigint"))
+    found = []
+    for adds in (False, True):
+        path = str(tmp_path / f"s{adds}")
+        save_ledger(L.with_(bookings=stored), path, buckets=2)
+        now = load_ledger(spark, path)
+        store.update_ledger(now.with_(bookings=more if adds else now.bookings.unionByName(more)), path, ("bookings",), [0, 1], adds=adds)
+        found.append(sorted((r.household_id is None, r.id, r.amount_c) for r in load_ledger(spark, path).bookings.collect()))
+    assert found[0] == found[1] and {(False, 3, -9), (False, 100, -9)} <= set(found[0])
+
+
+def test_only_documents_that_come_twice_are_numbered_together(spark):
+    rows_ = [(1, "a", 1), (1, "a", 2), (2, "a", 3), (None, "b", 4), (None, "b", 5), (None, None, 6)]
+    docs = spark.createDataFrame(rows_, "household_id long, doc_hash string, x int")
+    found = ledger_source._numbered_copies(docs, ["household_id", "doc_hash"])
+    copies = {r.x: r._copy for r in found.collect()}
+    assert sorted((copies[1], copies[2])) == [1, 2] == sorted((copies[4], copies[5])) and copies[3] == copies[6] == 1 and len(copies) == 6
+
+
 def test_a_chain_of_claims_takes_one_fold(book, spark, monkeypatch):
     """Answers that each claim what the one before claims too: alternate ones hold, in as many jobs as for two."""
     from hearth.operators.links import _first_come
