@@ -209,21 +209,21 @@ SELECT household_id, {big(f'coalesce(sum(amount_c) FILTER ({NOW} AND day(date) <
  bool_or({PREV} AND source = 'bank') AND NOT bool_or({NOW} AND source = 'bank') AS unfair_comparison
 FROM entries WHERE {NOW} OR {PREV} GROUP BY ALL"""),
     # month metrics
-    Query("month_metrics", M.month_metrics, FACTS + f"SELECT household_id, month_index, {label('month_index')} AS label, {RATES} FROM msums"),
+    Query("month_metrics", M.month_metrics, FACTS + f"SELECT household_id, month_index, {label('month_index')} AS label, {RATES} FROM msums", once=("items",)),
     Query("month_category_metrics", M.month_category_metrics, KEYSUMS + f""",
 w AS (SELECT *, {big('sum(amount_c) OVER (PARTITION BY household_id, month_index, flow)')} AS t FROM keysums)
-SELECT household_id, month_index, key, flow, amount_c / 100 AS total, {sql_pct('amount_c', 't', 2)} AS percentage_of_total FROM w"""),
+SELECT household_id, month_index, key, flow, amount_c / 100 AS total, {sql_pct('amount_c', 't', 2)} AS percentage_of_total FROM w""", once=("items",)),
     Query("month_sources", M.month_sources, FACTS + f"""
 SELECT m.household_id, m.month_index, coalesce(b.statements, '') AS statements, receipts, receipt_c / 100 AS receipt_total,
  bank_c / 100 AS bank_only_total, coalesce(e, false) AS empty_statement
 FROM msums m LEFT JOIN (SELECT s.household_id, month_index, string_agg(DISTINCT bank, ',' ORDER BY bank) AS statements,
   bool_or(NOT EXISTS (SELECT 1 FROM bookings k WHERE k.statement_id = s.id)) AS e FROM statements s GROUP BY ALL) b
- ON b.household_id = m.household_id AND b.month_index = m.month_index"""),
-    Query("period_stats", lambda L: M.period_stats(L, P_START, P_END), _period(P_RANGE)),
+ ON b.household_id = m.household_id AND b.month_index = m.month_index""", once=("items",)),
+    Query("period_stats", lambda L: M.period_stats(L, P_START, P_END), _period(P_RANGE), once=("items",)),
     Query("period_categories", lambda L: M.period_categories(L, P_START, P_END), KEYSUMS + f""",
 k AS (SELECT household_id, key, flow, {big('sum(amount_c)')} AS c FROM keysums WHERE {P_RANGE} GROUP BY ALL),
 w AS (SELECT *, {big('sum(c) OVER (PARTITION BY household_id, flow)')} AS t FROM k)
-SELECT household_id, key, flow, c / 100 AS total, {sql_pct('c', 't', 2)} AS percentage_of_total FROM w"""),
+SELECT household_id, key, flow, c / 100 AS total, {sql_pct('c', 't', 2)} AS percentage_of_total FROM w""", once=("items",)),
     Query("missing_months", lambda L: M.missing_months(L, (1994, 10), (2002, 3)), f"""
 WITH p AS (SELECT household_id, month_index FROM statements UNION SELECT household_id, {mi('purchase_date')} FROM receipts)
 SELECT household_id, cast(m AS int) AS month_index, {label('m')} AS label FROM (SELECT DISTINCT household_id FROM p) h
