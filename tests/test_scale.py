@@ -164,3 +164,21 @@ def test_receipts_are_summed_from_written_items(spark, tmp_path):
         shutil.rmtree(f"{second}/{name}.parquet")
     assert sorted(map(str, from_lines.collect())) == sorted(map(str, L.receipts.collect()))
     assert L.receipts.filter("household_id IS NULL").count() == 1
+
+
+def test_stored_rows_are_compared_by_digest(spark, monkeypatch):
+    from hearth.sources import store
+
+    kept = []
+    monkeypatch.setattr(store, "written", lambda df: kept.append(df.columns) or written(df))
+    old = spark.sql("SELECT * FROM VALUES (1, 1L, 'a'), (1, 2L, 'b'), (1, 3L, 'c'), (cast(null AS int), 4L, 'd') AS v(household_id, id, name)")
+    own = ["household_id", "id"]
+    fewer = old.filter("id <> 2 AND household_id IS NOT NULL")
+    added, gone = store._difference(old.filter("household_id IS NOT NULL"), fewer, own)
+    assert "Join" not in plan_of(added) and added.count() == 0  # nothing to add: no row travels
+    assert [tuple(r) for r in gone.collect()] == [(1, 2)]
+    changed = old.selectExpr("household_id", "id", "CASE WHEN id = 3 THEN 'x' ELSE name END AS name").unionByName(spark.sql("SELECT 1 AS household_id, 9L AS id, 'n' AS name"))
+    added, gone = store._difference(old, changed, own)
+    assert sorted((r.id, r.name) for r in added.collect()) == [(3, "x"), (4, "d"), (9, "n")]  # a row without a household is met by none
+    assert sorted(r.id for r in gone.collect()) == [3, 4]
+    assert all("name" not in columns for columns in kept) and len(kept) == 2
