@@ -66,14 +66,17 @@ def stock_requests(events: DataFrame, keep: list[str]) -> DataFrame:
 
 def stock_step(state: dict, request: dict) -> str | None:
     """Books a request on the state of one item; returns what speaks against it, or None."""
-    against = [
-        request["early"], "nothing_left" if request["wants_stock"] and state["quantity_left"] <= 0 else None, request["late"],
-        "only_food_can_be_frozen" if request["chills"] and not state["is_food"] else None,
-        "already_frozen" if request["chills"] and state["storage_condition"] == "Frozen" else None,
-    ]
-    if any(against):
-        return next(filter(None, against))
-    state.update({c: request[f"new_{c}"] for c in ("date_expiry", "rating", "would_rebuy") if request[f"new_{c}"] is not None})
+    left, chills = state["quantity_left"], request["chills"]
+    problem = (
+        request["early"] or ("nothing_left" if request["wants_stock"] and left <= 0 else None) or request["late"]
+        or ("only_food_can_be_frozen" if chills and not state["is_food"] else None)
+        or ("already_frozen" if chills and state["storage_condition"] == "Frozen" else None)
+    )
+    if problem:
+        return problem
+    for c in ("date_expiry", "rating", "would_rebuy"):
+        if request[f"new_{c}"] is not None:
+            state[c] = request[f"new_{c}"]
     if request["chills"] or request["moves"]:
         state["location"] = request["new_location"]
     if request["chills"]:

@@ -182,3 +182,27 @@ def test_stored_rows_are_compared_by_digest(spark, monkeypatch):
     assert sorted((r.id, r.name) for r in added.collect()) == [(3, "x"), (4, "d"), (9, "n")]  # a row without a household is met by none
     assert sorted(r.id for r in gone.collect()) == [3, 4]
     assert all("name" not in columns for columns in kept) and len(kept) == 2
+
+
+def test_streamed_events_and_items_are_handed_over_as_one_text(book, spark, tmp_path):
+    import re
+
+    from test_stock import EVENT
+
+    from hearth.streaming import stream_stock
+
+    book.receipt(D(2026, 4, 10), dict(quantity=3, name='"Öl"', location="shelf, 1\n"), dict(quantity=2, quantity_left=float("nan")))
+    L = book.ledger()
+    names = [part.strip().split(" ")[0] for part in EVENT.split(",")]
+    events = spark.createDataFrame([
+        tuple({"household_id": 1, "item_id": i, "event_id": e, "ts": __import__("datetime").datetime(2026, 4, 12, 10, e), "day": D(2026, 4, 12), "action": "use", "amount": a}.get(c) for c in names)
+        for i, e, a in [(1, 0, 1.0), (1, 1, 0.1), (2, 2, 1.0), (None, 3, 1.0)]], EVENT)
+    events.write.parquet(f"{tmp_path}/in")
+    moves = stream_stock(L, spark.readStream.schema(EVENT).parquet(f"{tmp_path}/in"), keep_finished=None, groups=1)
+    handed = re.search(r"TransformWithStateInPySpark[^\n]*\n[^\n]*Project \[([^\n]*)\]\n", moves._jdf.queryExecution().analyzed().toString()).group(1)
+    assert set(re.findall(r"(\w+)#", handed)) == {"stock_group", "event"}
+    q = moves.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination()
+    found = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted((r.event_id, r.item_id, r.problem, str(r.quantity_left)) for r in found.collect()) == [
+        (0, 1, None, "2.0"), (1, 1, None, "1.9"), (2, 2, None, "0.0"), (3, None, "no_such_item", "None")]
