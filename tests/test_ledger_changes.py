@@ -496,3 +496,12 @@ def test_references_are_given_out_as_a_loop_would(book):
             used.add(fits[0][3])
             want.append((fits[0][3], rid))
     assert rows(matching.match_receipts(book.ledger()).filter("reason LIKE 'payment%'"), "transaction_id", "receipt_id") == sorted(want)
+
+
+def test_documents_that_all_come_once_are_read_once(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    spark.sql("SELECT 1L AS household_id, 'h' || id AS doc_hash, id AS n FROM range(5)").write.parquet(path)
+    found = ledger_source._numbered_copies(spark.read.parquet(path), ["household_id", "doc_hash"])
+    assert rows(found, "n", "_copy") == [(n, 1) for n in range(5)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1 and "Join" not in plan
