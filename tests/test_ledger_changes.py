@@ -505,3 +505,14 @@ def test_documents_that_all_come_once_are_read_once(spark, tmp_path):
     assert rows(found, "n", "_copy") == [(n, 1) for n in range(5)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation") == 1 and "Join" not in plan
+
+
+def test_lines_of_a_back_filled_receipt_tell_by_themselves_whether_they_are_stale(book, spark, tmp_path):
+    line = lambda name, **m: dict(name=name, quantity=2, unit_price=1.0, discount=0.0, spend_category="groceries", storage_condition="Normal") | m
+    old = [line("Milk", estimated_shelf_life_days=5), line("Rice", estimated_shelf_life_days=900), line("Salt"), line("Lunch", spend_category="eating_out", estimated_shelf_life_days=1)]
+    docs = [receipt_doc(doc_hash="old", purchase_date="2025-06-01", total_amount=8.0, items=old)]
+    L = book.ledger()
+    after, _ = loads.load_receipts(*sources.read_submissions(spark, written(tmp_path, "back", docs), "receipt")[:2], L, TODAY, whole=False)
+    assert rows(after.items, "name", "status", "quantity_left", "waste_reason") == [
+        ("Lunch", "Available", 2.0, None), ("Milk", "Consumed", 0.0, "cleared"), ("Rice", "Available", 2.0, None), ("Salt", "Available", 2.0, None)]
+    assert after.items._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1
